@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import benchmark_hits
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -30,3 +31,10 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op7_mixing": op7_mixing,
 }
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op9_decontamination"] = op9_decontamination
