@@ -10,6 +10,7 @@ from .decontamination import benchmark_hits
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .toxicity import toxicity
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,13 @@ QUERIES = {
 }
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op9_decontamination"] = op9_decontamination
