@@ -10,6 +10,7 @@ from .decontamination import benchmark_hits
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .quality import quality
 from .toxicity import toxicity
 
 
@@ -34,6 +35,10 @@ QUERIES = {
 }
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +47,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+QUERIES["op6_quality"] = op6_quality
 QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op9_decontamination"] = op9_decontamination
