@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality
+from .topk import top_k
 from .toxicity import toxicity
 
 
@@ -50,3 +51,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op6_quality"] = op6_quality
 QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op9_decontamination"] = op9_decontamination
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op10_topk_search"] = op10_topk_search

@@ -40,4 +40,18 @@ SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target
 FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE = {"op1_line_dedup": OP1}
+OP10 = """
+WITH fit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM fit q JOIN fit c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op10_topk_search": OP10}
