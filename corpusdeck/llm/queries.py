@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .quality import quality
 from .topk import top_k
 from .toxicity import toxicity
+from .warc import archive_round_trip
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,3 +59,12 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_topk_search"] = op10_topk_search
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_round_trip(table(spark, sf_dir, "pages"), payloads=False)
+    main = F.col("response")
+    return found.select("page_id", main["payload_bytes"].alias("payload_bytes"), main["payload_digest"].alias("payload_digest"), main["type"].alias("record_type"), "refers_to")
+
+
+QUERIES["op4_warc"] = op4_warc
