@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality
+from .substrings import substring_dedup
 from .topk import top_k
 from .toxicity import toxicity
 from .warc import archive_round_trip
@@ -68,3 +69,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_warc"] = op4_warc
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES["op5_substring_dedup"] = op5_substring_dedup
