@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality
+from .secrets import secret_scan
 from .substrings import substring_dedup
 from .topk import top_k
 from .toxicity import toxicity
@@ -77,3 +78,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_substring_dedup"] = op5_substring_dedup
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
+QUERIES["op2_secret_scans"] = op2_secret_scans
