@@ -22,8 +22,6 @@ from .tokens import U64, chunks, text_bytes, words_of
 FEATURES, WIDTH, RIDGE = 192, 6.0, 1e-4
 #: Bins of the calibration histogram over raw scores from -1 to 2.
 BINS = 1536
-#: Partitions that sum normal equations: it bounds the rows of partial sums that are shuffled.
-SUMMERS = 32
 
 STATISTICS = (
     "log_words", "word_bytes", "distinct_words", "top_word", "upper", "digit", "space", "newline", "pipe", "exclamation", "symbol", "stop_comma",
@@ -148,23 +146,26 @@ def _sums(rows: DataFrame, make) -> np.ndarray:
     return out
 
 
-def _statistics_of(texts: DataFrame, *keep: str) -> DataFrame:
+def statistics_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x) per row of docs: its STATISTICS, a few hundred bytes whatever the text's length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
-            x = statistics(batch.column(0))
+            x = statistics(batch.column(1))
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32), x.reshape(-1))
-            yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], ["x", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
-    kinds = dict(texts.dtypes)
-    return texts.select("text", *keep).mapInArrow(run, ", ".join(["x array<double>", *[f"{c} {kinds[c]}" for c in keep]]))
 
+def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", modulus: int = 4, held_out: int = 2, seed: int = 3) -> Model | float:
+    """A model of all labelled rows whose crc32(id as text) modulo modulus is not held_out; a constant if labels have one class.
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, held_out: int = 2, seed: int = 3) -> Model | float:
-    """A model of all labelled rows whose crc32(id as text) modulo modulus is not held_out; a constant if labels have one class."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % modulus != held_out)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-    rows = cut(_statistics_of(rows, "y").coalesce(SUMMERS))
+    stats comes from statistics_of; only these narrow rows meet the labels.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held_out)
+    rows = cut(stats.join(known, "doc_id").select("x", "y"))
     d = len(STATISTICS)
     first = _sums(rows, lambda x, y: np.concatenate(([len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0))))
     if not len(first) or first[1] in (0, first[0]):
@@ -209,14 +210,15 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     are left out; without labels of both classes every score is their share (0.5 without any). An empty
     table gives an empty table; other columns play no part.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
+    stats = cut(statistics_of(docs, id_col, text_col))
+    model = docs.sparkSession.sparkContext.broadcast(train(stats, labels, id_col, label_col))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
-            m = model.value
-            found = np.full(batch.num_rows, m) if isinstance(m, float) else m.scores(statistics(batch.column(1)))
+        for batch in batches:
+            m, x = model.value, np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, len(STATISTICS))
+            found = np.full(batch.num_rows, m) if isinstance(m, float) else m.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double")
+    scored = stats.mapInArrow(score, "doc_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
