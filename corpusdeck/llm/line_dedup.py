@@ -40,7 +40,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_co
     keys = _keys(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     distinct = _hashed(keys.select("doc", F.explode(F.array_distinct("keys")).alias("line")), min_chars)
     hot = (
-        distinct.groupBy("h1", "h2")
+        # The third grouping column keeps the aggregate's partitioning from being the join's, so the join
+        # gets exchanges of its own, which adaptive execution can split.
+        distinct.groupBy("h1", "h2", F.pmod("h1", F.lit(1024)).alias("_spread"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"), F.min("doc").alias("least"))
         .where((F.col("n") >= min_docs) & (F.col("least") < F.col("keeper")))
         .select("h1", "h2", "keeper")
