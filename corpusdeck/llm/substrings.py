@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import U64, Words, chunks, grams, inside, mix, sliding, words_of
 
 #: Words of an anchor.
@@ -241,8 +242,8 @@ def _match(window: int):
 def removed_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame]:
     """((doc_id, spans), (doc_id)): word spans to remove, and copies that go as a whole, of docs (doc_id, text).
 
-    The whole is one lazy plan. The texts are shuffled once, by id, and all later passes over them reuse that
-    exchange; only anchors that repeat, windows behind them and their pieces are shuffled otherwise.
+    The texts are shuffled once, by id, and all later passes over them reuse that exchange; only anchors that
+    repeat, windows behind them and their pieces are shuffled otherwise.
     """
     spark = docs.sparkSession
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -253,19 +254,23 @@ def removed_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFra
     copies = sequence.join(first.where("first < last").select("s1", "s2", "first"), ["s1", "s2"]).where("doc_id > first").select("doc_id").distinct()
     anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long")
     repeated = anchors.groupBy("anchor", F.pmod("anchor", F.lit(1024)).alias("_spread")).count().where("count > 1").select("anchor")
-    per_doc = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti")
+    # A checkpoint of the repeated anchors: what found them need not be kept or run again.
+    per_doc = cut(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti"))
     some = docs.join(per_doc, "doc_id").select("doc_id", "text", "anchors")
     windows = some.mapInArrow(_repeating(window, shards), "window long, shard int, doc_id long, n long")
+    # Spark infers this for one of the two uses below; stated for both, they share one exchange.
+    windows = windows.where("shard is not null")
     reference = windows.groupBy("window", "shard").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")).where("n > 1")
     firsts = reference.groupBy("doc_id").agg(F.collect_list("window").alias("firsts"))
     pieces = some.join(firsts, "doc_id", "left").select("doc_id", "text", "anchors", "firsts").mapInArrow(
         _pieces(window, shards), "shard int, is_reference boolean, doc_id long, start long, piece binary"
     )
-    # One row per shard at most; how many tasks a shard needs depends on how often its windows occur.
-    loads = reference.groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WINDOWS).cast("int").alias("tasks"))
+    # One row per shard at most; how many tasks a shard needs depends on how often its windows occur. The
+    # condition on doc_id keeps that column, so this reads the same exchange as firsts does.
+    loads = reference.groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WINDOWS).cast("int").alias("tasks"), F.max("doc_id").alias("last")).where("last is not null").drop("last")
     own = F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int")
     task = F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(own)))
-    placed = pieces.join(loads, "shard").withColumn("task", task)
+    placed = pieces.join(F.broadcast(loads), "shard").withColumn("task", task)
     spans = placed.groupBy("shard", "task").applyInArrow(_match(window), "doc_id long, a long, b long")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), copies
 
@@ -308,7 +313,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     table; other columns of docs play no part.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans, copies = removed_spans(plain.where("doc_id is not null"), window)
-    joined = plain.join(spans, "doc_id", "left").join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left")
+    # Rows without an id go their own way, so that all joins share one exchange of the texts.
+    known = plain.where("doc_id is not null")
+    spans, copies = removed_spans(known, window)
+    joined = known.join(spans, "doc_id", "left").join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left").select("doc_id", "text", "spans", "_copy")
+    others = plain.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.lit(None).cast("boolean").alias("_copy"))
     schema = "doc_id long, text string, n_words long, n_removed long"
-    return joined.select("doc_id", "text", F.col("spans").alias("_spans"), "_copy").mapInArrow(_cut(1), schema)
+    return joined.mapInArrow(_cut(1), schema).unionAll(others.mapInArrow(_cut(1), schema))
