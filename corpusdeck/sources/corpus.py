@@ -51,10 +51,10 @@ def conversations_to_markdown(turns: DataFrame) -> DataFrame:
 
 
 def admit_files(spark: SparkSession, path: str, extensions=("txt", "md", "html", "parquet"), most_bytes: int = 50 << 20) -> DataFrame:
-    """(path, length, reason): files under path; reason is null for admitted ones. Contents are not read."""
+    """(path, length, reason): files under path; reason is null for admitted ones. Contents are not read, and Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    reason = F.when(~extension.isin(*extensions), "extension").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large")
+    reason = F.when(~extension.isin(*extensions), "extension").when(F.col("length") > most_bytes, "too large")
     return files.withColumn("reason", reason)
 
 
