@@ -340,3 +340,48 @@ f AS (SELECT doc_id, term, arg_min(definition, i) AS definition FROM t GROUP BY
 SELECT term, count(*) AS n_docs, arg_min(definition, doc_id) AS definition FROM f GROUP BY term
 """
 
+
+# Chunks of turns. The turns hold no table marks at a line's start, so paragraphs are runs of lines between
+# blank ones and list runs; the list state goes on until a blank line.
+_ITEM = "^[ \\t]*([-*+•]|[0-9]+[.)])[ \\t]+"
+_CHUNKS = (
+    f"{TURNS}, tx AS (SELECT doc_id, unit_id, title, CASE WHEN {_strip('text')} = '' THEN title ELSE text END AS text FROM units), "
+    f"ls AS (SELECT doc_id, unit_id, title, {_lines('text')} AS ls FROM tx), l AS (SELECT doc_id, unit_id, title, generate_subscripts(ls, 1) AS no, {_strip('unnest(ls)')} AS t FROM ls), "
+    f"f AS (SELECT *, t = '' AS blank, regexp_matches(t, {_quote(_ITEM)}) AS item, t LIKE '## %' AS head FROM l), "
+    # A blank-separated run; inside it everything after the first item is the list.
+    "r AS (SELECT *, sum(CAST(blank AS INTEGER)) OVER (PARTITION BY doc_id, unit_id ORDER BY no) AS run FROM f), "
+    "i AS (SELECT *, max(CAST(item AS INTEGER)) OVER (PARTITION BY doc_id, unit_id, run ORDER BY no) AS listed FROM r WHERE NOT blank), "
+    "h AS (SELECT *, CASE WHEN listed = 0 THEN sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id, unit_id, run ORDER BY no) ELSE 1000000 END AS part FROM i), "
+    "p AS (SELECT doc_id, unit_id, title, run, part, min(no) AS first, string_agg(CASE WHEN listed = 1 AND item THEN chr(10) ELSE ' ' END || "
+    f"CASE WHEN item THEN {_strip(f'regexp_replace(t, {_quote(_ITEM)}, {_quote(str())})')} WHEN head AND listed = 0 THEN {_strip('substr(t, 4)')} ELSE t END, '' ORDER BY no) AS body FROM h GROUP BY ALL), "
+    f"w AS (SELECT doc_id, unit_id, title, first, {_strip('body')} AS para, {_words('body')} AS ws FROM p WHERE {_strip('body')} <> ''), "
+    "c AS (SELECT doc_id, unit_id, title, first, unnest(CASE WHEN para LIKE '[TABLE DATA]%' OR contains(para, ' | ') OR len(ws) <= 180 THEN [{'i': 0, 't': para}] "
+    "ELSE list_transform(range(CAST(ceil(len(ws) / 180.0) AS BIGINT)), lambda i: {'i': i, 't': array_to_string(ws[180 * i + 1:180 * i + 180], ' ')}) END) AS x FROM w), "
+    "chunks AS (SELECT doc_id, unit_id, title, x.t AS text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit_id, first, x.i) - 1 AS INTEGER) AS chunk_id FROM c)"
+)
+ORACLE["b10_chunk_corpus"] = f"WITH {_CHUNKS} SELECT doc_id, chunk_id, unit_id, md5(text) AS digest FROM chunks"
+ORACLE["r2_chunk_counts"] = f"WITH {_CHUNKS} SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id"
+ORACLE["b11_merge_chunks"] = f"""
+WITH {_CHUNKS}, m AS (SELECT doc_id, title, min(chunk_id) AS first, string_agg(text, chr(10) ORDER BY chunk_id) AS text FROM chunks GROUP BY doc_id, title)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS chunk_id, title, CAST(length(text) AS INTEGER) AS n_chars FROM m
+"""
+_STOP = "('this', 'that', 'with', 'from', 'have', 'will', 'your', 'about', 'into', 'their', 'there', 'which', 'when', 'where', 'what', 'these', 'those', 'than', 'then', 'also', 'page', 'slide', 'figure', 'table')"
+_TOKENS = f"list_filter(list_distinct(regexp_extract_all(lower({{0}}), '[a-z0-9]+')), lambda w: length(w) > 3 AND w NOT IN {_STOP})"
+ORACLE["c3_anchor_assets"] = f"""
+WITH {TURNS}, sec AS (SELECT doc_id, unit_id AS section_id, substr(text, 1, 40) AS title, text FROM units),
+ass AS (SELECT doc_id, unit_id AS asset_ix, substr(text, 1, 30) AS t, substr(text, 10, 200) AS b FROM units WHERE unit_id % 2 = 0),
+e AS (SELECT a.doc_id, asset_ix, min(section_id) AS hit FROM ass a JOIN sec s ON a.doc_id = s.doc_id AND lower(trim(a.t, ' ')) = lower(trim(s.title, ' ')) WHERE trim(a.t, ' ') <> '' GROUP BY ALL),
+st AS (SELECT doc_id, section_id, {_TOKENS.format("title || ' ' || text")} AS w FROM sec), at_ AS (SELECT doc_id, asset_ix, {_TOKENS.format("t || ' ' || b")} AS w FROM ass),
+o AS (SELECT a.doc_id, asset_ix, section_id, CAST(len(list_intersect(a.w, s.w)) AS DOUBLE) / least(len(a.w), len(s.w)) AS overlap FROM at_ a JOIN st s ON a.doc_id = s.doc_id WHERE len(a.w) > 0 AND len(s.w) > 0),
+k AS (SELECT * FROM o WHERE overlap >= 0.25 QUALIFY row_number() OVER (PARTITION BY doc_id, asset_ix ORDER BY overlap DESC, section_id) = 1)
+SELECT a.doc_id, a.asset_ix, coalesce(e.hit, k.section_id, p.section_id, 0) AS section_id, CASE WHEN e.hit IS NOT NULL THEN 1 WHEN k.section_id IS NOT NULL THEN 2 ELSE 3 END AS tier
+FROM ass a LEFT JOIN e USING (doc_id, asset_ix) LEFT JOIN k USING (doc_id, asset_ix) LEFT JOIN sec p ON p.doc_id = a.doc_id AND p.section_id = a.asset_ix
+"""
+_FLAT = f"list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)"
+_CONCEPTS = f"list_filter({_FLAT}, lambda w, i: list_position({_FLAT}, w) = i)[1:5]"
+_PREDICATE = "CASE " + " ".join(f"WHEN {_any('lower(x)', verbs)} THEN {_quote(name)}" for name, verbs in dims.LINK_VERBS) + " ELSE 'UNKNOWN' END"
+ORACLE["e19_relationships"] = f"""
+WITH {UNITS}, {TEXTS}, c AS (SELECT *, {_CONCEPTS} AS cs FROM sents), s AS ({_exploded('c', 'ss', 'doc_id, cs')}),
+h AS (SELECT *, list_filter(cs, lambda w: contains(lower(x), w)) AS here FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS o, {_PREDICATE} AS predicate FROM h WHERE len(here) >= 2)
+SELECT doc_id, CAST(o AS INTEGER) AS ord, here[1] AS subject, predicate, here[2] AS object, CASE WHEN predicate = 'UNKNOWN' THEN 0.3 ELSE 0.7 END::DOUBLE AS confidence FROM n WHERE o < 10
+"""
