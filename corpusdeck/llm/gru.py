@@ -19,6 +19,8 @@ CHAR_SLOTS, CHAR_DIM = 1 << 14, 6
 HIDDEN = 8
 #: An update gate that stays shut.
 SHUT = 1e9
+#: Words of a vocabulary whose inputs are in memory at a time.
+_SOME_WORDS = 1 << 15
 #: Words of a window, and words between the starts of overlapping windows.
 WINDOW, STRIDE = 32, 24
 
@@ -60,10 +62,10 @@ def vocabulary(words: Words) -> tuple[Vocabulary, np.ndarray]:
     start, count = words.start[at], (words.end - words.start)[at]
     begin = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     byte = np.arange(int(count.sum())) + np.repeat(start - begin, count)
-    left, here, right = (words.data[np.clip(byte + j, 0, len(words.data) - 1)].astype(np.int64) for j in (-1, 0, 1))
+    left, here, right = (words.data[np.clip(byte + j, 0, len(words.data) - 1)].astype(np.uint32) for j in (-1, 0, 1))
     left[begin] = right[begin + count - 1] = 32
     slot = (words.hash[at] >> U64(64 - 15)).astype(np.int64)
-    return Vocabulary(slot, ((left * 257 + here) * 257 + right) * 40503 % 16777213 % CHAR_SLOTS, begin, count), which.reshape(-1)
+    return Vocabulary(slot, (((left * 257 + here) * 257 + right) * np.uint32(2654435761) >> np.uint32(18)).astype(np.int32), begin, count), which.reshape(-1)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,20 +96,31 @@ class Network:
         self.moments: dict[str, list[np.ndarray]] = {}
         self.steps = 0
 
-    def inputs(self, v: Vocabulary) -> np.ndarray:
-        chars = np.add.reduceat(self.p["char"][v.chars], v.begin, axis=0) / v.count[:, None].astype(F32)
-        return np.concatenate((self.p["word"][v.slot], chars), axis=1)
+    def inputs(self, v: Vocabulary, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Inputs of words a to b of the vocabulary."""
+        b = len(v.slot) if b is None else b
+        if a == b:
+            return np.zeros((0, WORD_DIM + CHAR_DIM), F32)
+        chars = self.p["char"][v.chars[v.begin[a] : v.begin[b - 1] + v.count[b - 1]]]
+        mean = np.add.reduceat(chars, v.begin[a:b] - v.begin[a], axis=0) / v.count[a:b, None].astype(F32)
+        return np.concatenate((self.p["word"][v.slot[a:b]], mean), axis=1)
 
     def gates(self, v: Vocabulary) -> list[list[np.ndarray]]:
         """For both directions the input side of the update, reset and candidate gates, a row per distinct word.
 
         The last row is padding: its update gate is shut, so the state passes it unchanged.
         """
-        x, h, out = self.inputs(v), HIDDEN, []
-        for way in "fb":
-            whole = np.vstack((x @ self.p[f"x{way}"] + self.p[f"c{way}"], np.zeros((1, 3 * h), F32)))
-            whole[-1, :h] = SHUT
-            out.append([np.ascontiguousarray(whole[:, k * h : (k + 1) * h]) for k in range(3)])
+        n, h = len(v.slot), HIDDEN
+        out = [[np.zeros((n + 1, h), F32) for _ in range(3)] for _ in "fb"]
+        for a in range(0, n, _SOME_WORDS):
+            b = min(n, a + _SOME_WORDS)
+            x = self.inputs(v, a, b)
+            for gates, way in zip(out, "fb", strict=True):
+                whole = x @ self.p[f"x{way}"] + self.p[f"c{way}"]
+                for k in range(3):
+                    gates[k][a:b] = whole[:, k * h : (k + 1) * h]
+        for gates in out:
+            gates[0][-1] = SHUT
         return out
 
     def _run(self, way: str, gates: list[np.ndarray], grid: np.ndarray, keep: list | None) -> np.ndarray:
