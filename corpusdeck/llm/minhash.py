@@ -22,16 +22,31 @@ from .tokens import U64, Words, chunks, grams, inside, mix, words_of
 
 #: Trees of the forest and values of a sorted key. Each tree's first MIN_DEPTH values are its own, so a
 #: link of similarity s is missed with probability (1 - s ** MIN_DEPTH) ** TREES: 4e-7 at 0.85, 3e-5 at 0.8.
-TREES, KEY, MIN_DEPTH = 20, 8, 4
+#: The values beyond only order a region, a byte of each is enough; deep keys bring the most similar
+#: classes of even a very large region together.
+TREES, MIN_DEPTH, DEPTH = 20, 4, 28
 #: How many neighbours before it in an order each class is held against.
-NEIGHBOURS = 4
+NEIGHBOURS = 6
 #: Trees of the first round; the others' candidates are confirmed only between different components.
 FIRST_TREES = 2
 
 _VALUES = TREES * MIN_DEPTH
 _XOR, _MULTIPLY = mix(np.arange(1, _VALUES + 1, dtype=U64)), mix(np.arange(1, _VALUES + 1, dtype=U64) + U64(1 << 32)) | U64(1)
-#: Which signature values make up each tree's key: its own, then those of the trees after it.
-_ORDERS = np.array([[(t * MIN_DEPTH + j * (1 if j < MIN_DEPTH else 2 * MIN_DEPTH + 1)) % _VALUES for j in range(KEY)] for t in range(TREES)])
+#: Bytes of a key: whole values first, then a byte of each further one.
+_PREFIX = MIN_DEPTH * 4
+_KEY = _PREFIX + DEPTH - MIN_DEPTH
+
+
+def _orders() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each tree's own signature values, and the others that go on ordering it."""
+    r, out = np.random.default_rng(1), []
+    for t in range(TREES):
+        own = np.arange(t * MIN_DEPTH, (t + 1) * MIN_DEPTH)
+        out.append((own, r.permutation(np.setdiff1d(np.arange(_VALUES), own))[: DEPTH - MIN_DEPTH]))
+    return out
+
+
+_ORDERS = _orders()
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +100,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(row, 2000)
             signature = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(batch.num_rows, _VALUES)
             for t in range(TREES):
-                keys = np.ascontiguousarray(signature[:, _ORDERS[t]])
+                own, more = _ORDERS[t]
+                whole_values = np.ascontiguousarray(signature[:, own]).view(np.uint8)
+                keys = np.ascontiguousarray(np.concatenate((whole_values, (signature[:, more] & 255).astype(np.uint8)), axis=1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), batch.column(0), batch.column(1)],
                     ["tree", "key", "rep", "n"],
@@ -98,8 +115,6 @@ def _neighbours(percent: int):
     Output rows are candidate pairs (a, b, tree), or for the NEIGHBOURS rows at either end of a partition
     (border, rep, n, tree, prefix): border p lies between partitions p - 1 and p.
     """
-    width = MIN_DEPTH * 4
-
     def table(**columns) -> pa.RecordBatch:
         n = len(columns["tree"])
         kinds = {"a": pa.int64(), "b": pa.int64(), "tree": pa.int32(), "border": pa.int32(), "side": pa.int32(), "prefix": pa.binary(), "n": pa.int64()}
@@ -112,8 +127,8 @@ def _neighbours(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEY * 4)
-            prefix = keys[:, :width].copy().view(np.uint64)
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, _KEY)
+            prefix = keys[:, :_PREFIX].copy().view(np.uint64)
             new = [np.asarray(batch.column(0)), prefix, np.asarray(batch.column(2)), np.asarray(batch.column(3))]
             if head:
                 top = [x[:NEIGHBOURS] for x in new]
