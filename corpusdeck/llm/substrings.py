@@ -11,6 +11,7 @@ automaton each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import U64, Words, chunks, grams, inside, mix, sliding, words_of
+from .tokens import U64, Words, chunks, grams, inside, mix, sliding, text_bytes, words_of
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -249,7 +250,7 @@ def removed_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFra
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A third grouping column keeps the aggregate's partitioning from being the join's, so the join gets
     # exchanges of its own and adaptive execution can split a group of copies.
-    sequence = docs.mapInArrow(_sequences(window), "doc_id long, s1 long, s2 long")
+    sequence = cut(docs.mapInArrow(_sequences(window), "doc_id long, s1 long, s2 long"))
     first = sequence.groupBy("s1", "s2", F.pmod("s1", F.lit(1024)).alias("_spread")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     copies = sequence.join(first.where("first < last").select("s1", "s2", "first"), ["s1", "s2"]).where("doc_id > first").select("doc_id").distinct()
     anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long")
@@ -280,24 +281,25 @@ def _cut(place: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            words = words_of(batch.column(place))
-            text, count = words.data.tobytes(), words.count()
-            starts, ends = words.start.tolist(), words.end.tolist()
-            keep = np.ones(len(starts), bool)
+            data, at = text_bytes(batch.column(place))
+            raw, kept, count, left = data.tobytes(), [], [], []
             copies, spans = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
-            for i, (copy, cuts) in enumerate(zip(copies, spans, strict=True)):
-                base = int(words.first[i])
+            for a, b, copy, cuts in zip(at[:-1].tolist(), at[1:].tolist(), copies, spans, strict=True):
+                words = raw[a:b].split()
+                count.append(len(words))
                 if copy:
-                    keep[base : int(words.first[i + 1])] = False
-                for span in cuts or ():
-                    keep[base + span["a"] : base + span["b"]] = False
-            kept, left = [], np.concatenate(([0], np.cumsum(keep)))[words.first]
-            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                kept.append(b" ".join(text[starts[j] : ends[j]] for j in (np.flatnonzero(keep[a:b]) + a).tolist()).decode())
+                    words = []
+                elif cuts:
+                    keep = np.ones(len(words), bool)
+                    for span in cuts:
+                        keep[span["a"] : span["b"]] = False
+                    words = list(compress(words, keep.tolist()))
+                left.append(len(words))
+                kept.append(b" ".join(words).decode())
             columns = list(batch.columns[:-2])
             columns[place] = pa.array(kept, pa.string())
             names = batch.schema.names[:-2]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(count - np.diff(left))], [*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(np.subtract(count, left), pa.int64())], [*names, "n_words", "n_removed"])
 
     return run
 
