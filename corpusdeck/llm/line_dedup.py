@@ -33,9 +33,10 @@ def _hashed(lines: DataFrame, min_chars: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, dropped): positions of the lines that a document loses, ascending; documents that lose none are absent.
 
-    Each line counts once per document, and the count and the largest id of a hash come from a map-side
-    combined aggregate, so a line that a third of all documents hold is one row per map task. The join
-    back to the lines is a plain equi-join whose hot side adaptive execution splits.
+    Each line counts once per document id, whatever white space is at its ends and however many rows repeat
+    the id. The ids of a hash are made distinct by (hash, id) first, so a line that a third of all documents
+    hold spreads over all tasks, and their number and the largest come from a map-side combined aggregate.
+    The join back to the lines is a plain equi-join whose hot side adaptive execution splits.
     """
     keys = _keys(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     distinct = _hashed(keys.select("doc", F.explode(F.array_distinct("keys")).alias("line")), min_chars)
@@ -43,7 +44,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_co
         # The third grouping column keeps the aggregate's partitioning from being the join's, so the join
         # gets exchanges of its own, which adaptive execution can split.
         distinct.groupBy("h1", "h2", F.pmod("h1", F.lit(1024)).alias("_spread"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"), F.min("doc").alias("least"))
+        .agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"), F.min("doc").alias("least"))
         .where((F.col("n") >= min_docs) & (F.col("least") < F.col("keeper")))
         .select("h1", "h2", "keeper")
     )
@@ -57,7 +58,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
     A line's key is the line without white space at its ends, A-Z lower-cased; keys below min_chars code
     points never count. A null or empty text is one empty line and becomes an empty text. Rows with a null
-    id keep all lines and count for no key. Rows that repeat an id count each towards min_docs and lose the
+    id keep all lines and count for no key. Rows that repeat an id are one document for min_docs and lose the
     same positions. An empty table gives an empty table. The columns n_lines, n_dropped and _dropped of docs
     are replaced; all other columns stay.
     """

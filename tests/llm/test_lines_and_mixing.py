@@ -19,6 +19,15 @@ def test_lines_against_brute_force(spark):
     assert Counter(tuple(x) for x in got) == Counter(plain.line_dedup(rows))
 
 
+def test_lines_count_distinct_documents(spark):
+    """Variants of a line in one document, and rows that repeat an id, are one document each."""
+    two = [(1, f"  {LONG}\n{LONG}\n{LONG} \r"), (2, LONG)]
+    repeated = [(11, "another line that is long enough"), (11, "another line that is long enough"), (12, "another line that is long enough")]
+    three = [(21, "a third line that is long enough\n\ta third line that is long enough"), (22, "A third line that is long enough"), (23, "a third line that is long enough ")]
+    got = {(x.doc_id, x.n_dropped) for x in line_dedup(spark.createDataFrame(two + repeated + three, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 0), (11, 0), (12, 0), (21, 2), (22, 1), (23, 0)}
+
+
 def test_lines_keep_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, LONG, 7, "x"), (2, LONG, 8, "y"), (3, LONG, 9, "z")], "doc_id long, text string, n_lines int, _dropped string")
     out = {x.doc_id: x for x in line_dedup(df).collect()}
