@@ -1,5 +1,6 @@
 import random
 
+from corpusdeck.llm import minhash
 from corpusdeck.llm.components import components
 from corpusdeck.llm.minhash import near_duplicates
 from corpusdeck.llm.substrings import SuffixAutomaton, removed_spans, substring_dedup  # noqa: F401
@@ -57,6 +58,43 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {got[i] for i in range(400)} == {0} and all(got[1000 + i] == 1000 + i for i in range(20))
 
 
+def test_near_duplicates_of_hubs(spark):
+    """Texts whose only links lead to one of two texts of a crowded region are found, as brute force finds them."""
+    for percent, edits in ((85, 3), (80, 4)):
+        r = random.Random(percent)
+        base = words(r, 200, 10**6)
+        second = [f"s{i}" if i in (40, 90, 140, 180) else w for i, w in enumerate(base)]
+        texts = []
+        for i in range(700):
+            w = list(base if i % 2 else second)
+            for place in r.sample(range(5, 195), edits):
+                w[place] = f"x{i}_{place}"
+            texts.append(w)
+        rows = [(i, " ".join(w)) for i, w in enumerate([*texts, base, second])]
+        r.shuffle(rows)
+        want = plain.components({i: plain.shingles(t) for i, t in rows}, percent)
+        got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+        assert got == want
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Small blocks give the same components, with and without rows that link with many."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(minhash, "BLOCK_COLUMNS", 50)
+    monkeypatch.setattr(minhash, "_with_hubs", lambda rows, links, percent: links.where("false"))
+    r = random.Random(8)
+    base = words(r, 120, 10**6)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        w = list(base)
+        for place in r.sample(range(120), 2 if i % 3 else 5):
+            w[place] = f"x{i}_{place}"
+        rows.append((i, " ".join(w)))
+    want = plain.components({i: plain.shingles(t) for i, t in rows}, 85)
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (4, "a b c d e f", 2), (4, "a b c d e f", 3), (9, "a b c d e f", 4), (5, None, 5)], "doc_id long, text string, kept int")
     got = sorted(tuple(x) for x in near_duplicates(df).select("doc_id", "component_id", "kept").collect() if x.doc_id is not None)
