@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in
+    local mode; on a cluster that is an error, as a host's own folder is another one on each host."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="corpusdeck-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
@@ -29,3 +33,36 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later stages reread it instead of running its lineage again."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written to a table in the shared folder and read back.
+
+    Unlike a checkpoint, which keeps the size that its plan was estimated to have (joins multiply theirs, so
+    in a loop the estimate's digits grow without end), the table's size is what was written.
+    """
+    path = path or shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores before it as it takes not to be one of columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 from .components import components
 from .tokens import U64, Words, chunks, grams, inside, mix, words_of
 
@@ -31,7 +31,7 @@ TREES, MIN_DEPTH, DEPTH = 20, 4, 28
 #: How many neighbours before it in an order each class is held against.
 NEIGHBOURS = 6
 #: Rows and shingles of a block (a larger set is a block of its own), and columns of a matrix of blocks.
-BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_COLUMNS = 2048, 200_000, 4096
+BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_COLUMNS = 2048, 1_000_000, 4096
 #: Trees of the first round; the others' candidates are confirmed only between different components.
 FIRST_TREES = 2
 
@@ -122,7 +122,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _neighbours(percent: int):
     """Candidates between near rows of a sorted partition, and the rows at its borders.
 
-    Output rows are candidate pairs (a, b, tree), or for the NEIGHBOURS rows at either end of a partition
+    Output rows are candidate pairs (a, b, tree, prefix), or for the NEIGHBOURS rows at either end of a partition
     (border, rep, n, tree, prefix): border p lies between partitions p - 1 and p. Rows of a prefix that
     more than half of NEIGHBOURS rows share come as (rep, n, tree, prefix) too, some more than once: with
     the border rows these are all rows of each prefix that more than NEIGHBOURS + 1 rows share.
@@ -157,7 +157,7 @@ def _neighbours(percent: int):
                 ok = (tree[i] == tree[j]) & (prefix[i] == prefix[j]).all(axis=1) & (100 * small >= percent * large)
                 i, j = i[ok], j[ok]
                 if len(i):
-                    yield table(a=np.minimum(rep[i], rep[j]), b=np.maximum(rep[i], rep[j]), tree=tree[i])
+                    yield table(a=np.minimum(rep[i], rep[j]), b=np.maximum(rep[i], rep[j]), tree=tree[i], prefix=[x.tobytes() for x in prefix[i]])
             half = NEIGHBOURS // 2
             i = np.arange(max(half, fresh), len(tree))
             i = i[(tree[i] == tree[i - half]) & (prefix[i] == prefix[i - half]).all(axis=1)]
@@ -174,7 +174,11 @@ def _neighbours(percent: int):
 
 def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, tree): pairs of class representatives that are neighbours in a tree, the first such tree; and
-    (tree, prefix, rep, n): all rows of the prefixes whose rows did not all meet as neighbours."""
+    (tree, prefix, rep, n): all rows of the prefixes whose rows did not all meet as neighbours.
+
+    Neighbours in such a prefix are pairs in the first FIRST_TREES trees alone: those of the other trees are
+    left to the comparison of all its rows, which moves a text once a block and not once a pair.
+    """
     keys = classes.select("rep", "n", "signature").mapInArrow(_trees, "tree int, key binary, rep long, n long")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "key", "rep"]
@@ -187,13 +191,16 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     left = border.where("side = 0").select("border", "tree", "prefix", F.col("rep").alias("l"), F.col("n").alias("ln"))
     right = border.where("side = 1").select("border", "tree", "prefix", F.col("rep").alias("r"), F.col("n").alias("rn"))
     across = left.join(right, ["border", "tree", "prefix"]).where((F.col("l") != F.col("r")) & (100 * F.least("ln", "rn") >= percent * F.greatest("ln", "rn")))
-    pairs = found.where("b is not null").select("a", "b", "tree").unionAll(across.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "tree"))
+    pairs = found.where("b is not null").select("a", "b", "tree", "prefix").unionAll(across.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "tree", "prefix"))
     place = F.col("border") - 1 + F.col("side")
     rows = found.where("b is null").groupBy("tree", "prefix", F.col("a").alias("rep")).agg(F.max("n").alias("n"), F.max(place).alias("place"))
     # Rows of fewer also pass each other by if a partition with fewer than NEIGHBOURS rows, or none, lies between.
     crowded = rows.groupBy("tree", "prefix", _spread()).agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("lo"), F.max("place").alias("hi")).where((F.col("m") > NEIGHBOURS + 1) | (F.col("hi") > F.col("lo") + 1))
-    runs = rows.join(crowded.select("tree", "prefix"), ["tree", "prefix"]).select("tree", "prefix", "rep", "n")
-    return pairs.where("a <> b").groupBy("a", "b").agg(F.min("tree").alias("tree")), runs
+    crowded = stored(crowded.select("tree", "prefix"))
+    runs = rows.join(crowded, ["tree", "prefix"]).select("tree", "prefix", "rep", "n")
+    early = pairs.where(F.col("tree") < FIRST_TREES).select("a", "b", "tree")
+    late = pairs.where(F.col("tree") >= FIRST_TREES).join(crowded, ["tree", "prefix"], "left_anti").select("a", "b", "tree")
+    return early.unionAll(late).where("a <> b").groupBy("a", "b").agg(F.min("tree").alias("tree")), runs
 
 
 def _confirm(k: int, percent: int):
@@ -222,7 +229,7 @@ def _meet(runs: DataFrame, label: DataFrame) -> DataFrame:
     """runs with each row's component, without prefixes whose rows are all in one."""
     rows = runs.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = rows.groupBy("tree", "prefix", _spread()).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return cut(rows.join(apart.select("tree", "prefix"), ["tree", "prefix"]).select("tree", "prefix", "rep", "n", "component"))
+    return stored(rows.join(apart.select("tree", "prefix"), ["tree", "prefix"]).select("tree", "prefix", "rep", "n", "component"))
 
 
 def _with_hubs(rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +291,7 @@ def _all_links(rows: DataFrame, plain: DataFrame, k: int, percent: int) -> DataF
     key = ["tree", "prefix"]
     counts = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("m"))
     mains = counts.groupBy(*key, _spread()).agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    dealt = cut(rows.join(mains.select(*key, "main"), key).select("main", "rep", "n", "component").distinct().withColumn("other", F.col("component") != F.col("main")))
+    dealt = stored(rows.join(mains.select(*key, "main"), key).select("main", "rep", "n", "component").distinct().withColumn("other", F.col("component") != F.col("main")))
 
     def blocks(mine: Column) -> Column:
         return F.ceil(F.greatest(F.count_if(mine) / BLOCK_ROWS, F.sum(F.when(mine, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
@@ -317,32 +324,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(plain.mapInArrow(_signatures(k), "doc_id long, n_shingles long, s1 long, s2 long, signature binary"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("c"))
+    classes = full.groupBy("s1", "s2", F.pmod("s1", F.lit(1024)).alias("_spread")).agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("c"))
     classes = classes.select("s1", "s2", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.col("c.signature").alias("signature"))
-    pairs, runs = map(cut, candidates(classes, percent))
+    pairs, runs = map(stored, candidates(classes, percent))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = cut(plain.join(wanted, "doc_id", "left_semi"))
     first = confirmed(pairs.where(F.col("tree") < FIRST_TREES), texts, k, percent)
-    links = cut(first)
+    links = stored(first)
     label = components(links)
     rest = pairs.where(F.col("tree") >= FIRST_TREES)
     for side in ("a", "b"):
         rest = rest.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = cut(links.unionAll(confirmed(rest, texts, k, percent)))
+    links = stored(links.unionAll(confirmed(rest, texts, k, percent)))
     label = components(links)
     apart = _meet(runs, label)
     if not apart.isEmpty():
-        stars = cut(_with_hubs(apart, links, percent))
+        stars = stored(_with_hubs(apart, links, percent))
         wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        more = cut(confirmed(stars, plain.join(wanted, "doc_id", "left_semi"), k, percent))
+        more = stored(confirmed(stars, plain.join(wanted, "doc_id", "left_semi"), k, percent))
         if not more.isEmpty():
             label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
             apart = _meet(apart.drop("component"), label)
-        more = cut(_all_links(apart, plain, k, percent))
+        more = stored(_all_links(apart, plain, k, percent))
         if not more.isEmpty():
             label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     classed = classes.select("s1", "s2", "rep").join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("signature").join(classed, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # Texts without words share one key, so they stay out of the join.
+    linked = full.select("doc_id", "n_shingles", "s1", "s2").join(classed, ["s1", "s2"], "left").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
+    return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
