@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..dims import HEADING, LIST_MARKER
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -65,12 +68,15 @@ def is_junk_heading(title: Column) -> Column:
     )
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def contains_any(lowered: Column, phrases: list[str]) -> Column:
-    """Whether a lower-case text holds one of the phrases, also inside words."""
-    out = F.lit(False)
-    for phrase in phrases:
-        out = out | lowered.contains(phrase)
-    return out
+    """Whether a lower-case text holds one of the phrases, also inside words. Searching each phrase takes a
+    small part of the time of one pattern with all of them; lowered should be a column or bound by let."""
+    return reduce(lambda a, b: a | b, [lowered.contains(p) for p in phrases])
 
 
 def first_phrase(lowered: Column, phrases: list[str]) -> Column:
@@ -80,9 +86,35 @@ def first_phrase(lowered: Column, phrases: list[str]) -> Column:
 
 def dedupe(items: Column, most: int | None = None) -> Column:
     """The first of each item, compared lower-case and stripped, blanks dropped; at most most of them."""
-    clean = F.filter(F.transform(items, strip), lambda x: x != "")
-    kept = F.filter(clean, lambda x, i: F.array_position(F.transform(clean, F.lower), F.lower(x)) == i + 1)
-    return F.slice(kept, 1, most) if most else kept
+
+    def first(clean: Column) -> Column:
+        def pick(keys: Column) -> Column:
+            kept = F.array_distinct(keys)
+            return F.transform(F.slice(kept, 1, most) if most else kept, lambda k: F.element_at(clean, F.array_position(keys, k).cast("int")))
+
+        return let(F.transform(clean, F.lower), pick)
+
+    return let(F.filter(F.transform(items, strip), lambda x: x != ""), first)
+
+
+def first_hits(text: Column, pattern: str, before: int, after: int, most: int, clean=strip) -> Column:
+    """The text around each match of pattern, from before characters ahead of it to after behind it, cleaned, the
+    first of each (compared in lower case), at most most of them.
+
+    Gaps and matches add up to the text, so running lengths are positions; the fold stops looking once it has most.
+    """
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["gap"])
+        end = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
+        low = F.greatest(start - before, F.lit(0))
+        found = let(clean(F.substring(text, low + 1, end + after - low)), lambda x: F.when((x == "") | F.exists(acc["out"], lambda o: F.lower(o) == F.lower(x)), acc["out"]).otherwise(F.concat(acc["out"], F.array(x))))
+        return F.struct(end.alias("at"), F.when(pair["hit"].isNull() | (F.size(acc["out"]) >= most), acc["out"]).otherwise(found).alias("out"))
+
+    nothing = F.array().cast("array<string>")
+    pairs = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), folded).otherwise(nothing)
 
 
 def normalise(text: Column) -> Column:
@@ -110,18 +142,78 @@ def truncate_on_word(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(held, F.lit(" ,;:.-")), F.lit("…")))
 
 
-def drop_restatements(bullets: Column) -> Column:
-    """Bullets that neither equal, hold nor are held by an earlier kept one, compared in [a-z0-9 ] by whole words."""
+def bare(text: Column) -> Column:
+    """A text in [a-z0-9 ], with single spaces."""
+    return squeeze(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "))
+
+
+def _restates(a: Column, b: Column) -> Column:
+    """Whether one of two bare texts is the other or stands in it by whole words (four characters or more)."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    return (a == b) | ((F.length(short) >= 4) & F.concat(F.lit(" "), long, F.lit(" ")).contains(F.concat(F.lit(" "), short, F.lit(" "))))
+
+
+def restates_any(text: Column, others: Column) -> Column:
+    """Whether a text has no words or restates one of others."""
+    return let(bare(text), lambda t: (t == "") | F.exists(F.transform(others, bare), lambda o: _restates(o, t)))
 
-    def bare(x: Column) -> Column:
-        return squeeze(F.regexp_replace(F.lower(x), "[^a-z0-9 ]", " "))
 
-    def restates(a: Column, b: Column) -> Column:
-        short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-        return (a == b) | ((F.length(short) >= 4) & F.concat(F.lit(" "), long, F.lit(" ")).contains(F.concat(F.lit(" "), short, F.lit(" "))))
+def drop_restatements(bullets: Column, seed: Column | None = None) -> Column:
+    """Bullets that neither equal, hold nor are held by an earlier kept one, compared in [a-z0-9 ] by whole words.
 
-    empty = F.array().cast("array<string>")
-    return F.aggregate(bullets, empty, lambda kept, x: F.when((bare(x) == "") | F.exists(kept, lambda k: restates(bare(k), bare(x))), kept).otherwise(F.concat(kept, F.array(x))))
+    seed: bullets that stay as they are, ahead of the others. Each bullet's bare form is made once.
+    """
+    item = "array<struct<text:string,bare:string>>"
+    pairs = lambda xs: F.transform(xs, lambda x: F.struct(x.alias("text"), bare(x).alias("bare")))
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when((x["bare"] == "") | F.exists(kept, lambda k: _restates(k["bare"], x["bare"])), kept).otherwise(F.concat(kept, F.array(x)))
+
+    start = F.array().cast(item) if seed is None else pairs(seed).cast(item)
+    return F.transform(F.aggregate(pairs(bullets), start, step), lambda k: k["text"])
+
+
+def sentences_abbrev(text: Column) -> Column:
+    """Sentences without their points at the ends; a point is no end before a lower-case letter, nor after a digit,
+    a single capital or an abbreviation."""
+    # Such a point becomes a mark, the others before white space cut, and the marks become points again.
+    flat = squeeze(F.coalesce(text, F.lit("")))
+    token = r"(?<![A-Za-z0-9.])"
+    known = "|".join(a.replace(".", r"\.?") for a in dims.ABBREVIATIONS)
+    held = F.regexp_replace(flat, r"([.!?])(?= *\p{Ll})", "$1\u0001")
+    held = F.regexp_replace(held, r"(?<=[0-9])([.!?])(?= )", "$1\u0001")
+    held = F.regexp_replace(held, token + r"([A-Z])([.!?])(?= )", "$1$2\u0001")
+    held = F.regexp_replace(held, token + rf"(\.*(?i:{known})\.*)([.!?])(?= )", "$1$2\u0001")
+    parts = F.transform(F.split(held, r"(?<=[.!?]) "), lambda p: F.btrim(F.replace(p, F.lit("\u0001"), F.lit("")), F.lit(" .;:")))
+    return F.filter(parts, lambda p: p != "")
+
+
+def restore_missing_points(bullets: Column, source: Column) -> Column:
+    """bullets, then the source's sentences of four words or more that none of them restates, in order."""
+    some = F.filter(sentences_abbrev(source), lambda s: F.size(words(s)) >= 4)
+    cleaned = F.filter(F.transform(some, clean_bullet), lambda c: c != "")
+    return F.when(F.size(cleaned) > 0, drop_restatements(cleaned, bullets)).otherwise(bullets)
+
+
+def split_label_body(text: Column, fallback: Column) -> Column:
+    """(label, body) of 'Label: body' with a label of five words at most, in capitals; up to two labels that only
+    name a field are peeled off; without a label the fallback and the whole text."""
+
+    def split(t: Column) -> Column:
+        label, rest = strip(F.regexp_extract(t, dims.LABELLED, 1)), strip(F.regexp_extract(t, dims.LABELLED, 2))
+        return let(F.struct(t.alias("t"), label.alias("label"), rest.alias("rest")), lambda x: F.struct(x["t"], x["label"], x["rest"], ((x["rest"] != "") & (x["label"] != "") & (F.size(words(x["label"])) <= 5)).alias("ok"), F.lower(x["label"]).isin(*dims.META_LABELS).alias("meta")))
+
+    def found(x: Column) -> Column:
+        return F.struct(F.upper(x["label"]).alias("label"), x["rest"].alias("body"))
+
+    def none(t: Column) -> Column:
+        return F.struct(fallback.alias("label"), t.alias("body"))
+
+    def again(x: Column) -> Column:
+        second = let(split(x["rest"]), lambda y: F.when(~y["ok"], none(x["rest"])).when(y["meta"], none(y["rest"])).otherwise(found(y)))
+        return F.when(~x["ok"], none(x["t"])).when(x["meta"], second).otherwise(found(x))
+
+    return let(split(normalise(F.coalesce(text, F.lit("")))), again)
 
 
 def trim_bullet(text: Column, max_words: Column, max_chars: Column) -> Column:
@@ -136,3 +228,8 @@ def trim_bullet(text: Column, max_words: Column, max_chars: Column) -> Column:
     space = F.length(cut) - F.locate(" ", F.reverse(cut))
     short = F.when((F.locate(" ", F.reverse(cut)) > 0) & (space > max_chars * 0.6), F.substring(cut, F.lit(1), space)).otherwise(cut)
     return F.when(F.length(clean) > max_chars, F.rtrim(short)).otherwise(clean)
+
+
+def clean_label(text: Column, limit: int = 60) -> Column:
+    """A bullet for a box: cleaned, without points at its ends, cut at a word beyond limit characters."""
+    return truncate_on_word(F.btrim(clean_bullet(text), F.lit(" .;:")), limit)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a section's topic (fixed values).
-STOPWORDS = ["this", "that", "with", "from", "have", "will", "your", "about", "into", "their", "there", "which", "when", "where", "what", "these", "those", "than", "then", "also", "page", "slide", "figure", "table"]
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "is", "are", "was", "were", "be", "by", "as", "at", "from", "that", "this", "it", "its", "into", "than", "then", "but", "not", "can", "will", "step",
+]
 LEAST_OVERLAP = 0.25
 
 
@@ -45,7 +47,7 @@ def anchor_assets(sections: DataFrame, assets: DataFrame) -> DataFrame:
         .agg(F.min("section_id").alias("exact"))
     )
     own = sections.select("doc_id", "section_id", _tokens(F.concat_ws(" ", "title", "text")).alias("w")).select("doc_id", "section_id", F.size("w").alias("ns"), F.explode("w").alias("w"))
-    has = assets.select(*keys, _tokens(F.concat_ws(" ", "unit_title", "unit_text")).alias("w")).select(*keys, F.size("w").alias("na"), F.explode("w").alias("w"))
+    has = assets.select(*keys, _tokens(F.col("unit_text")).alias("w")).select(*keys, F.size("w").alias("na"), F.explode("w").alias("w"))
     shared = has.join(own, ["doc_id", "w"]).groupBy(*keys, "section_id", "na", "ns").agg(F.count(F.lit(1)).alias("n"))
     overlap = shared.withColumn("overlap", F.col("n") / F.least("na", "ns")).where(F.col("overlap") >= LEAST_OVERLAP)
     order = Window.partitionBy(*keys).orderBy(F.desc("overlap"), "section_id")

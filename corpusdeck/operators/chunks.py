@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import CHUNK_WORDS
+from ..functions.rows import exploded
 from ..functions.text import lines, strip, without_marker, words
 
 _MARKED = r"^[ \t]*([-*+•]|[0-9]+[.)])[ \t]+"
@@ -57,7 +58,7 @@ def split_paragraphs(units: DataFrame) -> DataFrame:
 
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(_NONE).alias("mode")).cast(_STATE)
     folded = F.aggregate(lines(F.col("text")), zero, step, lambda s: flush(s, F.when(s["mode"] == _NONE, F.lit(" ")).otherwise(F.lit("\n"))))
-    return units.select("doc_id", "unit_id", "title", F.posexplode(folded).alias("para_no", "paragraph"))
+    return exploded(units, folded, "doc_id", "unit_id", "title", pos="para_no", value="paragraph")
 
 
 def chunk_words(paragraphs: DataFrame, most: int = CHUNK_WORDS) -> DataFrame:
@@ -65,7 +66,7 @@ def chunk_words(paragraphs: DataFrame, most: int = CHUNK_WORDS) -> DataFrame:
     w = words(F.col("paragraph"))
     whole = F.col("paragraph").startswith("[TABLE DATA]") | F.col("paragraph").contains(" | ") | (F.size(w) <= most)
     pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / most).cast("int") - 1), lambda i: F.array_join(F.slice(w, i * most + 1, F.lit(most)), " "))
-    return paragraphs.select("doc_id", "unit_id", "title", "para_no", F.posexplode(F.when(whole, F.array("paragraph")).otherwise(pieces)).alias("piece_no", "text"))
+    return exploded(paragraphs, F.when(whole, F.array("paragraph")).otherwise(pieces), "doc_id", "unit_id", "title", "para_no", pos="piece_no", value="text")
 
 
 def chunk_corpus(units: DataFrame, most: int = CHUNK_WORDS) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions.rows import exploded
 from ..functions.text import drop_restatements, strip, trim_bullet, words
+from ..plans.specs import chain_text
 
 
 def density_profiles(decks: DataFrame, density_col: str = "density") -> DataFrame:
@@ -29,9 +31,13 @@ def balanced_page(n: Column, size: Column, place: Column) -> Column:
 
 
 def page_of(items: Column, size: Column, page: Column) -> Column:
-    """The items of a page of an array."""
+    """The items of a page of an array; a page beyond the last has none."""
     n = F.size(items)
-    return F.filter(items, lambda x, i: balanced_page(n, size, i) == page)
+    pages = F.ceil(n / F.greatest(size, F.lit(1))).cast("int")
+    base, extra = F.floor(n / F.greatest(pages, F.lit(1))).cast("int"), n % F.greatest(pages, F.lit(1))
+    start = page * base + F.least(page, extra)
+    length = base + (page < extra).cast("int")
+    return F.when(page < pages, F.slice(items, start + 1, length)).otherwise(F.slice(items, 1, 0))
 
 
 def balanced_pages(items: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
@@ -61,8 +67,24 @@ def part_title(title: Column, page: Column, pages: Column) -> Column:
     return F.when(pages <= 1, title).otherwise(F.concat(base, F.lit(" ("), (page + 1).cast("string"), F.lit("/"), pages.cast("string"), F.lit(")")))
 
 
-def apply_density(slides: DataFrame, density: str | None = None) -> DataFrame:
-    """(doc_id, slide_ix, page, layout_type, title, bullets, table_rows, takeaway, continued): slides within a profile, nothing lost.
+def extras_of(items: int) -> Column:
+    """Up to items extras of the enhancement columns, the first non-blank text of each kind, with its label."""
+    first = lambda c: F.get(F.filter(F.transform(F.col(c), strip), lambda x: x != ""), F.lit(0))
+    labelled = F.array(*[F.concat(F.lit(f"{label}: "), first(column)) for label, column in dims.EXTRAS])
+    return F.slice(F.filter(labelled, lambda x: x.isNotNull()), 1, items)
+
+
+def fold_extras(enhancements: DataFrame, density: str | None = None) -> DataFrame:
+    """(doc_id, slide_ix, ord, extra): what a profile shows of each slide's examples, analogies, applications, mistakes and revision points."""
+    items = dims.PROFILES.get((density or "").lower(), dims.PROFILES[dims.DEFAULT_PROFILE])[dims.PROFILE_FIELDS.index("extras")]
+    return exploded(enhancements, extras_of(items), "doc_id", "slide_ix", value="extra")
+
+
+def apply_density(slides: DataFrame, density: str | None = None, enhancements: DataFrame | None = None) -> DataFrame:
+    """(doc_id, slide_ix, page, layout_type, title, bullets, table_rows, takeaway, image, diagram, continued): slides within a profile, nothing lost.
+
+    enhancements (doc_id, slide_ix and the columns of dims.EXTRAS) add the profile's extras to text slides. The
+    image, where slides have one, stays on the first page; a flow's pages have a diagram of their own steps.
 
     METRIC and QUIZ slides stay whole; tables page their rows with the header on each page, and their lead
     bullets beside them; flows page their steps; other slides drop restatements of bullets and title first.
@@ -75,13 +97,22 @@ def apply_density(slides: DataFrame, density: str | None = None) -> DataFrame:
     is_table = (layout == "TABLE") & (F.size(F.coalesce("table_rows", F.array().cast("array<array<string>>"))) > 1)
     is_flow = layout.isin("FLOWCHART", "PROCESS_DIAGRAM") & (F.size(bullets) > 0)
     atomic = layout.isin("METRIC", "QUIZ")
-    text = trimmed(without_title_restatements(drop_restatements(bullets), F.col("title")))
+    extras = F.array().cast("array<string>")
+    if enhancements is not None:
+        columns = [c for _, c in dims.EXTRAS]
+        joined = slides.join(enhancements.select("doc_id", "slide_ix", *[F.col(c).alias(f"_{c}") for c in columns]), ["doc_id", "slide_ix"], "left")
+        slides = joined.withColumns({c: F.coalesce(f"_{c}", extras) for c in columns}).drop(*[f"_{c}" for c in columns])
+        extras = extras_of(profile["extras"])
+    text = F.concat(trimmed(without_title_restatements(drop_restatements(bullets), F.col("title"))), trimmed(extras))
     items = F.when(atomic, trimmed(F.slice(bullets, 1, profile["max_bullets"]))).when(is_table | is_flow, trimmed(bullets)).otherwise(text)
     size = F.when(is_flow, profile["max_steps"]).when(layout == "CARD_GRID", profile["max_cards"]).otherwise(profile["max_bullets"])
     rows = F.when(is_table, F.slice("table_rows", F.lit(2), F.size("table_rows") - 1)).otherwise(F.array().cast("array<array<string>>"))
-    whole = slides.withColumns({"_layout": layout, "_items": items, "_size": F.when(atomic, F.greatest(F.size(items), F.lit(1))).otherwise(size), "_rows": rows, "_head": F.when(is_table, F.slice("table_rows", 1, 1))})
+    image = F.col("image") if "image" in slides.columns else F.lit(None).cast("string")
+    diagram = chain_text(page_of(F.col("_items"), F.col("_size"), F.col("page")), "P", 40, "LR")
+    whole = slides.withColumns({"_layout": layout, "_flow": is_flow, "_items": items, "_size": F.when(atomic, F.greatest(F.size(items), F.lit(1))).otherwise(size), "_rows": rows, "_head": F.when(is_table, F.slice("table_rows", 1, 1))})
     pages = F.greatest(F.lit(1), F.ceil(F.size("_items") / F.col("_size")), F.ceil(F.size("_rows") / F.lit(profile["max_rows"]))).cast("int")
-    out = whole.withColumn("_pages", pages).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1)))
+    paged = whole.withColumn("_pages", pages)
+    out = exploded(paged, F.sequence(F.lit(0), F.col("_pages") - 1), *paged.columns, pos="page", value="_at")
     own_rows = page_of(F.col("_rows"), F.lit(profile["max_rows"]), F.col("page"))
     return out.select(
         "doc_id",
@@ -92,6 +123,8 @@ def apply_density(slides: DataFrame, density: str | None = None) -> DataFrame:
         page_of(F.col("_items"), F.col("_size"), F.col("page")).alias("bullets"),
         F.when(F.size(own_rows) > 0, F.concat("_head", own_rows)).alias("table_rows"),
         F.when(F.col("page") == F.col("_pages") - 1, F.col("takeaway")).otherwise("").alias("takeaway"),
+        F.when(F.col("page") == 0, image).alias("image"),
+        F.when(F.col("_flow"), diagram).alias("diagram"),
         (F.col("page") > 0).alias("continued"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import MERGED_CHARS
+from ..functions.rows import exploded
 from ..functions.text import heading_level, heading_text, is_junk_heading, lines, strip, words
 
 SECTION = "array<struct<title:string,level:int,text:string>>"
@@ -89,7 +90,7 @@ def split_sections(docs: DataFrame, max_level: int = 2, inherit: bool = True, me
     out = with_sections(docs.select("doc_id", "markdown"), max_level)
     out = inherit_titles(out) if inherit else out
     out = merge_repeated_titles(out) if merge else out
-    return out.select("doc_id", F.posexplode("sections").alias("section_id", "s")).select("doc_id", "section_id", "s.title", "s.level", "s.text")
+    return exploded(out, "sections", "doc_id", pos="section_id").select("doc_id", "section_id", "x.title", "x.level", "x.text")
 
 
 def section_outline(docs: DataFrame) -> DataFrame:
@@ -104,7 +105,3 @@ def sections_to_units(sections: DataFrame) -> DataFrame:
     content = F.filter(lines(F.col("text")), lambda x: strip(x) != "")
     title = F.when(F.col("title") == "", F.concat(F.lit("Section "), (F.col("section_id") + 1).cast("string"))).otherwise(F.col("title"))
     return sections.select("doc_id", F.col("section_id").alias("unit_id"), (F.col("section_id") + 1).alias("slide"), title.alias("title"), "text", content.alias("content"))
-
-
-def word_total(text: Column) -> Column:
-    return F.size(words(text))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import dims
+from .operators.assets import STOPWORDS
 
 #: White space as a SQL string, and pieces that several statements share.
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -143,10 +144,15 @@ SELECT doc_id, CAST(o AS INTEGER) AS ord, l AS left_side, r AS right_side, p AS
 """
 ORACLE["e10_causes"] = f"""
 WITH {UNITS}, {TEXTS}, c AS (SELECT doc_id, ord, 0 AS k, r AS cause, l AS effect FROM ({_sides(dims.CAUSE_PHRASES, 150)}) UNION ALL SELECT doc_id, ord, 1, l, r FROM ({_sides(dims.EFFECT_PHRASES, 150)})),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) - 1 AS o FROM c)
+f AS (SELECT *, min(ord * 2 + k) OVER (PARTITION BY doc_id, cause, effect) AS first FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) - 1 AS o FROM f WHERE k = 0 OR first = ord * 2 + k)
 SELECT doc_id, CAST(o AS INTEGER) AS ord, cause, effect FROM n WHERE o < 6
 """
-_STEPS = _dedupe(f"list_filter(body, lambda b: regexp_matches(b, {_quote(dims.STEP)}))", 10)
+_WHOLE = _strip("plain")
+_STEPS = _dedupe(
+    f"list_concat(CASE WHEN regexp_matches({_WHOLE}, {_quote(dims.STEP)}) AND length({_WHOLE}) > 4 THEN [regexp_replace({_WHOLE}, {_quote(dims.STEP)}, '')] ELSE [] END, list_filter(body, lambda b: regexp_matches(b, {_quote(dims.STEP)})))",
+    10,
+)
 ORACLE["e14_steps"] = f"WITH {UNITS}, {TEXTS}, k AS (SELECT doc_id, {_STEPS} AS v FROM sents) SELECT doc_id, CAST(ord AS INTEGER) AS ord, x AS step FROM ({_exploded('k', 'v')})"
 _ASKS = (
     f"(x LIKE '%?' OR (coalesce(regexp_extract(lower(x), '[a-z'']+'), '') IN ({', '.join(_quote(w) for w in dims.QUESTION_WORDS)}) AND len({_words('x')}) < 15))"
@@ -161,9 +167,9 @@ SELECT doc_id, CAST(o AS INTEGER) AS ord, md5(x) AS question, md5(answer) AS ans
 ORACLE["e20_complexity_signals"] = f"""
 WITH {UNITS}, {TEXTS}, w AS (SELECT *, regexp_extract_all(lower(plain), '[a-z'']+') AS ws FROM sents),
 n AS (SELECT doc_id, greatest(len(ws), 1) AS total, len(list_distinct(ws)) AS kinds, len(ss) AS n, len(list_filter(ws, lambda x: x IN ({', '.join(_quote(t) for t in dims.TECHNICAL_TERMS)}))) AS tech,
-  len(body) + CASE WHEN title <> '' THEN 1 ELSE 0 END AS elements FROM w)
+  len(body) + CASE WHEN title <> '' THEN 1 ELSE 0 END AS elements, CASE WHEN title <> '' THEN 1 ELSE 0 END AS heads FROM w)
 SELECT doc_id, round_even(CAST(kinds AS DOUBLE) / total, 4) AS vocab_richness, round_even(CASE WHEN n > 0 THEN CAST(total AS DOUBLE) / n ELSE 0.0 END, 2) AS avg_sent_length,
-  round_even(tech / (total / 100.0::DOUBLE), 2) AS technical_density, CAST(elements AS INTEGER) AS element_count, CAST(total AS INTEGER) AS total_words, CAST(n AS INTEGER) AS sentence_count FROM n
+  round_even(tech / (total / 100.0::DOUBLE), 2) AS technical_density, CAST(elements AS INTEGER) AS element_count, CAST(total AS INTEGER) AS total_words, CAST(n AS INTEGER) AS sentence_count, CAST(elements > heads AS INTEGER) AS max_bullet_depth FROM n
 """
 _HITS = " UNION ALL ".join(
     f"SELECT doc_id, {i} AS rank, {_quote(intent)} AS intent, {' + '.join(f'CAST(contains(low, {_quote(k)}) AS INTEGER)' for k in keys)} AS hits, {max(1.0, 0.3 * len(keys))!r}::DOUBLE AS full_ FROM lows"
@@ -174,16 +180,6 @@ ORACLE["f1_intent_keywords"] = f"WITH {UNITS}, {TEXTS}, {_LOWS}, h AS ({_HITS})
 _BLOCK_WORDS = f"len({_words('text')}) <= 8"
 ORACLE["f4_repeated_texts"] = f"WITH {UNITS}, {TEXTS}, {BLOCKS} SELECT doc_id, lower({_strip('text')}) AS text, count(*) AS n FROM unit_blocks WHERE {_BLOCK_WORDS} AND text <> '' GROUP BY ALL HAVING count(*) >= 3"
 ORACLE["f4_corpus_boilerplate"] = f"WITH {UNITS}, {TEXTS}, {BLOCKS} SELECT lower({_strip('text')}) AS text, count(DISTINCT doc_id) AS n_docs FROM unit_blocks WHERE {_BLOCK_WORDS} AND text <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3"
-ORACLE["f5_priorities"] = f"""
-WITH {UNITS}, {TEXTS}, {BLOCKS}, t AS (SELECT *, lower({_strip('text')}) AS low, len({_words('text')}) AS n FROM unit_blocks),
-again AS (SELECT doc_id, low FROM t WHERE n <= 8 AND text <> '' GROUP BY ALL HAVING count(*) >= 3),
-p AS (SELECT t.doc_id, CASE WHEN a.doc_id IS NOT NULL THEN 'Repeated'
-  WHEN regexp_matches(t.low, '^[0-9]+$|^page [0-9]+|^slide [0-9]+|^copyright|^©|all rights reserved|^confidential') THEN 'Decorative'
-  WHEN is_heading THEN 'High'
-  WHEN bullet_level >= 2 OR {_any('t.low', ["as you can see", "in this slide", "let us", "let's", "as mentioned", "needless to say"])} OR n > 45 THEN 'Low' ELSE 'Medium' END AS priority
-  FROM t LEFT JOIN again a ON t.doc_id = a.doc_id AND t.low = a.low AND t.n <= 8)
-SELECT doc_id, priority, count(*) AS n FROM p GROUP BY ALL
-"""
 ORACLE["f9_layout_class"] = f"""
 WITH {TURNS}, t AS (SELECT *, lower(text) AS low, len(list_filter(list_transform({_lines('text')}, lambda l: {_strip('l')}), lambda l: length(l) - length(replace(l, '|', '')) >= 2 AND NOT regexp_full_match(l, '[|\\s:-]+'))) AS rows FROM units)
 SELECT doc_id, unit_id, CASE WHEN regexp_matches(low, {_quote(dims.LAYOUT_FLOW)}) THEN 'FLOWCHART' WHEN rows >= 2 OR regexp_matches(low, {_quote(dims.LAYOUT_TABLE)}) THEN 'TABLE'
@@ -274,23 +270,82 @@ SELECT part, count(*) AS n, round(avg(value), 4) AS mean FROM long GROUP BY part
 
 # Counts of signals, intents and complexity of documents.
 _ORDINAL = "\\b(" + "|".join(dims.ORDINAL_WORDS) + ")\\b"
+
+
+def _around(pattern: str, before: int, after: int, clean) -> str:
+    """What stands around each match of a pattern in plain, in order; gaps and matches add up to the text."""
+    gaps, hits = f"regexp_split_to_array(plain, {_quote(pattern)})", f"regexp_extract_all(plain, {_quote(pattern)})"
+    start = f"CAST(list_sum(list_transform({gaps}[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform({hits}[1:i], lambda g: length(g))), 0) AS BIGINT)"
+    low = f"greatest({start} - {before}, 0)"
+    piece = f"substr(plain, {low} + 1, {start} + length({hits}[i + 1]) + {after} - {low})"
+    return f"CASE WHEN regexp_matches(plain, {_quote(pattern)}) THEN list_transform(range(len({hits})), lambda i: {clean(piece)}) ELSE [] END"
+
+
+_NUMBERS = _dedupe(_around(dims.NUMBER, 30, 30, lambda x: f"regexp_replace({_strip(x)}, '^\\S+\\s', '')"), 12)
 _CHRONOLOGY = _dedupe(
-    f"list_concat(list_transform(regexp_extract_all(plain, {_quote('(?s).{0,10}' + dims.DATE + '.{0,60}')}), lambda d: substr({_strip('d')}, 1, 120)), "
-    f"list_transform(list_filter(ss, lambda s: regexp_matches(lower(s), {_quote(_ORDINAL)})), lambda s: substr(s, 1, 150)))",
+    f"list_concat({_around(dims.DATE, 10, 60, lambda x: f'substr({_strip(x)}, 1, 120)')}, list_transform(list_filter(ss, lambda s: regexp_matches(lower(s), {_quote(_ORDINAL)})), lambda s: substr(s, 1, 150)))", 10
+)
+_CONCEPT = _dedupe(
+    f"list_concat(CASE WHEN length({_strip('title')}) > 1 THEN list_filter(list_transform(regexp_split_to_array(title, '[:\\-–|/]'), lambda p: {_strip('p')}), lambda p: length(p) > 1) ELSE [] END, "
+    "regexp_extract_all(title, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+'))",
     10,
 )
-_NUMBERS = _dedupe(f"list_transform(regexp_extract_all(plain, {_quote('(?s)(.{0,30})(' + dims.NUMBER + ')(.{0,30})')}), lambda h: regexp_replace({_strip('h')}, '^\\S+\\s', ''))", 12)
+_WORDSET = "list_distinct(regexp_extract_all(lower({0}), '[a-z'']+'))"
+
+
+def _alike(a: str, b: str) -> str:
+    n = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE {n} / (len({a}) + len({b}) - {n})::DOUBLE END"
+
+
+_SUPPORTING = _dedupe(
+    f"list_transform(list_filter(body, lambda t: length(t) >= 5 AND NOT regexp_full_match(t, '[0-9\\s.,%$\\-]+') AND len(list_filter(concept, lambda c: {_alike(_WORDSET.format('t'), _WORDSET.format('c'))} > 0.7)) = 0), lambda t: substr(t, 1, 120))", 8
+)
+_FORMULA = _dedupe(
+    f"list_concat(list_filter(list_transform(regexp_extract_all(plain, {_quote(dims.FORMULA)}), lambda x: {_strip('x')}), lambda x: length(x) BETWEEN 4 AND 200), "
+    f"list_transform(regexp_extract_all(plain, {_quote(dims.FORMULA_WORD)}, 1), lambda x: substr({_strip('x')}, 1, 150)))",
+    8,
+)
 _DEFINED = f"list_filter(body, lambda b: regexp_matches(b, {_quote(dims.COLON_DEFINITION)}))"
 _TERM = _strip("regexp_extract(b, " + _quote(dims.COLON_DEFINITION) + ", 1)")
+# Terms of a unit: the last phrase of each, and colon forms of the others.
+_TERMS = (
+    f"dp AS (SELECT doc_id, unit_id, generate_subscripts(hs, 1) AS i, unnest(hs) AS h FROM (SELECT doc_id, unit_id, regexp_extract_all(plain, {_quote(dims.DEFINITION)}) AS hs FROM sents)), "
+    f"dt AS (SELECT doc_id, unit_id, i, {_strip(f'regexp_extract(h, {_quote(dims.DEFINITION)}, 1)')} AS term, {_strip(f'regexp_extract(h, {_quote(dims.DEFINITION)}, 2)')} AS definition FROM dp), "
+    f"dq AS (SELECT doc_id, unit_id, i, {_strip(f'regexp_replace(term, {_quote(chr(40) + chr(63) + chr(105) + chr(41) + str())}' + ' || ' + _quote('\\s+(a|an|the)\\s*$') + f', {_quote(str())})')} AS term, substr(definition, 1, 300) AS definition FROM dt WHERE length(term) >= 3 AND length(definition) >= 5), "
+    "dl AS (SELECT doc_id, unit_id, term, arg_max(definition, i) AS definition FROM dq GROUP BY ALL), "
+    f"dc AS (SELECT doc_id, unit_id, i, {_TERM} AS term, substr({_strip('regexp_extract(b, ' + _quote(dims.COLON_DEFINITION) + ', 2)')}, 1, 300) AS definition FROM (SELECT doc_id, unit_id, generate_subscripts(ds, 1) AS i, unnest(ds) AS b FROM (SELECT doc_id, unit_id, {_DEFINED} AS ds FROM sents))), "
+    "df AS (SELECT doc_id, unit_id, term, arg_min(definition, i) AS definition FROM dc GROUP BY ALL), "
+    "terms AS (SELECT * FROM dl UNION ALL SELECT * FROM df ANTI JOIN dl USING (doc_id, unit_id, term))"
+)
+_SIG = (
+    f"sig AS (SELECT doc_id, unit_id, title, body, {_STEPS} AS step, {_dedupe(_holding('ss', dims.SIGNAL_PHRASES['process']), 6)} AS process, {_CHRONOLOGY} AS chronology, {_NUMBERS} AS number, {_FORMULA} AS formula, {_CONCEPT} AS concept FROM sents), "
+    f"signals AS (SELECT *, {_SUPPORTING} AS supporting FROM sig)"
+)
+ORACLE["e3_key_concepts"] = f"""
+WITH units AS (SELECT doc_id, 0 AS unit_id, concat_ws(': ', source, lang) AS title, coalesce(text, '') AS text FROM documents), {TEXTS}, c AS (SELECT doc_id, {_CONCEPT} AS cs FROM sents)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, x AS concept FROM ({_exploded('c', 'cs')})
+"""
+ORACLE["e4_supporting_concepts"] = f"WITH {TURNS}, {TEXTS}, {_SIG} SELECT doc_id, unit_id, CAST(ord AS INTEGER) AS ord, x AS concept FROM ({_exploded('signals', 'supporting', 'doc_id, unit_id')})"
+for _name, _column, _alias in (("e7_numbers", "number", "number"), ("e11_chronology", "chronology", "item"), ("e16_formulas", "formula", "formula")):
+    ORACLE[_name] = f"WITH {UNITS}, {TEXTS}, {_SIG} SELECT doc_id, CAST(ord AS INTEGER) AS ord, x AS {_alias} FROM ({_exploded('signals', _column)})"
+ORACLE["e17_lists"] = f"WITH {UNITS}, {TEXTS} SELECT doc_id, CAST(0 AS INTEGER) AS ord, CAST(len(body) AS INTEGER) AS n, md5(array_to_string(body, chr(10))) AS digest FROM texts WHERE len(body) >= 2"
+ORACLE["e5_glossary"] = f"WITH {UNITS}, {TEXTS}, {_TERMS} SELECT term, count(*) AS n_docs, arg_min(definition, doc_id) AS definition FROM terms GROUP BY term"
 _FAQS = "WITH " + ORACLE["e18_faqs"].split("WITH ", 1)[1].rsplit("SELECT", 1)[0] + "SELECT doc_id, least(count(*), 6) AS n FROM n GROUP BY doc_id"
 _COMPARED = f"WITH {UNITS}, {TEXTS} SELECT doc_id, least(count(*), 6) AS n FROM ({_sides(dims.COMPARISON_PHRASES, 100)}) GROUP BY doc_id"
 _COUNTS = (
-    f"{UNITS}, {TEXTS}, counts AS (SELECT s.doc_id, lower(plain) AS low, len({_STEPS}) AS n_step, len({_CHRONOLOGY}) AS n_chronology, len({_NUMBERS}) AS n_number, "
-    f"len(list_distinct(list_transform({_DEFINED}, lambda b: {_TERM}))) AS n_definition, "
+    f"{UNITS}, {TEXTS}, {_TERMS}, counts AS (SELECT s.doc_id, lower(plain) AS low, len({_STEPS}) AS n_step, len({_CHRONOLOGY}) AS n_chronology, len({_NUMBERS}) AS n_number, "
+    "coalesce(d.n, 0) AS n_definition, CAST(len(body) >= 2 AS INTEGER) AS n_list, "
     f"len({_dedupe(_holding('ss', dims.SIGNAL_PHRASES['process']), 6)}) AS n_process, len({_dedupe(_holding('ss', dims.SIGNAL_PHRASES['example']), 6)}) AS n_example, "
-    f"coalesce(c.n, 0) AS n_comparison, coalesce(f.n, 0) AS n_faq FROM sents s LEFT JOIN ({_COMPARED}) c ON c.doc_id = s.doc_id LEFT JOIN ({_FAQS}) f ON f.doc_id = s.doc_id)"
+    f"coalesce(c.n, 0) AS n_comparison, coalesce(f.n, 0) AS n_faq FROM sents s LEFT JOIN ({_COMPARED}) c ON c.doc_id = s.doc_id LEFT JOIN ({_FAQS}) f ON f.doc_id = s.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id) d ON d.doc_id = s.doc_id)"
 )
-_RULES = {intent: f"CASE WHEN n_{signal} >= {least} THEN {value} ELSE 0.0 END::DOUBLE" for intent, signal, least, value in dims.INTENT_BONUS}
+# Documents have no tables, equations, diagrams or charts, and no bullet deeper than one.
+_RULES: dict[str, str] = {}
+for _intent, _what, _least, _value in dims.INTENT_BONUS:
+    if _what in dims.SIGNAL_PHRASES or _what in ("step", "chronology", "comparison", "definition", "number", "faq"):
+        _RULES[_intent] = f"CASE WHEN n_{_what} >= {_least} THEN {_value} ELSE 0.0 END::DOUBLE"
+    elif _what == "list_or_steps":
+        _RULES[_intent] = f"CASE WHEN n_list > 0 OR n_step >= 3 THEN {_value} ELSE 0.0 END::DOUBLE"
 _SCORED = " UNION ALL ".join(
     f"SELECT doc_id, {i} AS o, {_quote(intent)} AS intent, round_even(least(1.0::DOUBLE, ({' + '.join(f'CAST(contains(low, {_quote(k)}) AS INTEGER)' for k in keys)}) / {max(1.0, 0.3 * len(keys))!r}::DOUBLE) * 0.6::DOUBLE "
     f"+ {_RULES.get(intent, '0.0::DOUBLE')} * 0.4::DOUBLE, 4) AS score FROM counts"
@@ -300,11 +355,12 @@ _INTENTS = (
     f"{_COUNTS}, scored AS ({_SCORED}), best AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, o) AS INTEGER) AS rank FROM scored WHERE score >= 0.2), "
     "intents AS (SELECT doc_id, rank, intent, score FROM best WHERE rank <= 4 UNION ALL SELECT doc_id, 1, 'General', 0.1 FROM units WHERE doc_id NOT IN (SELECT doc_id FROM best))"
 )
+ORACLE["f2_structural_bonus"] = f"WITH {_COUNTS}, b AS ({' UNION ALL '.join(f'SELECT doc_id, {_quote(i)} AS intent, {e} AS bonus FROM counts' for i, e in _RULES.items())}) SELECT doc_id, intent, bonus FROM b WHERE bonus > 0"
 ORACLE["f3_classify_units"] = f"WITH {_INTENTS} SELECT doc_id, rank, intent, score FROM intents"
 ORACLE["flagship_intents_by_language"] = f"WITH {_INTENTS} SELECT lang, intent, count(DISTINCT doc_id) AS n_docs FROM intents JOIN documents USING (doc_id) WHERE rank = 1 GROUP BY ALL"
 ORACLE["f7_complexity"] = f"""
 WITH e AS ({ORACLE['e20_complexity_signals']}), r AS (SELECT doc_id, least(2.0::DOUBLE, vocab_richness * 2.5::DOUBLE) + least(2.0::DOUBLE, avg_sent_length / 25.0::DOUBLE * 2.0::DOUBLE)
-  + least(2.5::DOUBLE, technical_density / 5.0::DOUBLE * 2.5::DOUBLE) + least(2.0::DOUBLE, element_count * 0.1::DOUBLE) + CASE WHEN element_count > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS raw_score FROM e),
+  + least(2.5::DOUBLE, technical_density / 5.0::DOUBLE * 2.5::DOUBLE) + least(2.0::DOUBLE, element_count * 0.1::DOUBLE) + least(1.5::DOUBLE, max_bullet_depth * 0.5::DOUBLE) AS raw_score FROM e),
 s AS (SELECT doc_id, round_even(greatest(0.0::DOUBLE, least(10.0::DOUBLE, raw_score)), 1) AS complexity FROM r)
 SELECT doc_id, complexity, CASE WHEN complexity <= 2.5 THEN 'Introductory' WHEN complexity <= 5.5 THEN 'Intermediate' WHEN complexity <= 8.0 THEN 'Advanced' ELSE 'Expert' END AS level FROM s
 """
@@ -329,17 +385,45 @@ ORACLE["b7_sections_to_units"] = f"""
 WITH {_PAGE}, h AS (SELECT page_id, {_TITLE} AS h FROM pages_body)
 SELECT page_id AS doc_id, 0 AS unit_id, 1 AS slide, CAST(len(ps) + CAST({_JUNK} AS INTEGER) AS INTEGER) AS n_lines FROM pages_parts JOIN h USING (page_id)
 """
-ORACLE["h15_icon_items"] = f"""
-WITH {TURNS}, {TEXTS}, i AS (SELECT doc_id, unit_id, {_STEPS} AS st, {_dedupe(_holding('ss', dims.SIGNAL_PHRASES['process']), 6)} AS pr FROM sents), k AS (SELECT doc_id, unit_id, CASE WHEN len(st) > 0 THEN st ELSE pr END AS v FROM i)
-SELECT doc_id, unit_id, CAST(ord AS INTEGER) AS ord, x AS item, {_any('lower(x)', ["check", "verify", "ensure", "review", "confirm", "complete", "submit", "prepare"])} AS is_action FROM ({_exploded('k', 'v', 'doc_id, unit_id')})
-"""
-ORACLE["e5_glossary"] = f"""
-WITH {UNITS}, {TEXTS}, d AS (SELECT doc_id, generate_subscripts(ds, 1) AS i, unnest(ds) AS b FROM (SELECT doc_id, {_DEFINED} AS ds FROM sents)),
-t AS (SELECT doc_id, i, {_TERM} AS term, substr({_strip("regexp_extract(b, " + _quote(dims.COLON_DEFINITION) + ", 2)")}, 1, 300) AS definition FROM d),
-f AS (SELECT doc_id, term, arg_min(definition, i) AS definition FROM t GROUP BY ALL)
-SELECT term, count(*) AS n_docs, arg_min(definition, doc_id) AS definition FROM f GROUP BY term
+
+def _listed(items: str, select: str, most: int) -> str:
+    """Rows (doc_id, ord, x) of one signal of documents, or of the first of two that has some."""
+    return f"WITH {UNITS}, {TEXTS}, {_SIG}, k AS (SELECT doc_id, ({items})[1:{most}] AS v FROM signals), r AS ({_exploded('k', 'v', 'doc_id, len(v) AS n, v')}) SELECT doc_id, CAST(ord AS INTEGER) AS ord, {select} FROM r"
+
+
+_STEPPED = "CASE WHEN len(step) > 0 THEN step ELSE process END"
+_LABEL = _strip(f"regexp_replace(x, {_quote(dims.FLOW_PREFIX)}, '')")
+_SHORT = f"CASE WHEN len({_words(_LABEL)}) > 8 THEN array_to_string({_words(_LABEL)}[1:7], ' ') || '…' ELSE {_LABEL} END"
+ORACLE["h3_flow_nodes"] = _listed(
+    "CASE WHEN len(step) > 0 THEN step[1:8] WHEN len(process) > 0 THEN process[1:8] ELSE concept[1:6] END",
+    f"{_SHORT} AS label, CASE WHEN ord = 0 THEN 'start' WHEN ord = n - 1 THEN 'end' WHEN {_any(f'lower({_SHORT})', dims.FLOW_DECISIONS)} THEN 'decision' ELSE 'process' END AS kind", 8,
+)
+ORACLE["h8_decision_rows"] = _listed(_STEPPED, "substr(x, 1, 40) AS step, CASE WHEN ord = 0 THEN 'Valid?' ELSE 'Complete?' END AS condition, coalesce(substr(v[ord + 2], 1, 40), 'Continue') AS yes_path", 10) + " WHERE ord < 6"
+ORACLE["h13_cycle"] = _listed("CASE WHEN len(process) > 0 THEN process ELSE step END", "substr(x, 1, 40) AS label, CAST((ord + 1) % n AS INTEGER) AS next_ord", 8)
+ORACLE["h16_checklist"] = _listed(_STEPPED, f"substr(x, 1, 60) AS item, {_any('lower(x)', dims.CHECKLIST_ACTIONS)} AS is_action", 12)
+ORACLE["h7_matrix_cells"] = f"""
+WITH {UNITS}, {TEXTS}, {_SIG}, c AS (SELECT doc_id, unnest([{{'r': 0, 'c': 0, 'v': concept[1]}}, {{'r': 0, 'c': 1, 'v': concept[2]}}, {{'r': 1, 'c': 0, 'v': supporting[1]}}, {{'r': 1, 'c': 1, 'v': supporting[2]}}]) AS x FROM signals WHERE len(concept) > 0)
+SELECT doc_id, CAST(x.r AS INTEGER) AS row, CAST(x.c AS INTEGER) AS col, coalesce(x.v, '—') AS value FROM c
 """
+# The last rule for an earlier High block also counts redundant ones here: a copy of a copy is a copy.
+def _alone(x: str) -> str:
+    return f"(regexp_full_match({x}, '[0-9]+') OR regexp_matches({x}, {_quote(dims.DECORATIVE)}))"
+
 
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(t, '[|–—]'), lambda p: {_strip('p')}), lambda p: p <> '')"
+_BAD_PART = f"NOT ({_alone('p')} OR lower(p) IN ({', '.join(map(_quote, dims.DECORATIVE_PARTS))}))"
+ORACLE["f5_priorities"] = f"""
+WITH {UNITS}, {TEXTS}, {BLOCKS}, {_TERMS}, {_SIG},
+t AS (SELECT b.doc_id, b.ord, is_heading, {_strip('b.text')} AS t, lower({_strip('b.text')}) AS low, len({_words('b.text')}) AS n, {_WORDSET.format('b.text')} AS ws, g.concept, coalesce(d.ts, []) AS ts
+  FROM unit_blocks b JOIN signals g ON g.doc_id = b.doc_id LEFT JOIN (SELECT doc_id, list(term) AS ts FROM terms GROUP BY doc_id) d ON d.doc_id = b.doc_id),
+again AS (SELECT doc_id, low FROM t WHERE n <= 8 AND low <> '' GROUP BY ALL HAVING count(*) >= 3),
+r AS (SELECT t.*, a.doc_id IS NOT NULL AND NOT is_heading AS rep, {_alone('t')} OR (len({_PARTS}) >= 2 AND len(list_filter({_PARTS}, lambda p: {_BAD_PART})) = 0) AS deco,
+  is_heading OR len(list_filter(concept, lambda c: contains(t.low, lower(c)))) > 0 OR len(list_filter(ts, lambda c: contains(t.low, lower(c)))) > 0 AS high FROM t LEFT JOIN again a ON a.doc_id = t.doc_id AND a.low = t.low),
+red AS (SELECT DISTINCT x.doc_id, x.ord FROM r x JOIN r h ON h.doc_id = x.doc_id AND h.ord < x.ord AND h.high AND NOT h.rep AND NOT h.deco WHERE x.n >= 4 AND NOT x.rep AND NOT x.deco AND {_alike('x.ws', 'h.ws')} > 0.8),
+p AS (SELECT r.doc_id, CASE WHEN rep THEN 'Repeated' WHEN deco THEN 'Decorative' WHEN red.doc_id IS NOT NULL THEN 'Redundant' WHEN high THEN 'High' WHEN {_any('low', dims.FILLER_PHRASES)} OR n > 45 THEN 'Low' ELSE 'Medium' END AS priority
+  FROM r LEFT JOIN red ON red.doc_id = r.doc_id AND red.ord = r.ord)
+SELECT doc_id, priority, count(*) AS n FROM p GROUP BY ALL
+"""
 
 # Chunks of turns. The turns hold no table marks at a line's start, so paragraphs are runs of lines between
 # blank ones and list runs; the list state goes on until a blank line.
@@ -365,23 +449,21 @@ ORACLE["b11_merge_chunks"] = f"""
 WITH {_CHUNKS}, m AS (SELECT doc_id, title, min(chunk_id) AS first, string_agg(text, chr(10) ORDER BY chunk_id) AS text FROM chunks GROUP BY doc_id, title)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS chunk_id, title, CAST(length(text) AS INTEGER) AS n_chars FROM m
 """
-_STOP = "('this', 'that', 'with', 'from', 'have', 'will', 'your', 'about', 'into', 'their', 'there', 'which', 'when', 'where', 'what', 'these', 'those', 'than', 'then', 'also', 'page', 'slide', 'figure', 'table')"
+_STOP = f"({', '.join(map(_quote, STOPWORDS))})"
 _TOKENS = f"list_filter(list_distinct(regexp_extract_all(lower({{0}}), '[a-z0-9]+')), lambda w: length(w) > 3 AND w NOT IN {_STOP})"
 ORACLE["c3_anchor_assets"] = f"""
-WITH {TURNS}, sec AS (SELECT doc_id, unit_id AS section_id, substr(text, 1, 40) AS title, text FROM units),
-ass AS (SELECT doc_id, unit_id AS asset_ix, substr(text, 1, 30) AS t, substr(text, 10, 200) AS b FROM units WHERE unit_id % 2 = 0),
+WITH {TURNS}, sec AS (SELECT doc_id, unit_id AS section_id, string_split(text, chr(10))[1] AS title, text FROM units),
+ass AS (SELECT doc_id, unit_id AS asset_ix, unit_id - 1 AS unit_index, title AS t, text AS b FROM units),
 e AS (SELECT a.doc_id, asset_ix, min(section_id) AS hit FROM ass a JOIN sec s ON a.doc_id = s.doc_id AND lower(trim(a.t, ' ')) = lower(trim(s.title, ' ')) WHERE trim(a.t, ' ') <> '' GROUP BY ALL),
-st AS (SELECT doc_id, section_id, {_TOKENS.format("title || ' ' || text")} AS w FROM sec), at_ AS (SELECT doc_id, asset_ix, {_TOKENS.format("t || ' ' || b")} AS w FROM ass),
+st AS (SELECT doc_id, section_id, {_TOKENS.format("title || ' ' || text")} AS w FROM sec), at_ AS (SELECT doc_id, asset_ix, {_TOKENS.format("b")} AS w FROM ass),
 o AS (SELECT a.doc_id, asset_ix, section_id, CAST(len(list_intersect(a.w, s.w)) AS DOUBLE) / least(len(a.w), len(s.w)) AS overlap FROM at_ a JOIN st s ON a.doc_id = s.doc_id WHERE len(a.w) > 0 AND len(s.w) > 0),
 k AS (SELECT * FROM o WHERE overlap >= 0.25 QUALIFY row_number() OVER (PARTITION BY doc_id, asset_ix ORDER BY overlap DESC, section_id) = 1)
 SELECT a.doc_id, a.asset_ix, coalesce(e.hit, k.section_id, p.section_id, 0) AS section_id, CASE WHEN e.hit IS NOT NULL THEN 1 WHEN k.section_id IS NOT NULL THEN 2 ELSE 3 END AS tier
-FROM ass a LEFT JOIN e USING (doc_id, asset_ix) LEFT JOIN k USING (doc_id, asset_ix) LEFT JOIN sec p ON p.doc_id = a.doc_id AND p.section_id = a.asset_ix
+FROM ass a LEFT JOIN e USING (doc_id, asset_ix) LEFT JOIN k USING (doc_id, asset_ix) LEFT JOIN sec p ON p.doc_id = a.doc_id AND p.section_id = a.unit_index
 """
-_FLAT = f"list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)"
-_CONCEPTS = f"list_filter({_FLAT}, lambda w, i: list_position({_FLAT}, w) = i)[1:5]"
 _PREDICATE = "CASE " + " ".join(f"WHEN {_any('lower(x)', verbs)} THEN {_quote(name)}" for name, verbs in dims.LINK_VERBS) + " ELSE 'UNKNOWN' END"
 ORACLE["e19_relationships"] = f"""
-WITH {UNITS}, {TEXTS}, c AS (SELECT *, {_CONCEPTS} AS cs FROM sents), s AS ({_exploded('c', 'ss', 'doc_id, cs')}),
-h AS (SELECT *, list_filter(cs, lambda w: contains(lower(x), w)) AS here FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS o, {_PREDICATE} AS predicate FROM h WHERE len(here) >= 2)
+WITH units AS (SELECT doc_id, 0 AS unit_id, concat_ws(': ', source, lang) AS title, coalesce(text, '') AS text FROM documents), {TEXTS}, c AS (SELECT *, {_CONCEPT} AS cs FROM sents), s AS ({_exploded('c', 'ss', 'doc_id, cs')}),
+h AS (SELECT *, list_filter(cs, lambda w: contains(lower(x), lower(w))) AS here FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS o, {_PREDICATE} AS predicate FROM h WHERE len(here) >= 2)
 SELECT doc_id, CAST(o AS INTEGER) AS ord, here[1] AS subject, predicate, here[2] AS object, CASE WHEN predicate = 'UNKNOWN' THEN 0.3 ELSE 0.7 END::DOUBLE AS confidence FROM n WHERE o < 10
 """

@@ -15,8 +15,11 @@ from .operators import sections as S
 from .operators import signals as G
 from .plans import specs as V
 from .plans import transform as T
+from .plans import visuals as P
 from .sources import corpus as R
 from .sources import sinks as W
+from .functions import text as X
+from .functions.rows import exploded
 from .streaming import ingest as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +55,15 @@ def _conversation_docs(spark, d):
     return R.conversations_to_markdown(_table(spark, d, "conversations"))
 
 
+def _extras(spark, d) -> DataFrame:
+    """Sentences of a turn as its enhancements: the first an example, questions as revision points."""
+    said = F.col("sentences")
+    asked = F.filter(said, lambda s: s.endswith("?"))
+    rows = _turns(spark, d).select("doc_id", F.col("unit_id").alias("slide_ix"), X.sentences(F.col("text")).alias("sentences"))
+    none = F.array().cast("array<string>")
+    return rows.select("doc_id", "slide_ix", F.slice(said, 1, 1).alias("examples"), none.alias("analogies"), F.slice(said, 2, 1).alias("real_world_applications"), none.alias("common_mistakes"), asked.alias("revision_points"))
+
+
 def _chunks(spark, d):
     return C.chunk_corpus(_turns(spark, d))
 
@@ -190,10 +202,11 @@ def c1_dedupe_assets(spark, d):
 
 @query
 def c3_anchor_assets(spark, d):
-    """Pages as sections and benchmark passages as assets of one corpus-wide document per item."""
+    """Turns as sections of their conversation, titled by their first line, and each turn as an asset taken from the turn before it."""
     turns = _turns(spark, d)
-    sections = turns.select("doc_id", F.col("unit_id").alias("section_id"), F.substring("text", 1, 40).alias("title"), "text")
-    assets = turns.where(F.col("unit_id") % 2 == 0).select("doc_id", F.col("unit_id").alias("asset_ix"), F.col("unit_id").alias("unit_index"), F.substring("text", 1, 30).alias("unit_title"), F.substring("text", 10, 200).alias("unit_text"))
+    first = F.element_at(F.split("text", "\n"), 1)
+    sections = turns.select("doc_id", F.col("unit_id").alias("section_id"), first.alias("title"), "text")
+    assets = turns.select("doc_id", F.col("unit_id").alias("asset_ix"), (F.col("unit_id") - 1).alias("unit_index"), F.col("title").alias("unit_title"), F.col("text").alias("unit_text"))
     return A.anchor_assets(sections, assets).select("doc_id", "asset_ix", "section_id", "tier")
 
 
@@ -237,33 +250,38 @@ def e5_glossary(spark, d):
 
 @query
 def e9_comparisons(spark, d):
-    rows = G.unit_signals(_units(spark, d)).select("doc_id", F.posexplode("comparison").alias("ord", "c"))
+    rows = exploded(G.unit_signals(_units(spark, d)), "comparison", "doc_id", value="c")
     return rows.select("doc_id", "ord", F.col("c.left").alias("left_side"), F.col("c.right").alias("right_side"), "c.aspect")
 
 
 @query
 def e10_causes(spark, d):
-    rows = G.unit_signals(_units(spark, d)).select("doc_id", F.posexplode("cause").alias("ord", "c"))
+    rows = exploded(G.unit_signals(_units(spark, d)), "cause", "doc_id", value="c")
     return rows.select("doc_id", "ord", "c.cause", "c.effect")
 
 
 @query
 def e14_steps(spark, d):
-    return G.unit_signals(_units(spark, d)).select("doc_id", F.posexplode("step").alias("ord", "step"))
+    return exploded(G.unit_signals(_units(spark, d)), "step", "doc_id", value="step")
 
 
 @query
 def e18_faqs(spark, d):
-    rows = G.unit_signals(_units(spark, d)).select("doc_id", F.posexplode("faq").alias("ord", "f"))
+    rows = exploded(G.unit_signals(_units(spark, d)), "faq", "doc_id", value="f")
     return rows.select("doc_id", "ord", F.md5("f.question").alias("question"), F.md5("f.answer").alias("answer"))
 
 
 @query
 def e19_relationships(spark, d):
-    """Links between the first two concepts of a document's most frequent long words."""
-    words = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 6)), 1, 5)
-    s = G.with_sentences(_units(spark, d)).withColumn("concept", words)
-    return s.select("doc_id", F.posexplode(G.relationships(F.col("_sentences"), F.col("concept"))).alias("ord", "r")).select("doc_id", "ord", "r.subject", "r.predicate", "r.object", "r.confidence")
+    """Links between the key concepts of documents, whose titles are the items of a glossary of the corpus' own frequent words."""
+    rows = exploded(G.unit_signals(_titled(spark, d)), "relationship", "doc_id", value="r")
+    return rows.select("doc_id", "ord", "r.subject", "r.predicate", "r.object", "r.confidence")
+
+
+def _titled(spark, d) -> DataFrame:
+    """Documents titled by their source and language, so that both are key concepts."""
+    docs = _documents(spark, d)
+    return docs.select("doc_id", F.lit(0).alias("unit_id"), F.concat_ws(": ", "source", "lang").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query
@@ -276,6 +294,66 @@ def e_signal_counts(spark, d):
     return G.signal_counts(G.unit_signals(_units(spark, d))).drop("unit_id")
 
 
+@query
+def e3_key_concepts(spark, d):
+    return exploded(G.unit_signals(_titled(spark, d)), "concept", "doc_id", value="concept")
+
+
+@query
+def e4_supporting_concepts(spark, d):
+    return exploded(G.unit_signals(_turns(spark, d)), "supporting", "doc_id", "unit_id", value="concept")
+
+
+@query
+def e7_numbers(spark, d):
+    return exploded(G.unit_signals(_units(spark, d)), "number", "doc_id", value="number")
+
+
+@query
+def e11_chronology(spark, d):
+    return exploded(G.unit_signals(_units(spark, d)), "chronology", "doc_id", value="item")
+
+
+@query
+def e16_formulas(spark, d):
+    return exploded(G.unit_signals(_units(spark, d)), "formula", "doc_id", value="formula")
+
+
+@query
+def e17_lists(spark, d):
+    rows = exploded(G.unit_signals(_units(spark, d)), "list", "doc_id", value="items")
+    return rows.select("doc_id", "ord", F.size("items").alias("n"), F.md5(F.array_join("items", "\n")).alias("digest"))
+
+
+@query
+def d3_drop_restatements(spark, d):
+    """Sentences of turns as bullets, those that restate an earlier one dropped."""
+    return exploded(_turns(spark, d), X.drop_restatements(X.sentences(F.col("text"))), "doc_id", "unit_id", value="bullet")
+
+
+@query
+def d5_sentences_abbrev(spark, d):
+    return exploded(_turns(spark, d), X.sentences_abbrev(F.col("text")), "doc_id", "unit_id", value="sentence")
+
+
+@query
+def d6_restore_missing_points(spark, d):
+    """Slides with the sentences of their turn that their bullets leave out; the bullets are the turn's first line."""
+    return exploded(_turns(spark, d), X.restore_missing_points(F.slice(X.lines(F.col("text")), 1, 1), F.col("text")), "doc_id", "unit_id", value="bullet")
+
+
+@query
+def d7_quantities(spark, d):
+    return _turns(spark, d).select("doc_id", "unit_id", K.quantity(F.col("text")).alias("quantity"))
+
+
+@query
+def d8_labels(spark, d):
+    """How often lines of the corpus carry each label."""
+    lines = S.explode_lines(_documents(spark, d).select("doc_id", F.col("text").alias("markdown"))).select(X.split_label_body(F.col("line"), F.lit("")).alias("x"))
+    return lines.groupBy(F.col("x.label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("x.body")).alias("n_chars"))
+
+
 # -- classes and scores --
 
 
@@ -284,6 +362,11 @@ def f1_intent_keywords(spark, d):
     return K.intent_keyword_scores(_units(spark, d)).select("doc_id", "intent", "hits", "score")
 
 
+@query
+def f2_structural_bonus(spark, d):
+    return K.intent_structural_bonus(_units(spark, d)).select("doc_id", "intent", "bonus")
+
+
 @query
 def f3_classify_units(spark, d):
     return K.classify_units(_units(spark, d)).drop("unit_id")
@@ -301,7 +384,7 @@ def f4_corpus_boilerplate(spark, d):
 
 @query
 def f5_priorities(spark, d):
-    return K.prioritise_blocks(C.unit_blocks(_units(spark, d))).groupBy("doc_id", "priority").agg(F.count(F.lit(1)).alias("n"))
+    return K.prioritise_blocks(_units(spark, d)).groupBy("doc_id", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -334,38 +417,167 @@ def flagship_intents_by_language(spark, d):
     return K.intent_histogram(K.classify_units(_units(spark, d)), _documents(spark, d))
 
 
+@query
+def f8_unit_intelligence(spark, d):
+    """The record of each turn: what later stages read, in numbers."""
+    i = _records(spark, d)
+    return i.select("doc_id", "unit_id", "topic", "level", "primary_intent", F.size("blocks").alias("n_rows"), F.size("visuals").alias("n_visuals"), "n_words", "n_blocks", F.size("hierarchy.level_4_details").alias("n_details"))
+
+
+@query
+def f11_plan_visual(spark, d):
+    rows = exploded(P.plan_visual(_records(spark, d)), F.filter(F.array("plan"), lambda p: p.isNotNull()), "doc_id", "unit_id", value="plan")
+    return rows.select("doc_id", "unit_id", "plan.layout_type", "plan.title", F.size("plan.bullets").alias("n_bullets"), "plan.metric_value", F.size("plan.table_rows").alias("n_rows"))
+
+
+@query
+def f12_enrich_slides(spark, d):
+    out = P.enrich_slides(_slides(spark, d), P.plan_visual(_records(spark, d)))
+    return out.groupBy("layout_type", "upgraded").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- plans and specs --
 
 
+def _records(spark, d) -> DataFrame:
+    """The records of turns as units."""
+    return K.unit_intelligence(_turns(spark, d))
+
+
+def _alone(spark, d) -> DataFrame:
+    """The same without the texts that repeat across the units of a document, which specifications don't read."""
+    return K.unit_intelligence(_units(spark, d), across_units=False)
+
+
 @query
 def g1_text_actions(spark, d):
-    return T.text_actions(_units(spark, d)).groupBy("doc_id", "action").agg(F.count(F.lit(1)).alias("n"))
+    return T.text_actions(_records(spark, d)).select("doc_id", "unit_id", "ord", "priority", "action")
+
+
+@query
+def g2_summaries(spark, d):
+    return T.summarise_blocks(_records(spark, d))
+
+
+@query
+def g3_speaker_notes(spark, d):
+    return T.speaker_notes(_records(spark, d)).select("doc_id", "unit_id", F.md5("speaker_notes").alias("digest"), F.length("speaker_notes").alias("n_chars"))
 
 
 @query
 def g4_compression(spark, d):
-    return T.compression_stats(T.text_actions(_units(spark, d))).drop("unit_id")
+    return T.compression_stats(_records(spark, d))
+
+
+@query
+def g5_plan_confidence(spark, d):
+    return T.plan_confidence(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def g6_source_blocks(spark, d):
+    return T.source_block_ids(_records(spark, d))
+
+
+@query
+def g7_visual_actions(spark, d):
+    return T.visual_actions(_records(spark, d)).select("doc_id", "unit_id", "rank", "kind", "action", F.size("block_ids").alias("n_blocks"))
+
+
+@query
+def h1_select_visuals(spark, d):
+    return V.select_visuals(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h2_visual_density(spark, d):
+    return V.visual_density(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h3_flow_nodes(spark, d):
+    return V.flow_nodes(_alone(spark, d)).drop("unit_id")
 
 
 @query
 def h3_flow_edges(spark, d):
-    nodes = V.flow_nodes(_turns(spark, d))
-    return V.flow_edges(nodes).select("doc_id", "unit_id", "source_ord", "target_ord", "label")
+    return V.flow_edges(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h4_flow_text(spark, d):
+    return V.flow_text(_alone(spark, d)).drop("unit_id")
 
 
 @query
 def h5_timeline(spark, d):
-    return V.timeline_events(_units(spark, d)).drop("unit_id")
+    return V.timeline_events(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h6_comparison_rows(spark, d):
+    rows = V.comparison_rows(_alone(spark, d))
+    return rows.select("doc_id", "ord", F.array_join("headers", "|").alias("headers"), F.array_join("cells", "|").alias("cells"))
+
+
+@query
+def h7_matrix_cells(spark, d):
+    return V.matrix_cells(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h8_decision_rows(spark, d):
+    return V.decision_rows(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h9_org_rows(spark, d):
+    return V.org_rows(_alone(spark, d)).drop("unit_id")
 
 
 @query
 def h10_graph_series(spark, d):
-    return V.graph_series(_units(spark, d)).drop("unit_id")
+    return V.graph_series(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h11_kpi_metrics(spark, d):
+    return V.kpi_metrics(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h12_smartart(spark, d):
+    return V.smartart_elements(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h13_hierarchy(spark, d):
+    return V.hierarchy_rows(_alone(spark, d)).select("doc_id", "ord", "label", "level", F.array_join("children", "|").alias("children"))
+
+
+@query
+def h13_cycle(spark, d):
+    return V.cycle_rows(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h14_mindmap(spark, d):
+    return V.mindmap_branches(_alone(spark, d)).select("doc_id", "branch", "name", F.array_join("children", "|").alias("children"))
 
 
 @query
 def h15_icon_items(spark, d):
-    return V.checklist_items(_turns(spark, d))
+    return V.icon_items(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h16_checklist(spark, d):
+    return V.checklist_items(_alone(spark, d)).drop("unit_id")
+
+
+@query
+def h17_image_prompts(spark, d):
+    return V.image_prompts(_alone(spark, d)).drop("unit_id")
 
 
 # -- decks, scores, retrieval --
@@ -377,6 +589,29 @@ def p3_balanced_pages(spark, d):
     return D.balanced_pages(lines, ["doc_id", "unit_id"], ["ord"], 5).groupBy("doc_id", "unit_id", "page").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def p2_trim_bullets(spark, d):
+    trimmed = X.trim_bullet(F.col("bullet"), F.lit(20), F.lit(140))
+    return _slides(spark, d).select("doc_id", "slide_ix", F.posexplode("bullets").alias("ord", "bullet")).select("doc_id", "slide_ix", "ord", trimmed.alias("trimmed"))
+
+
+@query
+def p4_title_restatements(spark, d):
+    kept = D.without_title_restatements(F.col("bullets"), F.col("title"))
+    return _slides(spark, d).select("doc_id", "slide_ix", F.size("bullets").alias("n_bullets"), F.size(kept).alias("n_kept"))
+
+
+@query
+def p9_fold_extras(spark, d):
+    return D.fold_extras(_extras(spark, d), "heavy")
+
+
+@query
+def p10_with_extras(spark, d):
+    out = D.apply_density(_slides(spark, d), "heavy", _extras(spark, d))
+    return out.groupBy("doc_id", "slide_ix").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.size("bullets")).alias("n_bullets"))
+
+
 @query
 def p10_apply_density(spark, d):
     return D.apply_density(_slides(spark, d), "medium").select("doc_id", "slide_ix", "page", "layout_type", "title", F.size("bullets").alias("n_bullets"), "continued")

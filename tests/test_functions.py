@@ -135,3 +135,30 @@ def test_quizzes(spark):
     assert [r.layout_type for r in apart].count("QUIZ") == 2 and [r.slide_ix for r in apart if r.layout_type == "QUIZ"] == [4, 9]
     with pytest.raises(ValueError):
         D.interleave_quizzes(deck, quizzes, frequency=0)
+
+
+def test_sentences_with_abbreviations(spark):
+    got = values(spark, ["Total no. of items is 3.14 today. Dr. Smith spoke. J. Doe left! It was fig. 2. And it ended", "", "  One.  Two? three"], X.sentences_abbrev)
+    assert got == [["Total no. of items is 3.14 today", "Dr. Smith spoke", "J. Doe left!", "It was fig. 2. And it ended"], [], ["One", "Two? three"]]
+
+
+def test_labels(spark):
+    texts = ["Definition: what it is", "Label: Cash Flows - Estimated inflows", "A very long label of many words here: body", "no label", "**Strategic Growth:** helps"]
+    got = values(spark, texts, lambda c: X.split_label_body(c, F.lit("POINT 1")))
+    assert [tuple(x) for x in got] == [("DEFINITION", "what it is"), ("CASH FLOWS", "Estimated inflows"), ("POINT 1", texts[2]), ("POINT 1", "no label"), ("STRATEGIC GROWTH", "helps")]
+
+
+def test_missing_points_come_back(spark):
+    source = "The first point has words. A second point is here. Third point stands here too. The last point comes now."
+    df = spark.createDataFrame([(["The first point has words"], source), (["a b"], "Short one.")], "b array<string>, s string")
+    got = [r[0] for r in df.select(X.restore_missing_points(F.col("b"), F.col("s"))).collect()]
+    assert len(got[0]) == 4 and got[0][0] == "The first point has words" and got[1] == ["a b"]
+
+
+def test_extras(spark):
+    rows = [(1, 0, ["", "an example"], ["like water"], [], ["a trap"], ["recall it"])]
+    extras = spark.createDataFrame(rows, "doc_id long, slide_ix int, examples array<string>, analogies array<string>, real_world_applications array<string>, common_mistakes array<string>, revision_points array<string>")
+    assert [r.extra for r in D.fold_extras(extras, "heavy").orderBy("ord").collect()] == ["Example: an example", "Analogy: like water", "Watch out: a trap"]
+    assert D.fold_extras(extras, "low").count() == 0 and D.fold_extras(extras).count() == 1
+    slides = spark.createDataFrame([(1, 0, "MINIMAL_TEXT", "T", ["one point"], "", None)], "doc_id long, slide_ix int, layout_type string, title string, bullets array<string>, takeaway string, table_rows array<array<string>>")
+    assert D.apply_density(slides, "medium", extras).first().bullets == ["one point", "Example: an example"]

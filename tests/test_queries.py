@@ -4,6 +4,9 @@ import decimal
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -42,6 +45,15 @@ def test_entry_and_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_the_optional_package(tmp_path):
+    """With the optional package and its tests deleted, the contract still imports."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 90 and e.oracle_sql() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": "."}, check=True)
+
+
 def test_nothing_else_imports_the_optional_package():
     root = os.path.dirname(os.path.abspath(entry.__file__))
     for path in glob.glob(f"{root}/corpusdeck/**/*.py", recursive=True):
