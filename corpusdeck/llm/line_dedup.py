@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, free_names
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,27 +59,27 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     A line's key is the line without white space at its ends, A-Z lower-cased; keys below min_chars code
     points never count. A null or empty text is one empty line and becomes an empty text. Rows with a null
     id keep all lines and count for no key. Rows that repeat an id are one document for min_docs and lose the
-    same positions. An empty table gives an empty table. The columns n_lines, n_dropped and _dropped of docs
-    are replaced; all other columns stay.
+    same positions. An empty table gives an empty table. The columns n_lines and n_dropped of docs are
+    replaced; all other columns stay.
     """
-    plain = docs.drop("n_lines", "n_dropped", "_dropped")
-    gone = dropped_lines(docs, min_chars, min_docs, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped"))
-    joined = plain.join(gone, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    plain = docs.drop("n_lines", "n_dropped")
+    doc, dropped, lines, borders = free_names(docs.columns, "_doc", "_dropped", "_lines", "_borders")
+    gone = dropped_lines(docs, min_chars, min_docs, id_col, text_col).select(F.col("doc").alias(doc), F.col("dropped").alias(dropped))
+    joined = plain.join(gone, F.col(id_col) == F.col(doc), "left").drop(doc)
+    out = joined.withColumn(lines, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     # What stays are the slices between neighbouring dropped positions: linear in the lines.
-    borders = F.concat(F.array(F.lit(-1)), F.col("_dropped"), F.array(F.size(F.col("_lines"))))
+    out = out.withColumn(borders, F.concat(F.array(F.lit(-1)), F.col(dropped), F.array(F.size(lines))))
     kept = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.size("_dropped") + 1),
-            lambda k: F.slice(F.col("_lines"), F.element_at(F.col("_borders"), k) + 2, F.element_at(F.col("_borders"), k + 1) - F.element_at(F.col("_borders"), k) - 1),
+            F.sequence(F.lit(1), F.size(dropped) + 1),
+            lambda k: F.slice(F.col(lines), F.element_at(F.col(borders), k) + 2, F.element_at(F.col(borders), k + 1) - F.element_at(F.col(borders), k) - 1),
         )
     )
-    out = joined.withColumn("_lines", lines).withColumn("_borders", borders)
-    text = F.when(F.col("_dropped").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(dropped).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
     return out.withColumns(
         {
             text_col: text,
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dropped": F.coalesce(F.size(dropped), F.lit(0)).cast("long"),
         }
-    ).drop("_lines", "_borders", "_dropped")
+    ).drop(lines, borders, dropped)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, free_names
 
 #: Weights of the sources in code point order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -63,27 +63,27 @@ def mix_sources(
     missing. So the words taken of a bucket are its share, rounded. A hot source is many buckets, so none is
     more than a task's work. Order and buckets depend on id, text and seed alone: reruns agree.
 
-    A null text has size 0. Null is a source of its own, the last one. Documents with null or repeated ids
-    are ordered by their text; equal rows share a place in any order, which gives the same multiset of rows.
-    An empty table gives an empty table. Columns size, source_size, target and taken of docs are replaced.
+    A null text has size 0. Null is a source of its own, the last one. Rows with null or repeated ids are
+    dealt and ordered by their text as well; rows equal in id and text share a place in any order, which gives
+    them the same multiset of results. An empty table gives an empty table. Columns size, source_size, target
+    and taken of docs are replaced; all other columns stay.
     """
     plain = docs.drop("size", "source_size", "target", "taken")
+    own, n_docs, whole, part, order, bucket, before, share = free_names(docs.columns, "_source", "_docs", "_whole", "_part", "_order", "_bucket", "_before", "_share")
     sized = plain.withColumn("size", word_count(F.col(text_col)))
-    targets = source_targets(sized, weights, max_epochs, source_col).select(F.col("source").alias("_source"), "source_size", "target", F.col("n_docs").alias("_docs"))
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
+    targets = source_targets(sized, weights, max_epochs, source_col).select(F.col("source").alias(own), "source_size", "target", F.col("n_docs").alias(n_docs))
+    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col(own))).drop(own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
     dealt = joined.withColumns(
         {
-            "_whole": F.floor(rate),
-            "_part": rate - F.floor(rate),
-            "_order": order,
-            "_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.ceil(F.col("_docs") / bucket_docs)),
+            whole: F.floor(rate),
+            part: rate - F.floor(rate),
+            order: F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
         }
-    )
-    bucket = Window.partitionBy(source_col, "_bucket")
-    before = bucket.orderBy("_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    shared = dealt.withColumns({"_before": F.coalesce(F.sum("size").over(before), F.lit(0)), "_share": F.round(F.sum("size").over(bucket) * F.col("_part")).cast("long")})
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_share") - F.col("_before")))
-    out = shared.withColumn("taken", (F.col("_whole") * F.col("size") + extra).cast("long"))
-    return out.drop("_docs", "_whole", "_part", "_order", "_bucket", "_before", "_share")
+    ).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(order)), F.ceil(F.col(n_docs) / bucket_docs)))
+    group = Window.partitionBy(source_col, bucket)
+    ahead = group.orderBy(order, id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    shared = dealt.withColumns({before: F.coalesce(F.sum("size").over(ahead), F.lit(0)), share: F.round(F.sum("size").over(group) * F.col(part)).cast("long")})
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col(share) - F.col(before)))
+    out = shared.withColumn("taken", (F.col(whole) * F.col("size") + extra).cast("long"))
+    return out.drop(n_docs, whole, part, order, bucket, before, share)

@@ -3,9 +3,9 @@
 The reference holds the first occurrence of every word window that occurs more than once. Which windows
 those are is found by content-defined anchors: each window has one anchor (its least 8-word hash), equal
 windows have equal anchors, and an anchor seen once rules its windows out. Reference spans and document
-segments meet in shards by anchor. Each shard's task builds a suffix automaton of its reference and reads
-matching statistics of its segments; a shard with many segments is several tasks with a copy of the
-automaton each.
+segments meet in shards by anchor, whose number follows from the number of repeated anchors. Each shard's
+task builds a suffix automaton of its reference and reads matching statistics of its segments; a shard with
+many segments is several tasks with a copy of the automaton each.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 from .tokens import U64, Words, chunks, grams, inside, mix, sliding, text_bytes, words_of
 
 #: Words of an anchor.
 ANCHOR = 8
-#: Shards per shuffle partition, and repeated windows of a shard that one task takes.
-SHARDS, TASK_WINDOWS = 8, 40_000
+#: Occurrences of repeated anchors that a shard has on average, and that one task of a shard takes.
+SHARD_ANCHORS, TASK_ANCHORS = 8_000, 16_000
 
 
 class SuffixAutomaton:
@@ -117,70 +117,51 @@ def _filled(lists: pa.Array) -> pa.Array:
     return lists.fill_null([]) if lists.null_count else lists
 
 
-def _sequences(window: int):
-    """(doc_id, s1, s2): a 128-bit hash of the word sequence of each text that has a window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            words = words_of(batch.column(1))
-            full = np.flatnonzero(words.count() >= window)
-            if not len(full):
-                continue
-            place = mix((np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.count())).astype(U64) + U64(7))
-            # Texts without words have no begin of their own, and the others' begins follow one another.
-            some = np.flatnonzero(words.count())
-            sums = [np.add.reduceat(mix((words.hash ^ place) + U64(j)), words.first[some])[np.searchsorted(some, full)].view(np.int64) for j in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), *map(pa.array, sums)], ["doc_id", "s1", "s2"])
-
-    return run
-
-
 def _anchors(window: int):
+    """(doc_id, h, text) to (anchor, doc_id, h)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            found = _Windows(words_of(batch.column(1)), window)
+            found = _Windows(words_of(batch.column(2)), window)
             at = found.anchors()
             if len(at):
-                owner = np.searchsorted(found.words.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(found.gram[at].view(np.int64)), batch.column(0).take(pa.array(owner))], ["anchor", "doc_id"])
+                owner = pa.array(np.searchsorted(found.words.first, at, "right") - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(found.gram[at].view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner)], ["anchor", "doc_id", "h"])
 
     return run
 
 
-def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(anchor) % U64(shards)).astype(np.int32)
-
-
 def _distinct(found: _Windows, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the windows at, those that begin their value in their text, and how often it occurs there."""
     _, first, count = np.unique(value[at] ^ mix(found.doc[at].astype(U64) + U64(1)), return_index=True, return_counts=True)
     return at[first], count
 
 
-def _repeating(window: int, shards: int):
-    """(doc_id, text, anchors) to (window, shard, doc_id, n) for windows whose anchor repeats."""
+def _repeating(window: int):
+    """(doc_id, h, text, anchors) to (window, doc_id, h) for windows whose anchor repeats, twice for those that repeat in their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            found = _Windows(words_of(batch.column(1)), window)
+            found = _Windows(words_of(batch.column(2)), window)
             value = found.hashes()
-            at, count = _distinct(found, np.flatnonzero(found.of(_filled(batch.column(2)), found.anchor)), value)
+            at, count = _distinct(found, np.flatnonzero(found.of(_filled(batch.column(3)), found.anchor)), value)
+            at = np.repeat(at, np.minimum(count, 2))
             if len(at):
-                columns = [pa.array(value[at].view(np.int64)), pa.array(_shard(found.anchor[at], shards)), batch.column(0).take(pa.array(found.doc[at])), pa.array(count)]
-                yield pa.RecordBatch.from_arrays(columns, ["window", "shard", "doc_id", "n"])
+                owner = pa.array(found.doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner)], ["window", "doc_id", "h"])
 
     return run
 
 
-def _pieces(window: int, shards: int):
-    """(doc_id, text, anchors, firsts) to segments and reference spans (shard, is_reference, doc_id, start, piece)."""
+def _pieces(window: int):
+    """(doc_id, h, text, anchors, firsts) to segments and reference spans (anchor, is_reference, doc_id, h, start, piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            found = _Windows(words_of(batch.column(1)), window)
+            found = _Windows(words_of(batch.column(2)), window)
             value, words = found.hashes(), found.words
-            segment = np.flatnonzero(found.of(_filled(batch.column(2)), found.anchor))
-            reference, _ = _distinct(found, segment[found.of(_filled(batch.column(3)), value)[segment]], value)
+            segment = np.flatnonzero(found.of(_filled(batch.column(3)), found.anchor))
+            reference, _ = _distinct(found, segment[found.of(_filled(batch.column(4)), value)[segment]], value)
             for is_reference, at in ((False, segment), (True, np.sort(reference))):
                 if not len(at):
                     continue
@@ -190,115 +171,109 @@ def _pieces(window: int, shards: int):
                 begin = np.flatnonzero(new)
                 last = np.append(begin[1:], len(at)) - 1
                 a, b = found.at[at[begin]], found.at[at[last]] + window - 1
-                text = words.data.tobytes()
+                text, owner = words.data.tobytes(), found.doc[at[begin]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_shard(found.anchor[at[begin]], shards)),
+                        pa.array(found.anchor[at[begin]].view(np.int64)),
                         pa.array(np.full(len(begin), is_reference)),
-                        batch.column(0).take(pa.array(found.doc[at[begin]])),
-                        pa.array(a - words.first[found.doc[at[begin]]]),
+                        batch.column(0).take(pa.array(owner)),
+                        batch.column(1).take(pa.array(owner)),
+                        pa.array(a - words.first[owner]),
                         pa.array([text[x:y] for x, y in zip(words.start[a].tolist(), words.end[b].tolist(), strict=True)], pa.binary()),
                     ],
-                    ["shard", "is_reference", "doc_id", "start", "piece"],
+                    ["anchor", "is_reference", "doc_id", "h", "start", "piece"],
                 )
 
     return run
 
 
 def _match(window: int):
-    """Builds a shard's automaton and streams its segments: (doc_id, a, b) for spans of words to remove."""
-    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    """Builds a shard's automaton and streams its segments: (doc_id, h, a, b) for spans of words to remove."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(pieces: pa.Table) -> pa.Table:
         automaton, firsts, known = SuffixAutomaton(), set(), {}
         is_reference = pieces.column("is_reference")
-        references, segments = (list(zip(*(x.column(c).to_pylist() for c in ("doc_id", "start", "piece")), strict=True)) for x in (pieces.filter(is_reference), pieces.filter(pc.invert(is_reference))))
-        for doc, start, piece in references:
+        references, segments = (list(zip(*(x.column(c).to_pylist() for c in ("doc_id", "h", "start", "piece")), strict=True)) for x in (pieces.filter(is_reference), pieces.filter(pc.invert(is_reference))))
+        for doc, h, start, piece in references:
             words = piece.split()
             automaton.add(words)
-            firsts.update((doc, start + i) for i in range(len(words) - window + 1))
-        out: list[tuple[int, int, int]] = []
-        for doc, start, piece in segments:
+            firsts.update((doc, h, start + i) for i in range(len(words) - window + 1))
+        out: list[tuple[int, int, int, int]] = []
+        for doc, h, start, piece in segments:
             ends = known.get(piece)
             if ends is None:
                 ends = known[piece] = automaton.matches(piece.split(), window)
             span = None
             for end in ends:
                 a = start + end - window + 1
-                if (doc, a) in firsts:
+                if (doc, h, a) in firsts:
                     continue
                 if span and a <= span[1]:
                     span = (span[0], a + window)
                 else:
                     if span:
-                        out.append((doc, *span))
+                        out.append((doc, h, *span))
                     span = (a, a + window)
             if span:
-                out.append((doc, *span))
+                out.append((doc, h, *span))
         return pa.table([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
 
     return run
 
 
-def removed_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, spans), (doc_id)): word spans to remove, and copies that go as a whole, of docs (doc_id, text).
+def removed_spans(docs: DataFrame, window: int = 20) -> DataFrame:
+    """(doc_id, h, spans): word spans to remove of docs (doc_id, h, text), where (doc_id, h) names a document.
 
-    The texts are shuffled once, by id, and all later passes over them reuse that exchange; only anchors that
-    repeat, windows behind them and their pieces are shuffled otherwise.
+    The texts are shuffled once, by document, and all later passes over them reuse that exchange; only anchors
+    that repeat, windows behind them and their pieces are shuffled otherwise.
     """
-    spark = docs.sparkSession
-    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A third grouping column keeps the aggregate's partitioning from being the join's, so the join gets
-    # exchanges of its own and adaptive execution can split a group of copies.
-    sequence = cut(docs.mapInArrow(_sequences(window), "doc_id long, s1 long, s2 long"))
-    first = sequence.groupBy("s1", "s2", F.pmod("s1", F.lit(1024)).alias("_spread")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = sequence.join(first.where("first < last").select("s1", "s2", "first"), ["s1", "s2"]).where("doc_id > first").select("doc_id").distinct()
-    anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long")
+    document = ["doc_id", "h"]
+    anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long, h long")
+    # A further grouping column keeps the aggregate's partitioning from being the join's, so the join gets
+    # exchanges of its own and adaptive execution can split an anchor that many texts have.
     repeated = anchors.groupBy("anchor", F.pmod("anchor", F.lit(1024)).alias("_spread")).count().where("count > 1").select("anchor")
     # A checkpoint of the repeated anchors: what found them need not be kept or run again.
-    per_doc = cut(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti"))
-    some = docs.join(per_doc, "doc_id").select("doc_id", "text", "anchors")
-    windows = some.mapInArrow(_repeating(window, shards), "window long, shard int, doc_id long, n long")
-    # Spark infers this for one of the two uses below; stated for both, they share one exchange.
-    windows = windows.where("shard is not null")
-    reference = windows.groupBy("window", "shard").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")).where("n > 1")
-    firsts = reference.groupBy("doc_id").agg(F.collect_list("window").alias("firsts"))
-    pieces = some.join(firsts, "doc_id", "left").select("doc_id", "text", "anchors", "firsts").mapInArrow(
-        _pieces(window, shards), "shard int, is_reference boolean, doc_id long, start long, piece binary"
+    per_doc = cut(anchors.join(repeated, "anchor").groupBy(*document).agg(F.collect_set("anchor").alias("anchors")))
+    total = per_doc.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_ANCHORS)))).alias("shard")
+    # Only shards of more than one task are listed. The table's size is known, so it's broadcast if it is small.
+    loads = per_doc.select(F.explode("anchors").alias("anchor")).groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / TASK_ANCHORS).cast("int").alias("tasks"))
+    loads = stored(loads.where("tasks > 1"))
+    some = docs.join(per_doc, document).select(*document, "text", "anchors")
+    windows = some.mapInArrow(_repeating(window), "window long, doc_id long, h long")
+    reference = windows.groupBy("window").agg(F.min(F.struct("doc_id", "h")).alias("d"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = reference.groupBy("d.doc_id", "d.h").agg(F.collect_list("window").alias("firsts"))
+    pieces = some.join(firsts, document, "left").select(*document, "text", "anchors", "firsts").mapInArrow(
+        _pieces(window), "anchor long, is_reference boolean, doc_id long, h long, start long, piece binary"
     )
-    # One row per shard at most; how many tasks a shard needs depends on how often its windows occur. The
-    # condition on doc_id keeps that column, so this reads the same exchange as firsts does.
-    loads = reference.groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WINDOWS).cast("int").alias("tasks"), F.max("doc_id").alias("last")).where("last is not null").drop("last")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int")
-    task = F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(own)))
-    placed = pieces.join(F.broadcast(loads), "shard").withColumn("task", task)
-    spans = placed.groupBy("shard", "task").applyInArrow(_match(window), "doc_id long, a long, b long")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), copies
+    tasks = F.coalesce("tasks", F.lit(1))
+    task = F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), tasks - 1)).otherwise(F.array(F.pmod(F.xxhash64(*document), tasks).cast("int"))))
+    placed = pieces.withColumn("shard", shard).drop("anchor").join(loads, "shard", "left").withColumn("task", task)
+    spans = placed.groupBy("shard", "task").applyInArrow(_match(window), "doc_id long, h long, a long, b long")
+    return spans.groupBy(*document).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def _cut(place: int):
-    """Rows with a text at place and _spans and _copy at the end, to rows with the text cut and two counts more."""
+    """Rows with a text at place and _spans at the end, to rows with the text cut and two counts more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, at = text_bytes(batch.column(place))
             raw, kept, count, left = data.tobytes(), [], [], []
-            copies, spans = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
-            for a, b, copy, cuts in zip(at[:-1].tolist(), at[1:].tolist(), copies, spans, strict=True):
+            for a, b, cuts in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 words = raw[a:b].split()
                 count.append(len(words))
-                if copy:
-                    words = []
-                elif cuts:
+                if cuts:
                     keep = np.ones(len(words), bool)
                     for span in cuts:
                         keep[span["a"] : span["b"]] = False
                     words = list(compress(words, keep.tolist()))
                 left.append(len(words))
                 kept.append(b" ".join(words).decode())
-            columns = list(batch.columns[:-2])
+            columns = list(batch.columns[:-1])
             columns[place] = pa.array(kept, pa.string())
-            names = batch.schema.names[:-2]
+            names = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(np.subtract(count, left), pa.int64())], [*names, "n_words", "n_removed"])
 
     return run
@@ -311,14 +286,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     window words around it has a word sequence that also starts earlier: in a smaller id, or in the same
     document further ahead. Texts below window words, null and empty ones lose nothing (null becomes empty).
     Rows with a null id lose nothing and count for nothing. Rows that repeat an id are one document if their
-    texts are equal; otherwise each is judged against smaller ids and itself. An empty table gives an empty
-    table; other columns of docs play no part.
+    texts are equal; different texts of an id are documents of their own, in the order of a hash of theirs. An
+    empty table gives an empty table; other columns of docs play no part.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     # Rows without an id go their own way, so that all joins share one exchange of the texts.
     known = plain.where("doc_id is not null")
-    spans, copies = removed_spans(known, window)
-    joined = known.join(spans, "doc_id", "left").join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left").select("doc_id", "text", "spans", "_copy")
-    others = plain.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.lit(None).cast("boolean").alias("_copy"))
+    joined = known.join(removed_spans(known, window), ["doc_id", "h"], "left").select("doc_id", "text", "spans")
+    others = plain.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"))
     schema = "doc_id long, text string, n_words long, n_removed long"
     return joined.mapInArrow(_cut(1), schema).unionAll(others.mapInArrow(_cut(1), schema))
