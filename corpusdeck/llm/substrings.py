@@ -118,7 +118,7 @@ def _filled(lists: pa.Array) -> pa.Array:
 
 
 def _anchors(window: int):
-    """(doc_id, h, text) to (anchor, doc_id, h)."""
+    """(doc_id, h, text) to (anchor, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -126,7 +126,7 @@ def _anchors(window: int):
             at = found.anchors()
             if len(at):
                 owner = pa.array(np.searchsorted(found.words.first, at, "right") - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(found.gram[at].view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner)], ["anchor", "doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.gram[at].view(np.int64)), batch.column(0).take(owner)], ["anchor", "doc_id"])
 
     return run
 
@@ -138,7 +138,7 @@ def _distinct(found: _Windows, at: np.ndarray, value: np.ndarray) -> tuple[np.nd
 
 
 def _repeating(window: int):
-    """(doc_id, h, text, anchors) to (window, doc_id, h) for windows whose anchor repeats, twice for those that repeat in their text."""
+    """(doc_id, h, text, anchors) to (window, doc_id) for windows whose anchor repeats, twice for those that repeat in their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -148,7 +148,7 @@ def _repeating(window: int):
             at = np.repeat(at, np.minimum(count, 2))
             if len(at):
                 owner = pa.array(found.doc[at])
-                yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner)], ["window", "doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), batch.column(0).take(owner)], ["window", "doc_id"])
 
     return run
 
@@ -223,57 +223,56 @@ def _match(window: int):
 
 
 def removed_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, h, spans): word spans to remove of docs (doc_id, h, text), where (doc_id, h) names a document.
+    """(doc_id, spans): word spans to remove of docs (doc_id, h, text), as (h, a, b), where h names one of the texts of an id.
 
-    The texts are shuffled once, by document, and all later passes over them reuse that exchange; only anchors
+    The texts are shuffled once, by id, and all later passes over them reuse that exchange; only anchors
     that repeat, windows behind them and their pieces are shuffled otherwise.
     """
-    document = ["doc_id", "h"]
-    anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long, h long")
+    anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long")
     # A further grouping column keeps the aggregate's partitioning from being the join's, so the join gets
     # exchanges of its own and adaptive execution can split an anchor that many texts have.
     repeated = anchors.groupBy("anchor", F.pmod("anchor", F.lit(1024)).alias("_spread")).count().where("count > 1").select("anchor")
     # A checkpoint of the repeated anchors: what found them need not be kept or run again.
-    per_doc = cut(anchors.join(repeated, "anchor").groupBy(*document).agg(F.collect_set("anchor").alias("anchors")))
+    per_doc = cut(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
     total = per_doc.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_ANCHORS)))).alias("shard")
     # Only shards of more than one task are listed. The table's size is known, so it's broadcast if it is small.
     loads = per_doc.select(F.explode("anchors").alias("anchor")).groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / TASK_ANCHORS).cast("int").alias("tasks"))
     loads = stored(loads.where("tasks > 1"))
-    some = docs.join(per_doc, document).select(*document, "text", "anchors")
-    windows = some.mapInArrow(_repeating(window), "window long, doc_id long, h long")
-    reference = windows.groupBy("window").agg(F.min(F.struct("doc_id", "h")).alias("d"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = reference.groupBy("d.doc_id", "d.h").agg(F.collect_list("window").alias("firsts"))
-    pieces = some.join(firsts, document, "left").select(*document, "text", "anchors", "firsts").mapInArrow(
+    some = docs.join(per_doc, "doc_id").select("doc_id", "h", "text", "anchors")
+    windows = some.mapInArrow(_repeating(window), "window long, doc_id long")
+    reference = windows.groupBy("window").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = reference.groupBy("doc_id").agg(F.collect_list("window").alias("firsts"))
+    pieces = some.join(firsts, "doc_id", "left").select("doc_id", "h", "text", "anchors", "firsts").mapInArrow(
         _pieces(window), "anchor long, is_reference boolean, doc_id long, h long, start long, piece binary"
     )
     tasks = F.coalesce("tasks", F.lit(1))
-    task = F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), tasks - 1)).otherwise(F.array(F.pmod(F.xxhash64(*document), tasks).cast("int"))))
+    task = F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), tasks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "h"), tasks).cast("int"))))
     placed = pieces.withColumn("shard", shard).drop("anchor").join(loads, "shard", "left").withColumn("task", task)
     spans = placed.groupBy("shard", "task").applyInArrow(_match(window), "doc_id long, h long, a long, b long")
-    return spans.groupBy(*document).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("h", "a", "b")).alias("spans"))
 
 
 def _cut(place: int):
-    """Rows with a text at place and _spans at the end, to rows with the text cut and two counts more."""
+    """Rows with a text at place, h after it and spans at the end, to rows with the text cut by its own spans and two counts more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, at = text_bytes(batch.column(place))
             raw, kept, count, left = data.tobytes(), [], [], []
-            for a, b, cuts in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for a, b, h, cuts in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(place + 1).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 words = raw[a:b].split()
                 count.append(len(words))
                 if cuts:
                     keep = np.ones(len(words), bool)
                     for span in cuts:
-                        keep[span["a"] : span["b"]] = False
+                        if span["h"] == h:
+                            keep[span["a"] : span["b"]] = False
                     words = list(compress(words, keep.tolist()))
                 left.append(len(words))
                 kept.append(b" ".join(words).decode())
-            columns = list(batch.columns[:-1])
-            columns[place] = pa.array(kept, pa.string())
-            names = batch.schema.names[:-1]
+            columns = [*batch.columns[:place], pa.array(kept, pa.string()), *batch.columns[place + 2 : -1]]
+            names = [*batch.schema.names[: place + 1], *batch.schema.names[place + 2 : -1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(np.subtract(count, left), pa.int64())], [*names, "n_words", "n_removed"])
 
     return run
@@ -286,13 +285,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     window words around it has a word sequence that also starts earlier: in a smaller id, or in the same
     document further ahead. Texts below window words, null and empty ones lose nothing (null becomes empty).
     Rows with a null id lose nothing and count for nothing. Rows that repeat an id are one document if their
-    texts are equal; different texts of an id are documents of their own, in the order of a hash of theirs. An
-    empty table gives an empty table; other columns of docs play no part.
+    texts are equal; different texts of an id are each judged against smaller ids and themselves. An empty table
+    gives an empty table; other columns of docs play no part.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     # Rows without an id go their own way, so that all joins share one exchange of the texts.
     known = plain.where("doc_id is not null")
-    joined = known.join(removed_spans(known, window), ["doc_id", "h"], "left").select("doc_id", "text", "spans")
-    others = plain.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"))
+    joined = known.join(removed_spans(known, window), "doc_id", "left").select("doc_id", "text", "h", "spans")
+    others = plain.where("doc_id is null").select("doc_id", "text", "h", F.lit(None).cast("array<struct<h:bigint,a:bigint,b:bigint>>").alias("spans"))
     schema = "doc_id long, text string, n_words long, n_removed long"
     return joined.mapInArrow(_cut(1), schema).unionAll(others.mapInArrow(_cut(1), schema))

@@ -142,3 +142,26 @@ def test_substrings_odd_rows(spark):
     got = sorted((x.doc_id or -1, x.n_words, x.n_removed) for x in substring_dedup(df).collect())
     assert got == [(-1, 30, 0), (2, 30, 0), (2, 30, 0), (7, 31, 30), (8, 0, 0)]
     assert substring_dedup(df.where("false")).count() == 0
+
+
+def test_substrings_of_different_texts_under_one_id(spark):
+    passage, other = " ".join(f"t{i}" for i in range(30)), " ".join(f"u{i}" for i in range(60))
+    df = spark.createDataFrame([(1, passage), (2, "a b c " + passage), (2, other), (3, other)], "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup(df).collect())
+    assert got == [(1, 30, 0), (2, 33, 30), (2, 60, 0), (3, 60, 60)]
+
+
+def test_recall_of_a_region_of_scattered_edits(spark):
+    """Texts of 200 words with two to four edits each to one base: the components of brute force, whatever the seed."""
+    for seed, percent in ((1, 85), (2, 80)):
+        r = random.Random(seed)
+        base = words(r, 200, 10**6)
+        rows = []
+        for i in range(600):
+            w = list(base)
+            for place in r.sample(range(200), r.choice((2, 3, 4))):
+                w[place] = f"x{i}_{place}"
+            rows.append((i, " ".join(w)))
+        want = plain.components({i: plain.shingles(t) for i, t in rows}, percent)
+        got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+        assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)

@@ -76,3 +76,16 @@ def test_mix_meets_targets_and_repeats(spark):
         assert all(0 <= x.taken <= 3 * x.size for x in own) and own[0].source_size == sum(x.size for x in own)
     assert mix_sources(df.where("false")).count() == 0
     assert {x.taken for x in mix_sources(df.where("text is null")).collect()} == {0}
+
+
+def test_columns_of_the_operators_own_names_stay(spark):
+    row = (1, LONG, "a", 1, 2, 3, 4, 5)
+    df = spark.createDataFrame([row, row], "doc_id long, text string, source string, _doc int, _lines int, _borders int, _order int, _bucket int")
+    for out in (line_dedup(df), mix_sources(df)):
+        assert [tuple(x)[3:8] for x in out.collect()] == [(1, 2, 3, 4, 5)] * 2
+
+
+def test_mix_spreads_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, f"w {i}", "a") for i in range(400)] + [(7, "w w w", "b")], "doc_id long, text string, source string")
+    got = mix_sources(df, bucket_docs=16).where("source = 'a'").collect()
+    assert abs(sum(x.taken for x in got) - got[0].target) <= 1 + 400 / 8
