@@ -110,7 +110,7 @@ class Pieces:
 
 def _indexes(items: DataFrame, error_share: float, id_col: str, text_col: str) -> Iterator[Pieces]:
     """One index per bounded share of the items; usually one in all."""
-    plain = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    plain = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     chars = plain.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shares = max(1, -(-chars // MAX_ITEM_CHARS))
     for share in range(shares):
@@ -126,7 +126,7 @@ def benchmark_hits(
     Words are runs of letters and digits (every non-ASCII character counts as a letter), lower-cased. An item
     of n words has a budget of floor(error_share * n) word edits. One row per document and item gives the
     least distance and the position after the first passage that has it. Null or empty texts hold nothing,
-    items without words or id are left out, null document ids pass through, repeated documents or items
+    items without words are left out, an item without an id is reported with a null one, null document ids pass through, repeated documents or items
     give repeated rows. Empty tables give an empty table; other columns play no part.
     """
     spark = docs.sparkSession

@@ -1,7 +1,7 @@
 """Substring dedup: suffix automata of reference shards, and documents streamed through them.
 
 The reference holds the first occurrence of every word window that occurs more than once. Which windows
-those are is found by content-defined anchors: each window has one anchor (its least 8-word hash), equal
+those are is found by content-defined anchors: each window has one anchor (its least 6-word hash), equal
 windows have equal anchors, and an anchor seen once rules its windows out. Reference spans and document
 segments meet in shards by anchor, whose number follows from the number of repeated anchors. Each shard's
 task builds a suffix automaton of its reference and reads matching statistics of its segments; a shard with
@@ -23,7 +23,7 @@ from .common import cut, stored
 from .tokens import U64, Words, chunks, grams, inside, mix, sliding, text_bytes, words_of
 
 #: Words of an anchor.
-ANCHOR = 8
+ANCHOR = 6
 #: Occurrences of repeated anchors that a shard has on average, and that one task of a shard takes.
 SHARD_ANCHORS, TASK_ANCHORS = 8_000, 16_000
 
