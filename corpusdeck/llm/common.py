@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver collect what nobody refers to any more, so that Spark deletes those shuffles' files now. It would do so
+    at the next collection, which on an idle driver is up to spark.cleaner.periodicGC.interval away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_names(columns: list[str], *names: str) -> list[str]:
     """names, each with as many underscores before it as it takes not to be one of columns."""
     taken = {c.lower() for c in columns}

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import collect_garbage, cut, stored
 from .tokens import U64, Words, chunks, grams, inside, mix, sliding, text_bytes, words_of
 
 #: Words of an anchor.
@@ -234,6 +234,8 @@ def removed_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     repeated = anchors.groupBy("anchor", F.pmod("anchor", F.lit(1024)).alias("_spread")).count().where("count > 1").select("anchor")
     # A checkpoint of the repeated anchors: what found them need not be kept or run again.
     per_doc = cut(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    del anchors, repeated
+    collect_garbage(docs.sparkSession)
     total = per_doc.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_ANCHORS)))).alias("shard")
     # Only shards of more than one task are listed. The table's size is known, so it's broadcast if it is small.
