@@ -111,25 +111,24 @@ def is_decorative(text: Column) -> Column:
 def add_priorities(signals: DataFrame, repeated: Column) -> DataFrame:
     """The columns of add_signals plus _priorities: an array of (text, is_heading, bullet_level, priority, reason, n_words) per block.
 
-    The first rule that holds decides: Repeated (a short text in the array repeated, no heading), Decorative,
+    Arrays that each block is held against are bound first: a column of their own would be merged into the
+    lambda and made anew for each block. The first rule that holds decides: Repeated (a short text in the array repeated, no heading), Decorative,
     Redundant (four words or more, over 0.8 alike to an earlier High block), High (headings, large type, bold
     up to 15 words, a key concept or defined term inside), Low (deep bullets, filler, over 45 words), Medium.
     """
-    low_all = lambda c: F.transform(c, F.lower)
-    known = signals.withColumns({"_concepts": low_all(F.col("concept")), "_terms": low_all(F.transform("definition", lambda d: d["term"])), "_again": repeated})
 
-    def judged(b: Column) -> Column:
+    def judged(b: Column, concepts: Column, terms: Column, again: Column) -> Column:
         def by(t: Column) -> Column:
             low, n = F.lower(t), F.size(words(t))
             big = F.coalesce(b["font_size"], F.lit(0.0)) >= 20
             reason = (
-                F.when(F.array_contains(F.col("_again"), low) & ~b["is_heading"], "repeated")
+                F.when(F.array_contains(again, low) & ~b["is_heading"], "repeated")
                 .when(is_decorative(t), "decorative")
                 .when(b["is_heading"] | (b["heading_level"] > 0), "heading")
                 .when(big, "large type")
                 .when(b["is_bold"] & (n <= 15), "bold")
-                .when(F.exists("_concepts", lambda c: low.contains(c)), "key concept")
-                .when(F.exists("_terms", lambda c: low.contains(c)), "defined term")
+                .when(F.exists(concepts, lambda c: low.contains(c)), "key concept")
+                .when(F.exists(terms, lambda c: low.contains(c)), "defined term")
                 .when(b["bullet_level"] >= 2, "deep bullet")
                 .when(contains_any(low, dims.FILLER_PHRASES), "filler")
                 .when(n > 45, "dense")
@@ -139,7 +138,9 @@ def add_priorities(signals: DataFrame, repeated: Column) -> DataFrame:
 
         return let(strip(b["text"]), by)
 
-    found = known.withColumn("_judged", F.filter(F.transform("_items", judged), lambda b: b["text"] != ""))
+    concepts, terms = F.transform("concept", F.lower), F.transform("definition", lambda d: F.lower(d["term"]))
+    blocks = let(F.struct(concepts.alias("c"), terms.alias("t"), repeated.alias("r")), lambda k: F.transform("_items", lambda b: judged(b, k["c"], k["t"], k["r"])))
+    found = signals.withColumn("_judged", F.filter(blocks, lambda b: b["text"] != ""))
     high = ["heading", "large type", "bold", "key concept", "defined term"]
 
     def fold(acc: Column, b: Column) -> Column:
@@ -154,10 +155,10 @@ def add_priorities(signals: DataFrame, repeated: Column) -> DataFrame:
         )
 
     zero = F.struct(F.array().cast("array<array<string>>").alias("high"), F.array().cast("array<int>").alias("out"), F.lit(0).alias("i"))
-    found = found.withColumn("_redundant", F.aggregate("_judged", zero, fold, lambda acc: acc["out"]))
+    redundant = F.aggregate("_judged", zero, fold, lambda acc: acc["out"])
 
-    def final(b: Column, i: Column) -> Column:
-        again = F.array_contains(F.col("_redundant"), i)
+    def final(b: Column, i: Column, redundant: Column) -> Column:
+        again = F.array_contains(redundant, i)
         priority = (
             F.when(again, "Redundant")
             .when(b["reason"] == "repeated", "Repeated")
@@ -168,7 +169,7 @@ def add_priorities(signals: DataFrame, repeated: Column) -> DataFrame:
         )
         return F.struct(b["text"], b["is_heading"], b["bullet_level"], priority.alias("priority"), F.when(again, "redundant").otherwise(b["reason"]).alias("reason"), b["n_words"])
 
-    return found.withColumn("_priorities", F.transform("_judged", final)).drop("_judged", "_redundant", "_concepts", "_terms", "_again")
+    return found.withColumn("_priorities", let(redundant, lambda r: F.transform("_judged", lambda b, i: final(b, i, r)))).drop("_judged")
 
 
 def with_repeated(units: DataFrame) -> DataFrame:
