@@ -1,6 +1,8 @@
 """Exact top-k search by inner product on a bit-sliced index.
 
-Rows are dealt into blocks, and each block keeps one bitmap per attribute and bit of its coarsened values.
+Rows are dealt into blocks of bounded size, and each block keeps one bitmap per attribute and bit of its
+coarsened values. The queries, a small part of the rows, are sent to the blocks and stream through them in
+batches, so a row is shuffled a fixed number of times, an index is built once, and a task holds one block.
 For a query the slices are added up, weighted, with carry-save bitmap arithmetic, into the slices of a
 coarse score; the top rows are then selected from its most significant slice downward. Coarse scores have
 a known error, so rows within it of the k-th are the boundary, and their exact scores decide.
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bits that a block's attributes and a query's weights are coarsened to.
 ATTRIBUTE_BITS, QUERY_BITS = 6, 6
-#: Rows of a candidate block, and of a block of queries.
-BLOCK_ROWS, QUERY_ROWS = 1 << 16, 512
+#: Most rows of a block on average; and as few as blocks may have where that gives all cores work.
+BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 11
 #: Products below this are exact in double precision.
 _EXACT = 1 << 53
 
@@ -88,11 +90,12 @@ def _count(bitmap: np.ndarray) -> int:
 
 
 class BitSlicedIndex:
-    """The rows of one block."""
+    """The different rows of one block, and how many copies each stands for."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, copies: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
+        self.copies = np.ones(len(ids), np.int64) if copies is None else copies[order]
         rows, self.dims = self.values.shape
         self.words = -(-rows // 64)
         self.low = self.values.min(axis=0)
@@ -162,34 +165,60 @@ class BitSlicedIndex:
         else:
             score = self.values[near] @ query
         best = np.lexsort((self.ids[near], -score))[:k]
+        best = np.repeat(best, self.copies[near][best])[:k]
         return self.ids[near][best], score[best]
 
 
-def _matrix(table: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and integer vectors; shorter vectors are filled up with zeros."""
-    column = table.column("v").combine_chunks()
-    length = np.diff(np.asarray(column.offsets))
-    flat = np.asarray(column.flatten(), np.int64)
-    out = np.zeros((len(length), dims), np.int64)
-    if len(flat):
-        row = np.repeat(np.arange(len(length)), length)
-        out[row, np.arange(len(flat)) - np.repeat(np.concatenate(([0], np.cumsum(length)[:-1])), length)] = flat
-    return np.asarray(table.column("id"), np.int64), out
+def _lengths(table: pa.Table) -> np.ndarray:
+    return np.diff(np.asarray(table.column("v").combine_chunks().offsets))
+
+
+def _matrix(table: pa.Table, dims: int) -> np.ndarray:
+    """Integer vectors of dims components: shorter ones are filled up with zeros, longer ones cut."""
+    length = _lengths(table)
+    flat = np.asarray(table.column("v").combine_chunks().flatten(), np.int64)
+    row = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    out, fits = np.zeros((len(length), dims), np.int64), place < dims
+    out[row[fits], place[fits]] = flat[fits]
+    return out
+
+
+def _index(parts: list[pa.RecordBatch]) -> BitSlicedIndex:
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    return BitSlicedIndex(np.asarray(rows.column("id"), np.int64), _matrix(rows, int(_lengths(rows).max(initial=0))), np.asarray(rows.column("copies"), np.int64))
 
 
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    """(block, is_query, id, v, copies), a block's rows before the queries sent to it, to (query_id, vec_id, score)."""
 
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        dims = max(int(np.diff(np.asarray(t.column("v").combine_chunks().offsets)).max(initial=0)) for t in (rows, queries))
-        index = BitSlicedIndex(*_matrix(rows, dims))
+    def answers(index: BitSlicedIndex, asked: pa.RecordBatch) -> pa.RecordBatch:
+        table = pa.Table.from_batches([asked])
         parts = []
-        for query_id, query in zip(*_matrix(queries, dims), strict=True):
-            ids, scores = index.search(int(query_id), query, k)
+        # What a query has beyond the block's longest vector meets zeros only.
+        for query_id, query in zip(table.column("id").to_pylist(), _matrix(table, index.dims), strict=True):
+            ids, scores = index.search(query_id, query, k)
             parts.append((np.full(len(ids), query_id), ids, scores))
-        return pa.table([np.concatenate(x) for x in zip(*parts, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, is_query = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if block[a] != now:
+                    now, rows, index = block[a], [], None
+                part = batch.slice(a, b - a)
+                if not is_query[a]:
+                    rows.append(part)
+                    continue
+                if index is None and rows:
+                    index, rows = _index(rows), []
+                if index is not None:
+                    yield answers(index, part)
 
     return run
 
@@ -198,27 +227,26 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query with all other rows.
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by every; every row but
-    the query's own id is a candidate, and ties go to the smaller id. Both sides are dealt into blocks of
-    bounded size, each pair of blocks is one task's work, and only k rows a query leave it. Vectors that are
-    null or hold null, NaN or infinite components take no part, nor do rows with a null id; empty vectors
-    have score 0 with all. Vectors of different lengths are compared as if filled up with zeros. Rows that
-    repeat an id are candidates each; of queries that repeat an id, one vector (the smallest) counts. An
-    empty table gives an empty table; other columns play no part.
+    the query's own id is a candidate, and ties go to the smaller id. Vectors that are null or hold null, NaN
+    or infinite components take no part, nor do rows with a null id; empty vectors have score 0 with all.
+    Vectors of different lengths are compared as if filled up with zeros. Rows that repeat an id are
+    candidates each; copies of one row travel as one with a count, as more than k of them never matter. Of
+    queries that repeat an id, one vector (the smallest) counts. An empty table gives an empty table; other
+    columns play no part.
     """
     x = F.col(vector_col)
     fit = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & fit).select(
         F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")
     )
-    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n = rows.count()
-    blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // (every * QUERY_ROWS)))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = (
-        dealt.groupBy("block", "part")
-        .cogroup(asked.groupBy("block", "part"))
-        .applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    )
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCK_ROWS), min(cores, n // LEAST_ROWS))
+    kinds = rows.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    dealt = kinds.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), F.lit(False).alias("is_query"), "id", "v", "copies")
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("is_query"), "id", "v", F.lit(0).cast("long").alias("copies"))
+    met = dealt.unionAll(asked).repartition(blocks, "block").sortWithinPartitions("block", "is_query")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
