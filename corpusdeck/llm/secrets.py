@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .common import stored
+
 #: Base patterns in the order in which equal starts are listed; the least code points of the match or of its value (fixed values of the contract).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -40,10 +43,20 @@ BINS, STEPS, LAST = 5, 4, 80
 _FOUND = "array<struct<start:int,end:int,hit:string>>"
 
 
+def _parts(array: Column) -> Column:
+    """An array in parts of about the square root of its size, so that folds and searches over it needn't take quadratic time."""
+
+    def by(width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(array), width), lambda at: F.slice(array, at, width))
+
+    return F.when(F.size(array) > 0, let(F.ceil(F.sqrt(F.size(array))).cast("int"), by)).otherwise(F.slice(F.array(array), 1, 0))
+
+
 def _hits(text: Column, pattern: str) -> Column:
     """[(start, end, hit)] of all leftmost non-overlapping matches, in code points; end is exclusive.
 
-    Matches and the gaps between them add up to the text, so running lengths are the positions.
+    Matches and the gaps between them add up to the text, so running lengths are the positions: first those
+    within each part of the matches, then the parts are moved by the lengths before them.
     """
     nothing = F.array().cast(_FOUND)
 
@@ -53,8 +66,17 @@ def _hits(text: Column, pattern: str) -> Column:
         found = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.when(pair["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(found))).alias("found"))
 
+    def moved(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + part["at"])))
+
+        def move(h: Column, by: Column) -> Column:
+            return F.struct((h["start"] + by).alias("start"), (h["end"] + by).alias("end"), h["hit"].alias("hit"))
+
+        return let(before, lambda at: F.flatten(F.transform(parts, lambda part, i: F.transform(part["found"], lambda h: move(h, F.get(at, i))))))
+
     pairs = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step, lambda acc: acc["found"])
+    zero = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
+    folded = let(pairs, lambda p: let(F.transform(_parts(p), lambda part: F.aggregate(part, zero, step)), moved))
     return F.when(text.rlike(pattern), folded).otherwise(nothing)
 
 
@@ -62,6 +84,14 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _touched(h: Column, grouped: list[Column]) -> Column:
+    """Whether a span overlaps one of the spans in parts of (low, high, spans)."""
+    found = F.lit(False)
+    for groups in grouped:
+        found = found | F.exists(groups, lambda g: (h["start"] < g["high"]) & (g["low"] < h["end"]) & F.exists(g["spans"], lambda b: _overlaps(h, b)))
+    return found
+
+
 def _two_sided(z: Column) -> Column:
     """P(|Z| >= |z|) of a standard normal Z, by a polynomial for the complementary error function."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
@@ -132,8 +162,10 @@ def _scanned(docs: DataFrame, text: Column) -> DataFrame:
             "_tokens": _hits(F.col("_text"), TOKEN),
         }
     )
-    base = F.concat("_assign", "_access", "_hex")
-    found = found.withColumn("_tokens", F.filter("_tokens", lambda h: ~F.exists(base, lambda b: _overlaps(h, b))))
+    # Spans of one kind are in order and apart, so a token needs a look into one or two parts of each.
+    grouped = [F.transform(_parts(F.col(c)), lambda p: F.struct(p[0]["start"].alias("low"), F.element_at(p, -1)["end"].alias("high"), p.alias("spans"))) for c in ("_assign", "_access", "_hex")]
+    free = let(F.struct(*[g.alias(f"g{i}") for i, g in enumerate(grouped)]), lambda s: F.filter("_tokens", lambda h: ~_touched(h, [s[f"g{i}"] for i in range(len(grouped))])))
+    found = found.withColumn("_tokens", free)
 
     def symbols(h: Column) -> Column:
         x, k = _symbols(h["hit"])
@@ -184,7 +216,10 @@ def secret_scan(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", tex
     text counts as empty and has no spans; null or repeated ids change nothing, each row is scanned alone.
     An empty table gives an empty table; other columns play no part.
     """
-    scanned = _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw")), F.col("_raw")).drop("_raw")
+    scanned = _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw")), F.col("_raw"))
+    places = [F.transform(c, lambda h: F.struct(h["start"], h["end"])).alias(c) for c in ("_assign", "_access", "_hex")]
+    # Places of spans alone, without texts, are written: both passes below read them, and texts are scanned once.
+    scanned = stored(scanned.select("doc_id", *places, "_tokens"))
     tokens = scanned.select(F.explode("_tokens").alias("t")).select("t.band", "t.step")
     cuts = rejections(tokens, rate)
     # One row: a map of the bands' cuts, at most one entry per doubling of length.
