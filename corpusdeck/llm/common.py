@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def collect_garbage(spark: SparkSession) -> None:
     """Has the driver collect what nobody refers to any more, so that Spark deletes those shuffles' files now. It would do so
-    at the next collection, which on an idle driver is up to spark.cleaner.periodicGC.interval away."""
+    at the next collection, which on an idle driver is up to spark.cleaner.periodicGC.interval away. What Python lets go
+    of is released in the JVM by a thread that looks once a second, so the JVM's collection waits for that."""
     gc.collect()
+    time.sleep(3)
     spark.sparkContext._jvm.System.gc()
 
 
