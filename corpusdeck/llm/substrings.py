@@ -154,7 +154,10 @@ def _repeating(window: int):
 
 
 def _pieces(window: int):
-    """(doc_id, h, text, anchors, firsts) to segments and reference spans (anchor, is_reference, doc_id, h, start, piece)."""
+    """(doc_id, h, text, anchors, firsts) to segments and reference spans (anchor, is_reference, piece, places).
+
+    Equal pieces of a batch are one row with the (doc_id, h, start) of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -172,16 +175,20 @@ def _pieces(window: int):
                 last = np.append(begin[1:], len(at)) - 1
                 a, b = found.at[at[begin]], found.at[at[last]] + window - 1
                 text, owner = words.data.tobytes(), found.doc[at[begin]]
+                equal: dict[bytes, list[int]] = {}
+                for i, (x, y) in enumerate(zip(words.start[a].tolist(), words.end[b].tolist(), strict=True)):
+                    equal.setdefault(text[x:y], []).append(i)
+                row = np.array([i for rows in equal.values() for i in rows])
+                edge = np.cumsum([0, *map(len, equal.values())])
+                places = [batch.column(0).take(pa.array(owner[row])), batch.column(1).take(pa.array(owner[row])), pa.array((a - words.first[owner])[row])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found.anchor[at[begin]].view(np.int64)),
-                        pa.array(np.full(len(begin), is_reference)),
-                        batch.column(0).take(pa.array(owner)),
-                        batch.column(1).take(pa.array(owner)),
-                        pa.array(a - words.first[owner]),
-                        pa.array([text[x:y] for x, y in zip(words.start[a].tolist(), words.end[b].tolist(), strict=True)], pa.binary()),
+                        pa.array(found.anchor[at[begin]][row[edge[:-1]]].view(np.int64)),
+                        pa.array(np.full(len(equal), is_reference)),
+                        pa.array(list(equal), pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays(places, ["doc_id", "h", "start"])),
                     ],
-                    ["anchor", "is_reference", "doc_id", "h", "start", "piece"],
+                    ["anchor", "is_reference", "piece", "places"],
                 )
 
     return run
@@ -194,29 +201,30 @@ def _match(window: int):
     def run(pieces: pa.Table) -> pa.Table:
         automaton, firsts, known = SuffixAutomaton(), set(), {}
         is_reference = pieces.column("is_reference")
-        references, segments = (list(zip(*(x.column(c).to_pylist() for c in ("doc_id", "h", "start", "piece")), strict=True)) for x in (pieces.filter(is_reference), pieces.filter(pc.invert(is_reference))))
-        for doc, h, start, piece in references:
+        references, segments = (list(zip(*(x.column(c).to_pylist() for c in ("piece", "places")), strict=True)) for x in (pieces.filter(is_reference), pieces.filter(pc.invert(is_reference))))
+        for piece, places in references:
             words = piece.split()
             automaton.add(words)
-            firsts.update((doc, h, start + i) for i in range(len(words) - window + 1))
+            firsts.update((at["doc_id"], at["h"], at["start"] + i) for at in places for i in range(len(words) - window + 1))
         out: list[tuple[int, int, int, int]] = []
-        for doc, h, start, piece in segments:
+        for piece, places in segments:
             ends = known.get(piece)
             if ends is None:
                 ends = known[piece] = automaton.matches(piece.split(), window)
-            span = None
-            for end in ends:
-                a = start + end - window + 1
-                if (doc, h, a) in firsts:
-                    continue
-                if span and a <= span[1]:
-                    span = (span[0], a + window)
-                else:
-                    if span:
-                        out.append((doc, h, *span))
-                    span = (a, a + window)
-            if span:
-                out.append((doc, h, *span))
+            for at in places:
+                doc, h, span = at["doc_id"], at["h"], None
+                for end in ends:
+                    a = at["start"] + end - window + 1
+                    if (doc, h, a) in firsts:
+                        continue
+                    if span and a <= span[1]:
+                        span = (span[0], a + window)
+                    else:
+                        if span:
+                            out.append((doc, h, *span))
+                        span = (a, a + window)
+                if span:
+                    out.append((doc, h, *span))
         return pa.table([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
 
     return run
@@ -246,10 +254,10 @@ def removed_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     reference = windows.groupBy("window").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = reference.groupBy("doc_id").agg(F.collect_list("window").alias("firsts"))
     pieces = some.join(firsts, "doc_id", "left").select("doc_id", "h", "text", "anchors", "firsts").mapInArrow(
-        _pieces(window), "anchor long, is_reference boolean, doc_id long, h long, start long, piece binary"
+        _pieces(window), "anchor long, is_reference boolean, piece binary, places array<struct<doc_id:bigint,h:bigint,start:bigint>>"
     )
     tasks = F.coalesce("tasks", F.lit(1))
-    task = F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), tasks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "h"), tasks).cast("int"))))
+    task = F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), tasks - 1)).otherwise(F.array(F.pmod(F.xxhash64(F.col("places")[0]), tasks).cast("int"))))
     placed = pieces.withColumn("shard", shard).drop("anchor").join(loads, "shard", "left").withColumn("task", task)
     spans = placed.groupBy("shard", "task").applyInArrow(_match(window), "doc_id long, h long, a long, b long")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("h", "a", "b")).alias("spans"))
