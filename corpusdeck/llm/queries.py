@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality
+from .runs import periodic_runs
 from .secrets import secret_scan
 from .substrings import substring_dedup
 from .topk import top_k
@@ -86,3 +87,29 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_secret_scans"] = op2_secret_scans
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """docs, with the end of every tenth text (by crc32 of the id) made periodic, as op13's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.greatest(F.size(words), F.lit(1))
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+    return docs.withColumn("text", F.when(h % 10 == 0, text).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # The longest run, then the smallest start, then the smallest period: the least of these triples.
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    listing = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("first"), F.sha2(listing, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = F.col("first.s"), -F.col("first.l"), F.col("first.p")
+    milli = F.floor(1000 * length / period)
+    return best.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES["op13_periodic_runs"] = op13_periodic_runs
