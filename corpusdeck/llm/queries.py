@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import benchmark_hits
+from .fim import fim_digests, fim_pieces
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -113,3 +114,10 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_periodic_runs"] = op13_periodic_runs
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(fim_pieces(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op11_fill_in_middle"] = op11_fill_in_middle
