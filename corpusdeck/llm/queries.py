@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .quality import quality
 from .runs import periodic_runs
 from .secrets import secret_scan
+from .shards import kd_shards
 from .substrings import substring_dedup
 from .topk import top_k
 from .toxicity import toxicity
@@ -121,3 +122,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_fill_in_middle"] = op11_fill_in_middle
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES["op12_sharding"] = op12_sharding
