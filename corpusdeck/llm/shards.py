@@ -49,13 +49,13 @@ class Node:
         for side in self.sides:
             yield from side.leaves()
 
-    def pick(self, value) -> Column:
-        """value(leaf) of the leaf that a row with columns _k0, _k1, ... and _r falls into."""
+    def pick(self, value) -> str:
+        """SQL for value(leaf) of the leaf that a row with columns _k0, _k1, ... and _r falls into."""
         if not self.sides:
-            return F.lit(value(self)).cast("int")
-        key = F.col(f"_k{self.line}")
-        low = (key < self.key) | ((key == self.key) & (F.col("_r") < self.row))
-        return F.when(low, self.sides[0].pick(value)).otherwise(self.sides[1].pick(value))
+            return value(self)
+        key = f"_k{self.line}"
+        low = f"{key} < {self.key} OR ({key} = {self.key} AND _r < {self.row})"
+        return f"CASE WHEN {low} THEN {self.sides[0].pick(value)} ELSE {self.sides[1].pick(value)} END"
 
 
 @dataclass
@@ -143,9 +143,9 @@ def _grow(keyed: DataFrame, places: int, shards: int) -> Node:
     level, tolerance = [root], 0.0
     while level := [n for n in level if n.shards > 1]:
         at = {id(n): i for i, n in enumerate(level)}
-        rows = keyed.withColumn("_node", root.pick(lambda leaf, at=at: at.get(id(leaf), -1))).where("_node >= 0")
         ends = [f(f"_k{i}").alias(f"{f.__name__}{i}") for i in range(places) for f in (F.min, F.max)]
-        found = rows.groupBy("_node").agg(F.sum("size").alias("bytes"), *ends).collect()
+        node = F.expr(root.pick(lambda leaf, at=at: str(at.get(id(leaf), "CAST(NULL AS INT)"))))
+        found = keyed.groupBy(node.alias("_node")).agg(F.sum("size").alias("bytes"), *ends).where("_node is not null").collect()
         searches, total = [], {}
         for x in found:
             node = level[x["_node"]]
@@ -153,7 +153,7 @@ def _grow(keyed: DataFrame, places: int, shards: int) -> Node:
             tolerance = tolerance or x["bytes"] / shards * TOLERANCE
             node.line = max(range(places), key=lambda i: (x[f"max{i}"] // _CODES - x[f"min{i}"] // _CODES, -i))
             searches.append(Search(node, x["bytes"] * (node.shards // 2) / node.shards, x[f"min{node.line}"], x[f"max{node.line}"]))
-        _cut(keyed, root, searches, places, tolerance)
+        _cut(keyed, root, searches, tolerance)
         level = []
         for s in searches:
             node, share = s.node, s.below / total[id(s.node)]
@@ -165,23 +165,31 @@ def _grow(keyed: DataFrame, places: int, shards: int) -> Node:
     return root
 
 
-def _cut(keyed: DataFrame, root: Node, searches: list[Search], places: int, tolerance: float) -> None:
+def _cut(keyed: DataFrame, root: Node, searches: list[Search], tolerance: float) -> None:
     """Finds the key (and row hash) at which each node is cut; a round narrows all of them to a cell of a cell."""
     while searches:
-        at = {id(s.node): i for i, s in enumerate(searches)}
-        pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("_node") + 1)
-        lines = F.array(*[F.col(f"_k{i}") for i in range(places)])
-        key = F.element_at(lines, (pick([s.node.line for s in searches]) + 1).cast("int"))
-        whole = pick([s.key is None for s in searches]) == 1
-        value = F.when(whole, key).otherwise(F.col("_r"))
-        rows = keyed.withColumn("_node", root.pick(lambda leaf, at=at: at.get(id(leaf), -1))).where("_node >= 0")
-        rows = rows.where(whole | (key == pick([s.key or 0 for s in searches]))).select("_node", "size", value.alias("_v"))
-        low, high, step = (pick(v) for v in zip(*[(s.low, s.high, s.step()) for s in searches], strict=True))
-        rows = rows.where(F.col("_v").between(low, high)).withColumn("_cell", F.floor((F.col("_v") - low) / step))
-        cells = rows.groupBy("_node", "_cell").agg(F.sum("size").alias("mass"), F.min("_v").alias("least"), F.max("_v").alias("most")).collect()
+        of = {id(s.node): (i, s) for i, s in enumerate(searches)}
+
+        def value(leaf: Node, of=of) -> str:
+            if id(leaf) not in of:
+                return "CAST(NULL AS BIGINT)"
+            s = of[id(leaf)][1]
+            if s.key is None:
+                return f"CASE WHEN _k{leaf.line} BETWEEN {s.low} AND {s.high} THEN _k{leaf.line} END"
+            return f"CASE WHEN _k{leaf.line} = {s.key} AND _r BETWEEN {s.low} AND {s.high} THEN _r END"
+
+        def cell(leaf: Node, of=of) -> str:
+            """A number per node and cell; null outside the node's range. Rounding is monotone, so cells are ranges."""
+            if id(leaf) not in of:
+                return "CAST(NULL AS BIGINT)"
+            i, s = of[id(leaf)]
+            return f"floor(({value(leaf)} - {s.low}) / {s.step()}) + {i * 2 * CELLS}"
+
+        v = F.expr(root.pick(value))
+        cells = keyed.groupBy(F.expr(root.pick(cell)).alias("_cell")).agg(F.sum("size").alias("mass"), F.min(v).alias("least"), F.max(v).alias("most"))
         by: dict[int, list] = {}
-        for x in sorted(cells):
-            by.setdefault(x["_node"], []).append((x["_cell"], x["mass"], x["least"], x["most"]))
+        for x in sorted(cells.where("_cell is not null").collect()):
+            by.setdefault(x["_cell"] // (2 * CELLS), []).append((x["_cell"], x["mass"], x["least"], x["most"]))
         searches = [s for i, s in enumerate(searches) if not s.narrow(by[i], tolerance)]
 
 
@@ -204,7 +212,7 @@ def _placed(keyed: DataFrame, slim: DataFrame, places: int, shards: int) -> tupl
     """keyed plus shard, by a tree grown from slim, and the number of shards in use."""
     heavy = _heavy(slim, shards) if shards > 1 else []
     tree = _grow(slim.where(~F.col("_r").isin(heavy)) if heavy else slim, places, shards - len(heavy))
-    shard = tree.pick(lambda leaf: leaf.first)
+    shard = F.expr(tree.pick(lambda leaf: str(leaf.first)))
     for i, row in enumerate(heavy):
         shard = F.when(F.col("_r") == row, F.lit(shards - 1 - i)).otherwise(shard)
     return keyed.withColumn("shard", shard), sum(1 for _ in tree.leaves()) + len(heavy)
@@ -244,7 +252,7 @@ def _renamed(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str], li
     """docs without the result's columns and with those named like a helper renamed, the way back, and what the used columns are called now."""
     if clash := {"size", "text_crc32", "shard", "slot"} & {c.lower() for c in used}:
         raise ValueError(f"columns of the result cannot be used: {sorted(clash)}")
-    own = ["_h1", "_h2", "_r", "_least", "_most", "_spread", "_node", "_v", "_cell", "_bucket", "_offset", "_n", *[f"{x}{i}" for x in ("_c", "_k") for i in range(len(used))]]
+    own = ["_h1", "_h2", "_r", "_least", "_most", "_spread", "_node", "_cell", "_bucket", "_offset", "_n", *[f"{x}{i}" for x in ("_c", "_k") for i in range(len(used))]]
     docs, there = docs.drop("size", "text_crc32", "shard", "slot"), {}
     for c in docs.columns:
         if c.lower() in own:
