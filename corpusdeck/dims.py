@@ -121,8 +121,8 @@ LAYOUT_TABLE = r"\bvs\.?\b|\bversus\b|\bcomparison\b|\bcompared?\b|\bpros and co
 LAYOUT_METRIC = r"\b[0-9]+(\.[0-9]+)?%|\b[0-9]+\s*(percent|million|billion|k|x)\b"
 
 # ---- Fixed values: density profiles ----
-PROFILE_FIELDS = ("max_bullets", "max_words", "max_chars", "max_rows", "max_steps", "max_cards", "extras")
-PROFILES = {"low": (3, 12, 90, 4, 3, 3, 0), "medium": (5, 20, 140, 6, 4, 4, 1), "heavy": (8, 32, 220, 10, 6, 4, 3)}
+PROFILE_FIELDS = ("max_bullets", "max_words", "max_chars", "max_rows", "max_steps", "max_cards", "extras", "enhanced")
+PROFILES = {"low": (3, 12, 90, 4, 3, 3, 0, False), "medium": (5, 20, 140, 6, 4, 4, 1, True), "heavy": (8, 32, 220, 10, 6, 4, 3, True)}
 DEFAULT_PROFILE = "medium"
 #: Sections stop merging beyond this many characters; chunks are cut to this many words; a document needs this many characters.
 MERGED_CHARS, CHUNK_WORDS, LEAST_CHARS = 1800, 180, 120
@@ -182,3 +182,19 @@ IMAGE_ANGLES = [
 ]
 #: Labels of enhancements on slides, by the column that they come from, in order of preference.
 EXTRAS = [("Example", "examples"), ("Analogy", "analogies"), ("In practice", "real_world_applications"), ("Watch out", "common_mistakes"), ("Recall", "revision_points")]
+
+# ---- Fixed values: text actions of a transformation plan ----
+#: A footer has one of these words and a number; legal lines are short; what ends a sentence.
+FOOTER_WORDS, FOOTER_NUMBER = ["page", "slide", "copyright"], r"\b[0-9]+\b"
+LEGAL_PHRASES = ["confidential", "internal use only", "draft", "all rights reserved"]
+SENTENCE_END = r"(?<=[.!?])\s+"
+TASK_WORDS = ["ensure", "verify", "check", "task", "action"]
+
+# ---- Fixed values: enhancements ----
+#: Slides of a deck that are enhanced at most.
+MOST_ENHANCED = 12
+#: List fields of a context: label, signal, items at most, separator.
+CONTEXT_LISTS = [
+    ("Steps", "step", 6, " → "), ("Formulas", "formula", 3, " | "), ("Key stats", "number", 4, ", "), ("Important facts", "fact", 3, " "),
+    ("Processes", "process", 3, "; "), ("Advantages", "advantage", 3, "; "), ("Disadvantages", "disadvantage", 2, "; "),
+]

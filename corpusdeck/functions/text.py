@@ -233,3 +233,13 @@ def trim_bullet(text: Column, max_words: Column, max_chars: Column) -> Column:
 def clean_label(text: Column, limit: int = 60) -> Column:
     """A bullet for a box: cleaned, without points at its ends, cut at a word beyond limit characters."""
     return truncate_on_word(F.btrim(clean_bullet(text), F.lit(" .;:")), limit)
+
+
+def round_binary(share: Column) -> Column:
+    """A share between 0.25 and 1 to two places, as the binary number it is: 0.885 is a little more than that and becomes 0.89.
+
+    bround and round go by the decimal digits that a double is printed with. Doubles of this range are whole
+    numbers of 2**-54, so the sum is exact in 64 bits.
+    """
+    scale = 1 << 54
+    return ((share * float(scale)).cast("long") * 100 + scale // 2).bitwiseAND(F.lit(-scale)) / scale / 100

@@ -306,7 +306,7 @@ _FORMULA = _dedupe(
     f"list_transform(regexp_extract_all(plain, {_quote(dims.FORMULA_WORD)}, 1), lambda x: substr({_strip('x')}, 1, 150)))",
     8,
 )
-_DEFINED = f"list_filter(body, lambda b: regexp_matches(b, {_quote(dims.COLON_DEFINITION)}))"
+_DEFINED = f"list_filter(list_concat(CASE WHEN title = '' THEN [] ELSE [title] END, body), lambda b: regexp_matches(b, {_quote(dims.COLON_DEFINITION)}))"
 _TERM = _strip("regexp_extract(b, " + _quote(dims.COLON_DEFINITION) + ", 1)")
 # Terms of a unit: the last phrase of each, and colon forms of the others.
 _TERMS = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.rows import exploded, inlined
-from ..functions.text import contains_any, let, strip, words
+from ..functions.text import contains_any, let, round_binary, strip, words
 
 KEYS = ["doc_id", "unit_id"]
 
@@ -26,19 +26,19 @@ def _has(kind: str) -> Column:
 
 def summarise(text: Column) -> Column:
     """The first sentence; beyond 12 words its first 10 and an ellipsis."""
-    first = strip(F.element_at(F.split(text, r"(?<=[.!?])\\s+"), 1))
+    first = strip(F.element_at(F.split(text, dims.SENTENCE_END), 1))
     return let(words(first), lambda w: F.when(F.size(w) > 12, F.concat(F.array_join(F.slice(w, 1, 10), " "), F.lit("..."))).otherwise(first))
 
 
-def _with_actions(intel: DataFrame) -> DataFrame:
+def with_actions(intel: DataFrame) -> DataFrame:
     """intel plus actions: (block, action, remaining, note) per block, by the first rule that holds."""
 
     def rules(b: Column) -> Column:
         def by(low: Column) -> Column:
             text, n = b["text"], b["n_words"]
             boiler = (
-                (contains_any(low, ["page", "slide", "copyright"]) & text.rlike(r"\\b[0-9]+\\b"))
-                | (contains_any(low, ["confidential", "internal use only", "draft", "all rights reserved"]) & (n < 10))
+                (contains_any(low, dims.FOOTER_WORDS) & text.rlike(dims.FOOTER_NUMBER))
+                | (contains_any(low, dims.LEGAL_PHRASES) & (n < 10))
                 | (b["priority"] == "Decorative")
             )
             title = F.lower("title")
@@ -51,7 +51,7 @@ def _with_actions(intel: DataFrame) -> DataFrame:
                 .when((_has("Timeline") | _has("Roadmap")) & _matches(low, F.col("chronology")), "MOVE_TO_VISUAL")
                 .when(_has("KPI Cards") & F.exists("number", lambda x: text.contains(x)), F.when(n > 15, "MOVE_TO_NOTES").otherwise("MOVE_TO_VISUAL"))
                 .when(_has("Comparison Table") & (_matches(low, F.concat("advantage", "disadvantage")) | sides), "MOVE_TO_VISUAL")
-                .when(_has("Checklist") & _matches(low, F.col("step")) & contains_any(low, ["ensure", "verify", "check", "task", "action"]), "MOVE_TO_VISUAL")
+                .when(_has("Checklist") & _matches(low, F.col("step")) & contains_any(low, dims.TASK_WORDS), "MOVE_TO_VISUAL")
                 .when(b["priority"] == "Low", "MOVE_TO_NOTES")
                 .when((b["priority"] == "Medium") & (n > 12), "SUMMARIZE")
                 .otherwise("KEEP")
@@ -76,7 +76,7 @@ def text_actions(intel: DataFrame) -> DataFrame:
     checklist of the unit shows moves to it (long explanations of metrics to the notes); low blocks move to
     the notes, long medium ones are summarised, and the others stay.
     """
-    return inlined(_with_actions(intel), "actions", *KEYS, key="ord")
+    return inlined(with_actions(intel), "actions", *KEYS, key="ord")
 
 
 def summarise_blocks(intel: DataFrame) -> DataFrame:
@@ -84,15 +84,30 @@ def summarise_blocks(intel: DataFrame) -> DataFrame:
     return text_actions(intel).where("remaining is not null").select(*KEYS, "ord", "remaining")
 
 
-def speaker_notes(intel: DataFrame) -> DataFrame:
-    """(doc_id, unit_id, speaker_notes): the unit's own notes, the blocks moved there, and its objective."""
+def remaining_of() -> Column:
+    """What stays on the slide, from the columns of with_actions."""
+    return F.filter(F.transform("actions", lambda a: a["remaining"]), lambda x: x.isNotNull())
+
+
+def notes_of() -> Column:
+    """The speaker notes, from the columns of with_actions: the unit's own, the blocks moved there, and its objective."""
     moved = F.filter(F.transform("actions", lambda a: a["note"]), lambda x: x.isNotNull())
     parts = F.concat(
         F.when(F.col("notes") != "", F.array(F.concat(F.lit("Original notes: "), F.col("notes")))).otherwise(F.array().cast("array<string>")),
         F.when(F.size(moved) > 0, F.concat(F.array(F.lit("Additional slide detail offloaded to notes:")), F.transform(moved, lambda x: F.concat(F.lit("- "), x)))).otherwise(F.array().cast("array<string>")),
         F.array(F.concat(F.lit("Focus learning objective: "), F.coalesce(F.get("objective", F.lit(0)), F.lit("")))),
     )
-    return _with_actions(intel).select(*KEYS, F.array_join(parts, "\n").alias("speaker_notes"))
+    return F.array_join(parts, "\n")
+
+
+def speaker_notes(intel: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, speaker_notes), see notes_of."""
+    return with_actions(intel).select(*KEYS, notes_of().alias("speaker_notes"))
+
+
+def plan_texts(intel: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, remaining, speaker_notes): the texts of each unit's plan."""
+    return with_actions(intel).select(*KEYS, remaining_of().alias("remaining"), notes_of().alias("speaker_notes"))
 
 
 def _built(visuals: str = "visuals", most: int = 5) -> Column:
@@ -112,7 +127,7 @@ def compression_stats(intel: DataFrame) -> DataFrame:
     """
     from .specs import flow_labels, icon_concepts, kpi_pairs, table_of, timeline_titles
 
-    planned = _with_actions(intel).withColumn("_built", _built())
+    planned = with_actions(intel).withColumn("_built", _built())
     first = F.get("_built", F.lit(0))["kind"]
     table = table_of()
     spec = (
@@ -135,7 +150,7 @@ def compression_stats(intel: DataFrame) -> DataFrame:
 def confidence_of() -> Column:
     """A plan's confidence: 0.75, more with a strong opportunity, less for units below ten words."""
     best = F.coalesce(F.array_max(F.transform("visuals", lambda v: v["confidence"])), F.lit(0.0))
-    return F.bround(F.least(F.greatest(F.lit(0.4), 0.75 + best * 0.15 - F.when(F.col("n_words") < 10, 0.1).otherwise(0.0)), F.lit(0.98)), 2)
+    return round_binary(F.least(F.greatest(F.lit(0.4), 0.75 + best * 0.15 - F.when(F.col("n_words") < 10, 0.1).otherwise(0.0)), F.lit(0.98)))
 
 
 def plan_confidence(intel: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from .operators import assets as A
 from .operators import chunks as C
 from .operators import classify as K
 from .operators import decks as D
+from .operators import enhance as E
 from .operators import sections as S
 from .operators import signals as G
 from .plans import specs as V
@@ -73,6 +74,27 @@ def _slides(spark, d):
     return K.structure_slides(_turns(spark, d).withColumnRenamed("unit_id", "chunk_id"))
 
 
+def _lessons(spark, d) -> DataFrame:
+    """Turns as lessons: their text, then steps, a comparison, a cause, a definition, two sentences in one line, a figure and a footer of their own words."""
+    turns = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("unit_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    w = X.words(F.col("text"))
+    part = lambda begin, n: F.array_join(F.slice(w, begin, n), " ")
+    first, turn = F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.col("unit_id")
+    title = F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, F.lit(2), F.length(first)), F.lit(" "), part(2, 1), F.lit(": "), F.col("role"))
+    lines = [
+        F.col("text"), F.concat(F.lit("Step 1: check "), part(1, 3)), F.concat(F.lit("Step 2: "), part(4, 3)), F.concat(F.lit("Step 3: verify "), part(7, 3)),
+        F.concat(part(1, 4), F.lit(" unlike "), part(5, 4), F.lit(".")), F.concat(part(2, 4), F.lit(" because "), part(6, 4), F.lit(".")),
+        F.concat(F.lit("Lesson "), F.col("role"), F.lit(": "), part(3, 8), F.lit(".")), F.concat(part(1, 9), F.lit(". Second sentence of "), part(10, 9), F.lit(".")),
+        F.concat(F.lit("In "), (1990 + turn).cast("string"), F.lit(" it grew by "), turn.cast("string"), F.lit("% with "), part(1, 12), F.lit(".")),
+        F.concat(F.lit("Slide "), (turn + 1).cast("string"), F.lit(" of "), F.col("doc_id").cast("string")),
+    ]
+    return turns.select("doc_id", "unit_id", title.alias("title"), F.array_join(F.array(*lines), "\n").alias("text"))
+
+
+def _lesson_records(spark, d) -> DataFrame:
+    return K.unit_intelligence(_lessons(spark, d))
+
+
 # -- sources and structure --
 
 
@@ -484,6 +506,37 @@ def g7_visual_actions(spark, d):
     return T.visual_actions(_records(spark, d)).select("doc_id", "unit_id", "rank", "kind", "action", F.size("block_ids").alias("n_blocks"))
 
 
+@query
+def f5_lesson_priorities(spark, d):
+    return K.prioritise_blocks(_lessons(spark, d)).select("doc_id", "unit_id", "ord", "priority")
+
+
+@query
+def f6_lesson_opportunities(spark, d):
+    return K.visual_opportunities(_lessons(spark, d))
+
+
+@query
+def g1_lesson_actions(spark, d):
+    """Actions on lessons, whose lines have footers, steps, comparisons and pairs of sentences."""
+    return T.text_actions(_lesson_records(spark, d)).select("doc_id", "unit_id", "ord", "priority", "action")
+
+
+@query
+def g2_lesson_summaries(spark, d):
+    return T.summarise_blocks(_lesson_records(spark, d))
+
+
+@query
+def g3_lesson_notes(spark, d):
+    return T.speaker_notes(_lesson_records(spark, d)).select("doc_id", "unit_id", F.md5("speaker_notes").alias("digest"), F.length("speaker_notes").alias("n_chars"))
+
+
+@query
+def g5_lesson_confidence(spark, d):
+    return T.plan_confidence(_lesson_records(spark, d))
+
+
 @query
 def h1_select_visuals(spark, d):
     return V.select_visuals(_alone(spark, d)).drop("unit_id")
@@ -617,6 +670,47 @@ def p10_apply_density(spark, d):
     return D.apply_density(_slides(spark, d), "medium").select("doc_id", "slide_ix", "page", "layout_type", "title", F.size("bullets").alias("n_bullets"), "continued")
 
 
+def _source_slides(spark, d) -> DataFrame:
+    """Documents as slides of a deck per source; those with a question are quizzes."""
+    quiz = F.when(F.col("text").contains("?"), "QUIZ").otherwise("MINIMAL_TEXT")
+    return _documents(spark, d).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("slide_ix"), quiz.alias("layout_type"), F.col("lang").alias("title"), F.array().cast("array<string>").alias("bullets"), "text")
+
+
+def _source_decks(spark, d) -> DataFrame:
+    """A density per source, by its name's last character."""
+    last = F.substring("source", -1, 1)
+    density = F.when(last.isin("1", "4", "7"), "low").when(last.isin("2", "5"), "heavy").when(last == "3", "LOW")
+    return _documents(spark, d).select(F.col("source").alias("doc_id"), density.alias("density")).distinct()
+
+
+def _answers(spark, d) -> DataFrame:
+    """Sentences of every second turn as a model's answers to it."""
+    s = F.col("s")
+    rows = _turns(spark, d).where("unit_id % 2 = 0").select("doc_id", "unit_id", "title", X.sentences(F.col("text")).alias("s"))
+    return rows.select(
+        "doc_id", "unit_id", F.get(s, F.lit(0)).alias("improved_explanation"), F.get(s, F.lit(3)).alias("simplified_explanation"), F.filter(s, lambda x: x.endswith("?")).alias("revision_points"),
+        F.slice(s, 2, 1).alias("examples"), F.slice(s, 6, 1).alias("analogies"), F.slice(s, 4, 2).alias("interview_questions"), F.col("title").alias("mnemonic"), F.slice(s, 9, 1).alias("learning_tips"),
+    )
+
+
+@query
+def p11_enhancement_eligible(spark, d):
+    out = E.enhancement_eligible(_source_slides(spark, d), _source_decks(spark, d))
+    return out.select("doc_id", "slide_ix", "rank", F.md5("text").alias("digest"))
+
+
+@query
+def p13_enhancement_confidence(spark, d):
+    return E.enhancement_confidence(_lesson_records(spark, d), _answers(spark, d))
+
+
+@query
+def p12_enhancement_context(spark, d):
+    """What a model would be told of each lesson: signals, intents, what its plan leaves on the slide, and the notes."""
+    out = E.enhancement_context(_lesson_records(spark, d))
+    return out.select("doc_id", "unit_id", F.md5("context").alias("digest"), "n_fields")
+
+
 @query
 def p14_quiz_batches(spark, d):
     return D.quiz_batches(_slides(spark, d)).select("doc_id", "batch", "n_slides", F.length("content").alias("n_chars"))
