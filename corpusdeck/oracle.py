@@ -83,6 +83,10 @@ ORACLE["a8_list_decks"] = """
 SELECT source AS user_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, CAST(doc_id AS VARCHAR) DESC) AS INTEGER) AS rank,
   CAST(doc_id AS VARCHAR) AS deck_id, lang AS title FROM documents
 """
+ORACLE["a7_a9_deck_store"] = """
+WITH left_over AS (SELECT source AS user_id, doc_id, CASE WHEN doc_id % 9 = 0 THEN lang || ' again' ELSE lang END AS title FROM documents WHERE source IS NOT NULL AND (doc_id % 3 <> 0 OR doc_id % 9 = 0) AND doc_id % 5 <> 0)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY doc_id DESC) AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS deck_id, title FROM left_over
+"""
 ORACLE["b1_explode_lines"] = f"SELECT doc_id, CAST(ord AS INTEGER) AS line_no, CAST(length(x) AS INTEGER) AS n_chars FROM ({_exploded(f'(SELECT doc_id, {_lines("coalesce(text, {})".format(_quote("")))} AS ls FROM documents)', 'ls')})"
 ORACLE["b9_chunk_words"] = f"""
 WITH {UNITS}, w AS (SELECT doc_id, text, {_words('text')} AS ws FROM units),

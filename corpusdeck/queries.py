@@ -18,6 +18,7 @@ from .plans import specs as V
 from .plans import transform as T
 from .plans import visuals as P
 from .sources import corpus as R
+from .sources import shared as H
 from .sources import sinks as W
 from .functions import text as X
 from .functions.rows import exploded
@@ -135,6 +136,19 @@ def a10_deck_payload(spark, d):
     return W.deck_payload(_slides(spark, d)).select("doc_id", "slide_ix", F.get_json_object("payload", "$.layout_type").alias("layout_type"), F.get_json_object("payload", "$.title").alias("title"))
 
 
+@query
+def a7_a9_deck_store(spark, d):
+    """Decks saved, every third deleted, the store compacted, every ninth saved again under another title, every fifth then deleted: what is left."""
+    path, decks = H.new_path(spark, "decks"), _decks(spark, d)
+    number = F.col("deck_id").cast("long")
+    W.save_decks(decks, path, version=1)
+    W.delete_decks(decks.where(number % 3 == 0), path, version=2)
+    W.compact(spark, path)
+    W.save_decks(decks.where(number % 9 == 0).withColumn("title", F.concat("title", F.lit(" again"))), path, version=3)
+    W.delete_decks(decks.where(number % 5 == 0), path, version=4)
+    return W.list_decks(W.live_decks(spark, path)).select("user_id", "rank", "deck_id", "title")
+
+
 def _decks(spark, d):
     """Documents as stored decks: a user per source, newer ids later."""
     return _documents(spark, d).select(F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("deck_id"), F.col("lang").alias("title"), F.timestamp_seconds(F.col("doc_id")).alias("created_at"))

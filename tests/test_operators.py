@@ -145,17 +145,6 @@ def test_retrieval_fills_up(spark):
     assert got == {1: [(1, 0, 2), (2, 0, 2), (1, 1, 1)], 2: [(1, 0, 0), (1, 1, 0), (2, 0, 0)], 3: [(1, 0, 0), (1, 1, 0), (2, 0, 0)]}
 
 
-def test_stored_decks(spark, tmp_path):
-    path = str(tmp_path / "decks")
-    decks = spark.createDataFrame([("u1", "d1", "old", 1), ("u1", "d2", "new", 2), ("u2", "d3", "other", 3), ("../x", "d4", "bad", 4), ("u1", "a/b", "bad", 5)], "user_id string, deck_id string, title string, created_at int")
-    W.save_decks(decks, path)
-    stored = spark.read.parquet(path)
-    assert [r.title for r in W.list_decks(stored, "u1").orderBy("rank").collect()] == ["new", "old"] and stored.count() == 3
-    assert W.get_deck(stored, "u2", "d1").count() == 0 and W.list_decks(stored, "nobody").count() == 0
-    assert W.delete_deck(spark, path, "u1", "d1") and not W.delete_deck(spark, path, "u1", "d1")
-    assert sorted(r.deck_id for r in spark.read.parquet(path).collect()) == ["d2", "d3"]
-
-
 def test_replies(spark):
     rows = [(1, 0, '{"layout_type": "table", "correct": "b) x"}'), (2, 0, '```json\n{"layout_type": "nope"}\n```'), (3, 0, 'Here: {"layout_type": "METRIC"} ok'), (4, 0, "{broken")]
     got = [(r.layout_type, r.answer) for r in W.parse_replies(spark.createDataFrame(rows, "doc_id long, unit_id int, raw string")).orderBy("doc_id").collect()]
