@@ -74,3 +74,43 @@ def attach_descriptions(chunks: DataFrame, descriptions: DataFrame) -> DataFrame
 def needs_ocr_pages(pages: DataFrame, least_words: int = 30) -> DataFrame:
     """Pages (doc_id, page, n_words, n_assets, n_image_blocks) with hardly any words, or images that no asset covers."""
     return pages.where(((F.col("n_assets") == 0) & (F.col("n_image_blocks") > 0)) | (F.col("n_words") < least_words))
+
+
+def primary_image(assets: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """(doc_id, unit_id, n_images, formats, place, format, content): of each unit the first asset that has bytes, else its rendered page.
+
+    assets (doc_id, unit_id, ord, format, content) are all kept as formats in order; n_images counts them, and
+    the rendered page (doc_id, unit_id, format, content) where it stands in. place is the asset's ord, -1 for a
+    rendered page. Units come from both tables; one without any bytes has a null place, format and content.
+
+    Which asset it is is decided on keys and lengths alone. Bytes are fetched afterwards, of the winners only;
+    where the winners' keys are few enough to be broadcast, nobody else's bytes leave their task.
+    Null and empty contents are no bytes. Of equal keys the row with more bytes counts, then the larger
+    format, then the larger content. Null keys are keys.
+    """
+    keys = ["doc_id", "unit_id"]
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    fit = F.when(size > 0, F.struct(F.col("ord"), (-size).alias("less"), F.coalesce("format", F.lit("")).alias("format")))
+    listed = assets.groupBy(*keys).agg(F.min(fit).alias("first"), F.sort_array(F.collect_list(F.struct("ord", "format"))).alias("all"))
+    per = listed.select(*keys, F.col("first.ord").alias("place"), (-F.col("first.less")).alias("_size"), F.col("all.format").alias("formats"))
+    won = per.where("place is not null").select(*[F.col(c).alias(f"_{c}") for c in keys], "place", "_size")
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("ord") == F.col("place"), size == F.col("_size")]
+    best = F.max(F.struct(F.coalesce("format", F.lit("")).alias("_known"), "format", "content"))
+    fetched = assets.where(size > 0).join(won, match).groupBy(*[f"_{c}" for c in keys]).agg(best.alias("best"))
+    out = per.join(fetched, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left").select(*keys, "formats", "place", F.col("best.format").alias("format"), F.col("best.content").alias("content"))
+    if rendered is None:
+        return out.select(*keys, F.size("formats").alias("n_images"), "formats", "place", "format", "content")
+    pages = rendered.where(size > 0).groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(best.alias("page"))
+    both = out.join(pages, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "full")
+    stands_in = F.col("place").isNull() & F.col("page").isNotNull()
+    known = F.coalesce("formats", F.array().cast("array<string>"))
+    unit = [F.when(F.col("formats").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in keys]
+    all_of = F.when(stands_in, F.concat(known, F.array("page.format"))).otherwise(known)
+    return both.select(
+        *unit,
+        F.size(all_of).alias("n_images"),
+        all_of.alias("formats"),
+        F.when(stands_in, -1).otherwise(F.col("place")).alias("place"),
+        F.when(stands_in, F.col("page.format")).otherwise(F.col("format")).alias("format"),
+        F.when(stands_in, F.col("page.content")).otherwise(F.col("content")).alias("content"),
+    )

@@ -79,6 +79,7 @@ b AS (SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(markdown, '(
 SELECT doc_id, body_chars, body_chars >= 120 AS accepted FROM b
 """
 ORACLE["a5_new_documents"] = "SELECT min(doc_id) AS doc_id, substr(sha256(coalesce(text, '')), 1, 32) AS content_key FROM documents GROUP BY 2"
+ORACLE["a5_ingest_stream"] = ORACLE["a5_new_documents"]
 ORACLE["a8_list_decks"] = """
 SELECT source AS user_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, CAST(doc_id AS VARCHAR) DESC) AS INTEGER) AS rank,
   CAST(doc_id AS VARCHAR) AS deck_id, lang AS title FROM documents
@@ -110,6 +111,15 @@ SELECT doc_id, CAST(len(cs) AS INTEGER) AS n_rows, CAST(list_max(list_transform(
   CAST(len(list_filter(flatten(cs), lambda v: v <> '')) AS BIGINT) AS n_filled FROM c
 """
 ORACLE["c1_dedupe_assets"] = "SELECT source AS doc_id, min(doc_id) AS ord, sha256(coalesce(text, '')) AS sha256 FROM documents GROUP BY source, sha256(coalesce(text, ''))"
+ORACLE["c7_primary_image"] = """
+WITH a AS (SELECT source AS doc_id, doc_id % 60 AS unit_id, doc_id AS ord, lang AS format, CASE WHEN doc_id % 3 <> 0 THEN coalesce(text, '') END AS content FROM documents),
+p AS (SELECT doc_id, unit_id, list(format ORDER BY ord) AS formats, min(ord) FILTER (content <> '') AS place, arg_min(format, ord) FILTER (content <> '') AS format, arg_min(content, ord) FILTER (content <> '') AS content FROM a GROUP BY ALL),
+r AS (SELECT 'src' || (page_id % 20) AS doc_id, page_id % 90 AS unit_id, max(html) AS content FROM (SELECT page_id, html, octet_length(encode(html)) AS n FROM pages) GROUP BY ALL),
+b AS (SELECT coalesce(p.doc_id, r.doc_id) AS doc_id, coalesce(p.unit_id, r.unit_id) AS unit_id, coalesce(formats, []) AS fs, place, format, p.content AS content, r.content AS page, place IS NULL AND r.content IS NOT NULL AS stands
+  FROM p FULL JOIN r ON p.doc_id IS NOT DISTINCT FROM r.doc_id AND p.unit_id = r.unit_id)
+SELECT doc_id, unit_id, CAST(len(fs) + CAST(stands AS INTEGER) AS INTEGER) AS n_images, array_to_string(CASE WHEN stands THEN list_append(fs, 'html') ELSE fs END, ',') AS formats,
+  CASE WHEN stands THEN -1 ELSE place END AS place, CASE WHEN stands THEN 'html' ELSE format END AS format, sha256(CASE WHEN stands THEN page ELSE content END) AS sha256 FROM b
+"""
 ORACLE["d4_sentences"] = f"WITH {UNITS}, {TEXTS} SELECT doc_id, CAST(ord AS INTEGER) AS ord, md5(x) AS digest FROM ({_exploded('sents', 'ss')})"
 ORACLE["e1_main_topics"] = f"""
 WITH units AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS unit_id, CASE WHEN turn % 2 = 0 THEN '' ELSE coalesce(role, '') END AS title, coalesce(text, '') AS text FROM conversations), {TEXTS}
@@ -208,6 +218,15 @@ ORACLE["r3_join_vectors"] = "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS
 ORACLE["s5_stage_metrics"] = "SELECT event_type AS stage, count(*) AS n, round(avg(value), 4) AS mean_seconds, max(value) AS max_seconds FROM events GROUP BY 1"
 ORACLE["s6_latest_status"] = "SELECT user_id AS run, event_type AS stage, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 
+ORACLE["s6_run_status"] = """
+WITH e AS (SELECT user_id AS run, CASE WHEN user_id % 7 <> 0 THEN 'team' || (user_id % 5) ELSE 'anonymous' END AS owner, event_type AS stage, ts, event_id, value FROM events),
+k AS (SELECT stage, row_number() OVER (ORDER BY stage) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT stage FROM e)),
+a AS (SELECT run, count(*) AS n_events, round(sum(value), 3) AS seconds, round(max(place) / max(n)::DOUBLE, 6) AS progress FROM e JOIN k USING (stage) GROUP BY run),
+l AS (SELECT run, owner, stage, event_id FROM e QUALIFY row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC, stage DESC) = 1)
+SELECT run, owner, stage, event_id, n_events, seconds, progress FROM l JOIN a USING (run) WHERE owner <> 'team3'
+"""
+ORACLE["s6_live_status"] = ORACLE["s6_run_status"]
+
 # Sections of conversations: a turn's lines under its role's heading.
 _HEAD = "regexp_extract(t, '^(#{{1,6}})[ \\t]+(.*)$', {0})"
 _JUNK_WORDS = f"list_filter(list_transform({_words('h')}, lambda w: lower(trim(w, ':;,.'))), lambda w: w <> '')"

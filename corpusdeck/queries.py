@@ -23,6 +23,7 @@ from .sources import sinks as W
 from .functions import text as X
 from .functions.rows import exploded
 from .streaming import ingest as I
+from .streaming import status as N
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,6 +121,15 @@ def a5_new_documents(spark, d):
     return I.first_by_content(_documents(spark, d)).select("doc_id", "content_key")
 
 
+@query
+def a5_ingest_stream(spark, d):
+    """The same as a stream into an empty corpus (a pattern as the path serves files and folders alike): contents are keyed state, and what the sink has committed is read back."""
+    at = H.new_path(spark, "ingest")
+    schema = _documents(spark, d).select("doc_id", "text").schema
+    I.ingest_stream(spark, f"{d}/documents.parque[t]", schema, f"{at}/corpus", f"{at}/log").awaitTermination()
+    return spark.read.parquet(f"{at}/corpus").select("doc_id", "content_key")
+
+
 @query
 def a6_drop_placeholder_lines(spark, d):
     docs = _documents(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("markdown"))
@@ -246,6 +256,18 @@ def c3_anchor_assets(spark, d):
     return A.anchor_assets(sections, assets).select("doc_id", "asset_ix", "section_id", "tier")
 
 
+@query
+def c7_primary_image(spark, d):
+    """Texts as assets of units by source and id, every third without bytes; pages as rendered units, most of them of units without assets."""
+    n = F.col("doc_id")
+    content = F.when(n % 3 != 0, F.coalesce("text", F.lit("")).cast("binary"))
+    assets = _documents(spark, d).select(F.col("source").alias("doc_id"), (n % 60).alias("unit_id"), n.alias("ord"), F.col("lang").alias("format"), content.alias("content"))
+    page = F.col("page_id")
+    rendered = _table(spark, d, "pages").select(F.concat(F.lit("src"), (page % 20).cast("string")).alias("doc_id"), (page % 90).alias("unit_id"), F.lit("html").alias("format"), F.col("html").cast("binary").alias("content"))
+    out = A.primary_image(assets, rendered)
+    return out.select("doc_id", "unit_id", "n_images", F.array_join("formats", ",").alias("formats"), "place", "format", F.sha2("content", 256).alias("sha256"))
+
+
 # -- text and signals --
 
 
@@ -780,3 +802,33 @@ def s5_stage_metrics(spark, d):
 @query
 def s6_latest_status(spark, d):
     return D.latest_status(_events(spark, d)).select("run", "stage", "event_id")
+
+
+def _job_events(spark, d) -> DataFrame:
+    """Events as those of jobs, a job per user; every seventh names no owner."""
+    owner = F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("team"), (F.col("user_id") % 5).cast("string")))
+    return _table(spark, d, "events").select(F.col("user_id").alias("run"), owner.alias("owner"), F.col("event_type").alias("stage"), "ts", "event_id", F.col("value").alias("seconds"))
+
+
+def _stages(spark, d) -> list[str]:
+    """The stages of the events, in order of name: as many as there are kinds of events."""
+    return [x[0] for x in _table(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
+
+
+@query
+def s6_run_status(spark, d):
+    """Status and progress of jobs, those of one owner left out."""
+    out = N.run_status(_job_events(spark, d), _stages(spark, d)).where("owner <> 'team3'")
+    return out.select("run", "owner", "stage", "event_id", "n_events", F.round("seconds", 3).alias("seconds"), F.round("progress", 6).alias("progress"))
+
+
+@query
+def s6_live_status(spark, d):
+    """The same from a stream of the events: each batch's updates, of which the last of a run is its status."""
+    at, events = H.new_path(spark, "status"), _table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
+    owner = F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("team"), (F.col("user_id") % 5).cast("string")))
+    jobs = stream.select(F.col("user_id").alias("run"), owner.alias("owner"), F.col("event_type").alias("stage"), "ts", "event_id", F.col("value").alias("seconds"))
+    N.write_status(N.live_status(jobs, _stages(spark, d)), f"{at}/updates", f"{at}/log").awaitTermination()
+    out = N.latest(spark.read.parquet(f"{at}/updates")).where("owner <> 'team3'")
+    return out.select("run", "owner", "stage", "event_id", "n_events", F.round("seconds", 3).alias("seconds"), F.round("progress", 6).alias("progress"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+#: Keeps state on local disk with checkpoints in the shared folder, so that it may outgrow memory.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def content_key(text_col: str = "text", mode: str = "") -> F.Column:
@@ -25,22 +33,43 @@ def new_contents(docs: DataFrame, manifest: DataFrame, id_col: str = "doc_id", t
     return first_by_content(docs, id_col, text_col).join(manifest.select("content_key"), "content_key", "left_anti")
 
 
-def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> StreamingQuery:
-    """Takes all files of source that were not taken before, and appends contents that target lacks.
+def unseen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs of a stream plus content_key: the row with the smallest id of each content that no earlier batch had.
 
-    Each micro-batch is the batch job, so a restarted stream gives the same corpus.
+    Seen contents are keyed state, one small row each: a batch looks up its own keys and nothing else, so its
+    work does not grow with the corpus. Equal contents of one batch meet at their key, of which the smallest
+    id goes on (null ids last); a restart finds the state of the last batch that was finished, so a batch that
+    is run again gives what it gave before. A null text is an empty one.
     """
+    keyed = docs.withColumn("content_key", content_key(text_col))
+    names = keyed.columns
+
+    def first(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in rows:
+            if state.exists or part.empty:
+                continue
+            part = part.sort_values(id_col, kind="stable", na_position="last").head(1)
+            best = part if best is None else pd.concat((best, part)).sort_values(id_col, kind="stable", na_position="last").head(1)
+        if best is not None:
+            state.update((True,))
+            yield best[names]
 
-    def take(batch: DataFrame, _: int) -> None:
-        try:
-            manifest = spark.read.parquet(target).select("content_key")
-        except Exception as missing:  # noqa: BLE001  the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            manifest = spark.createDataFrame([], "content_key string")
-        new_contents(batch, manifest).write.mode("append").parquet(target)
+    out: StructType = keyed.schema
+    return keyed.groupBy("content_key").applyInPandasWithState(first, out, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, files_per_batch: int | None = None, provider: str = ROCKS) -> StreamingQuery:
+    """Takes all files of source that were not taken before, in batches of files_per_batch, and appends unseen contents to target.
+
+    The file sink commits a batch as a whole, so replayed batches add nothing. provider is set as the session's
+    state store; a checkpoint goes on with the one it began with.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return unseen(reader.parquet(source)).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def windowed_stage_counts(events: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:

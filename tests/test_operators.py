@@ -167,16 +167,6 @@ def test_placeholder_lines_and_gate(spark):
     assert {r.doc_id: r.accepted for r in R.extraction_gate(docs).collect()} == {1: False, 2: False, 3: True}
 
 
-def test_ingest_stream_takes_contents_once(spark, tmp_path):
-    source, target, log = (str(tmp_path / x) for x in ("in", "out", "log"))
-    schema = "doc_id long, text string"
-    for batch in ([(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c"), (6, None)], []):
-        spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
-        I.ingest_stream(spark, source, schema, target, log).awaitTermination()
-        assert spark.read.parquet(target).groupBy("content_key").count().where("count > 1").count() == 0
-    assert sorted(r.doc_id for r in spark.read.parquet(target).collect()) == [1, 2, 5, 6]
-
-
 def test_windowed_counts(spark, tmp_path):
     rows = [("a", "2024-01-01 00:01:00", 1.0), ("a", "2024-01-01 00:09:00", 2.0), ("b", "2024-01-01 00:11:00", 3.0)]
     events = spark.createDataFrame(rows, "stage string, ts string, seconds double").withColumn("ts", F.to_timestamp("ts"))
