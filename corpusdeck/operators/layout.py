@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import inlined
+from ..functions.running import carried, summed
+from ..functions.text import let, words
+
 #: A block wider than this share of its page spans columns (fixed value).
 SPANNING = 0.62
 
@@ -66,18 +70,50 @@ def flag_blocks(blocks: DataFrame) -> DataFrame:
     return out.withColumns({"heading_level": F.when(F.col("is_heading"), F.when(size >= 16, 2).otherwise(3)).otherwise(0), "bullet_level": F.when(bullet, 1).otherwise(0)})
 
 
-def chapter_regroup(pages: DataFrame, words_per_part: int = 150) -> DataFrame:
-    """(doc_id, chapter, part, title, text) of pages (doc_id, page, heading, text).
+#: The chapter of pages before the first heading, the text of a chapter without words, and what opens a chapter (fixed values).
+FIRST_CHAPTER, NO_WORDS = "Introduction", "(Visual Content)"
+CHAPTER = r"(?i)^\s*((chapter|unit|module|lesson|part)\s+[0-9ivxlc]+\b|[0-9]+\.\s+\S)"
+
+
+def chapter_regroup(pages: DataFrame, words_per_part: int = 150, images: DataFrame | None = None, block_pages: int = 4096) -> DataFrame:
+    """(doc_id, chapter, part, title, text, image) of pages (doc_id, page, heading, text).
 
     A heading 'Chapter n', 'Unit n' or 'n. Title' opens a chapter, carried forward from 'Introduction'; all
-    pages of a chapter name go together and are cut every words_per_part words.
+    pages of a chapter name go together, in order of page, and are cut every words_per_part words. A chapter
+    without words is one part with a placeholder. images (doc_id, page, ord, image) go to the parts of their
+    page's chapter, the i-th to the i-th; further ones are left out.
+
+    No task sees a whole document: headings are carried and words counted in blocks of block_pages page
+    numbers, whose ends meet in a small table, and a part is put together from the pieces that fall into it.
+    Rows with a null page number are left out; a null text has no words; pages that repeat a number follow each
+    other by text. A null doc_id is one document. An empty table gives an empty table.
     """
-    mark = F.when(F.coalesce("heading", F.lit("")).rlike(r"(?i)^\s*((chapter|unit|module|lesson|part)\s+[0-9ivxlc]+\b|[0-9]+\.\s+\S)"), F.trim("heading"))
-    carried = F.last(mark, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    named = pages.withColumn("chapter", F.coalesce(carried, F.lit("Introduction")))
-    merged = named.groupBy("doc_id", "chapter").agg(F.min("page").alias("first"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("parts"))
-    w = F.filter(F.split(F.array_join(F.transform("parts", lambda p: p["text"]), " "), r"\s+"), lambda x: x != "")
-    rows = merged.withColumn("_w", w).where(F.size("_w") > 0)
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_w") / words_per_part).cast("int") - 1), lambda i: F.array_join(F.slice(F.col("_w"), i * words_per_part + 1, F.lit(words_per_part)), " "))
-    out = rows.select("doc_id", "chapter", F.posexplode(pieces).alias("p", "text"))
-    return out.select("doc_id", "chapter", (F.col("p") + 1).alias("part"), F.concat("chapter", F.lit(" — Part "), (F.col("p") + 1).cast("string")).alias("title"), "text")
+    known = pages.where(F.col("page").isNotNull())
+    mark = F.when(F.coalesce("heading", F.lit("")).rlike(CHAPTER), F.trim("heading"))
+    named = carried(known.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"), mark.alias("_mark")), "_mark", "chapter", ["doc_id"], "page", block_pages)
+    named = named.withColumn("chapter", F.coalesce("chapter", F.lit(FIRST_CHAPTER))).withColumn("_n", F.size(words(F.col("text"))))
+    placed = summed(named, "_n", "_start", ["doc_id", "chapter"], "page", block_pages)
+    per = F.lit(words_per_part)
+
+    def piece(w: Column, part: Column) -> Column:
+        low = F.greatest(F.lit(0), part * per - F.col("_start"))
+        high = F.least(F.col("_n"), (part + 1) * per - F.col("_start"))
+        return F.struct(part.alias("part"), F.col("_start").alias("start"), F.array_join(F.slice(w, (low + 1).cast("int"), (high - low).cast("int")), " ").alias("text"))
+
+    inside = F.sequence(F.floor(F.col("_start") / per), F.floor((F.col("_start") + F.col("_n") - 1) / per))
+    pieces = let(words(F.col("text")), lambda w: F.transform(inside, lambda p: piece(w, p)))
+    cut = inlined(placed.where("_n > 0"), pieces, "doc_id", "chapter", key="part")
+    parts = cut.groupBy("doc_id", "chapter", "part").agg(F.sort_array(F.collect_list(F.struct("start", "text"))).alias("all"))
+    parts = parts.select("doc_id", "chapter", "part", F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"))
+    empty = named.groupBy("doc_id", "chapter").agg(F.max("_n").alias("most")).where("most = 0").select("doc_id", "chapter", F.lit(0).cast("long").alias("part"), F.lit(NO_WORDS).alias("text"))
+    out = parts.unionByName(empty)
+    if images is None:
+        out = out.withColumn("image", F.lit(None).cast("string"))
+    else:
+        chapters = named.groupBy("doc_id", "page").agg(F.min("chapter").alias("chapter"))
+        shown = images.select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), "ord", "image").join(chapters, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_page") == F.col("page")))
+        order = Window.partitionBy("doc_id", "chapter").orderBy("page", "ord", "image")
+        shown = shown.select(F.col("doc_id").alias("_doc"), F.col("chapter").alias("_chapter"), (F.row_number().over(order) - 1).alias("_part"), "image")
+        out = out.join(shown, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("chapter") == F.col("_chapter")) & (F.col("part") == F.col("_part")), "left")
+    number = (F.col("part") + 1).cast("int")
+    return out.select("doc_id", "chapter", number.alias("part"), F.concat("chapter", F.lit(" — Part "), number.cast("string")).alias("title"), "text", "image")

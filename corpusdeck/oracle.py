@@ -110,6 +110,14 @@ c AS (SELECT doc_id, list_transform(rs, lambda l: list_transform(string_split(tr
 SELECT doc_id, CAST(len(cs) AS INTEGER) AS n_rows, CAST(list_max(list_transform(cs, lambda r: len(r))) AS INTEGER) AS n_cols,
   CAST(len(list_filter(flatten(cs), lambda v: v <> '')) AS BIGINT) AS n_filled FROM c
 """
+ORACLE["b12_chapter_regroup"] = f"""
+WITH ls AS (SELECT doc_id, {_lines("coalesce(text, '')")} AS ls FROM documents), l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS page, unnest(ls) AS line FROM ls),
+h AS (SELECT *, CASE WHEN page % 17 = 16 THEN 'Chapter ' || ((page // 17) % 3 + 1) END AS own FROM l),
+n AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Introduction') AS chapter FROM h),
+c AS (SELECT doc_id, chapter, {_words("string_agg(line, ' ' ORDER BY page)")} AS ws FROM n GROUP BY ALL),
+p AS (SELECT doc_id, chapter, ws, unnest(range(CAST(greatest(1, ceil(len(ws) / 150.0)) AS BIGINT))) AS i FROM c)
+SELECT doc_id, chapter, CAST(i + 1 AS INTEGER) AS part, chapter || ' — Part ' || (i + 1) AS title, md5(CASE WHEN len(ws) = 0 THEN '(Visual Content)' ELSE array_to_string(ws[150 * i + 1:150 * i + 150], ' ') END) AS digest FROM p
+"""
 ORACLE["c1_dedupe_assets"] = "SELECT source AS doc_id, min(doc_id) AS ord, sha256(coalesce(text, '')) AS sha256 FROM documents GROUP BY source, sha256(coalesce(text, ''))"
 ORACLE["c7_primary_image"] = """
 WITH a AS (SELECT source AS doc_id, doc_id % 60 AS unit_id, doc_id AS ord, lang AS format, CASE WHEN doc_id % 3 <> 0 THEN coalesce(text, '') END AS content FROM documents),

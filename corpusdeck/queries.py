@@ -12,6 +12,7 @@ from .operators import chunks as C
 from .operators import classify as K
 from .operators import decks as D
 from .operators import enhance as E
+from .operators import layout as L
 from .operators import sections as S
 from .operators import signals as G
 from .plans import specs as V
@@ -221,6 +222,16 @@ def b11_merge_chunks(spark, d):
     return C.merge_chunks_by_section(_chunks(spark, d)).select("doc_id", "chunk_id", "title", F.length("text").alias("n_chars"))
 
 
+@query
+def b12_chapter_regroup(spark, d):
+    """Lines of documents as pages; every 17th opens one of three chapters of its document, so a chapter's pages lie apart."""
+    lines = S.explode_lines(_documents(spark, d).select("doc_id", F.col("text").alias("markdown")))
+    page = F.col("line_no")
+    heading = F.when(page % 17 == 16, F.concat(F.lit("Chapter "), (F.floor(page / 17) % 3 + 1).cast("string")))
+    out = L.chapter_regroup(lines.select("doc_id", page.alias("page"), heading.alias("heading"), F.col("line").alias("text")))
+    return out.select("doc_id", "chapter", "part", "title", F.md5("text").alias("digest"))
+
+
 @query
 def b17_pipe_tables(spark, d):
     return C.parse_pipe_tables(_documents(spark, d)).groupBy("doc_id").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.sum((F.col("value") != "").cast("int")).alias("n_filled"))
