@@ -67,20 +67,37 @@ def part_title(title: Column, page: Column, pages: Column) -> Column:
     return F.when(pages <= 1, title).otherwise(F.concat(base, F.lit(" ("), (page + 1).cast("string"), F.lit("/"), pages.cast("string"), F.lit(")")))
 
 
-def extras_of(items: int) -> Column:
+def extras_of(items: Column) -> Column:
     """Up to items extras of the enhancement columns, the first non-blank text of each kind, with its label."""
     first = lambda c: F.get(F.filter(F.transform(F.col(c), strip), lambda x: x != ""), F.lit(0))
     labelled = F.array(*[F.concat(F.lit(f"{label}: "), first(column)) for label, column in dims.EXTRAS])
-    return F.slice(F.filter(labelled, lambda x: x.isNotNull()), 1, items)
+    return F.slice(F.filter(labelled, lambda x: x.isNotNull()), F.lit(1), items)
 
 
-def fold_extras(enhancements: DataFrame, density: str | None = None) -> DataFrame:
-    """(doc_id, slide_ix, ord, extra): what a profile shows of each slide's examples, analogies, applications, mistakes and revision points."""
-    items = dims.PROFILES.get((density or "").lower(), dims.PROFILES[dims.DEFAULT_PROFILE])[dims.PROFILE_FIELDS.index("extras")]
-    return exploded(enhancements, extras_of(items), "doc_id", "slide_ix", value="extra")
+def with_profile(rows: DataFrame, density: str | DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
+    """rows of decks and the fields of their profile as columns: those of one density for all, or of each deck's own.
+
+    A table of densities (doc_id, density) is joined by doc_id, its numbers as columns beside each row. Decks
+    that it lacks, null densities and unknown ones have the default profile; of several the alphabetically first counts.
+    """
+    if not isinstance(density, DataFrame):
+        numbers = dims.PROFILES.get((density or "").lower(), dims.PROFILES[dims.DEFAULT_PROFILE])
+        return rows, {f: F.lit(n) for f, n in zip(dims.PROFILE_FIELDS, numbers, strict=True)}
+    own = density.groupBy(F.col("doc_id").alias("_deck")).agg(F.min("density").alias("_density"))
+    joined = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_deck")), "left").drop("_deck")
+    fields = {f: f"_{f}" for f in dims.PROFILE_FIELDS}
+    profiled = density_profiles(joined.withColumnsRenamed({f: f"__{f}" for f in dims.PROFILE_FIELDS if f in joined.columns}), "_density")
+    back = profiled.withColumnsRenamed(fields).withColumnsRenamed({f"__{f}": f for f in dims.PROFILE_FIELDS}).drop("_density")
+    return back, {f: F.col(name) for f, name in fields.items()}
+
+
+def fold_extras(enhancements: DataFrame, density: str | DataFrame | None = None) -> DataFrame:
+    """(doc_id, slide_ix, ord, extra): what a deck's profile shows of each slide's examples, analogies, applications, mistakes and revision points."""
+    rows, profile = with_profile(enhancements, density)
+    return exploded(rows, extras_of(profile["extras"]), "doc_id", "slide_ix", value="extra")
 
 
-def apply_density(slides: DataFrame, density: str | None = None, enhancements: DataFrame | None = None) -> DataFrame:
+def apply_density(slides: DataFrame, density: str | DataFrame | None = None, enhancements: DataFrame | None = None) -> DataFrame:
     """(doc_id, slide_ix, page, layout_type, title, bullets, table_rows, takeaway, image, diagram, continued): slides within a profile, nothing lost.
 
     enhancements (doc_id, slide_ix and the columns of dims.EXTRAS) add the profile's extras to text slides. The
@@ -88,12 +105,13 @@ def apply_density(slides: DataFrame, density: str | None = None, enhancements: D
 
     METRIC and QUIZ slides stay whole; tables page their rows with the header on each page, and their lead
     bullets beside them; flows page their steps; other slides drop restatements of bullets and title first.
-    A slide is one row and its pages are made from its arrays, so nothing is shuffled.
+    A slide is one row and its pages are made from its arrays, so nothing is shuffled, but for a table of
+    densities, which meets its decks' slides in a join (see with_profile).
     """
-    profile = dict(zip(dims.PROFILE_FIELDS, dims.PROFILES.get((density or "").lower(), dims.PROFILES[dims.DEFAULT_PROFILE]), strict=True))
+    slides, profile = with_profile(slides, density)
     layout = F.upper(F.coalesce("layout_type", F.lit("MINIMAL_TEXT")))
     bullets = F.coalesce("bullets", F.array().cast("array<string>"))
-    trimmed = lambda xs: F.filter(F.transform(xs, lambda b: trim_bullet(b, F.lit(profile["max_words"]), F.lit(profile["max_chars"]))), lambda b: b != "")
+    trimmed = lambda xs: F.filter(F.transform(xs, lambda b: trim_bullet(b, profile["max_words"], profile["max_chars"])), lambda b: b != "")
     is_table = (layout == "TABLE") & (F.size(F.coalesce("table_rows", F.array().cast("array<array<string>>"))) > 1)
     is_flow = layout.isin("FLOWCHART", "PROCESS_DIAGRAM") & (F.size(bullets) > 0)
     atomic = layout.isin("METRIC", "QUIZ")
@@ -104,16 +122,16 @@ def apply_density(slides: DataFrame, density: str | None = None, enhancements: D
         slides = joined.withColumns({c: F.coalesce(f"_{c}", extras) for c in columns}).drop(*[f"_{c}" for c in columns])
         extras = extras_of(profile["extras"])
     text = F.concat(trimmed(without_title_restatements(drop_restatements(bullets), F.col("title"))), trimmed(extras))
-    items = F.when(atomic, trimmed(F.slice(bullets, 1, profile["max_bullets"]))).when(is_table | is_flow, trimmed(bullets)).otherwise(text)
+    items = F.when(atomic, trimmed(F.slice(bullets, F.lit(1), profile["max_bullets"]))).when(is_table | is_flow, trimmed(bullets)).otherwise(text)
     size = F.when(is_flow, profile["max_steps"]).when(layout == "CARD_GRID", profile["max_cards"]).otherwise(profile["max_bullets"])
     rows = F.when(is_table, F.slice("table_rows", F.lit(2), F.size("table_rows") - 1)).otherwise(F.array().cast("array<array<string>>"))
     image = F.col("image") if "image" in slides.columns else F.lit(None).cast("string")
     diagram = chain_text(page_of(F.col("_items"), F.col("_size"), F.col("page")), "P", 40, "LR")
     whole = slides.withColumns({"_layout": layout, "_flow": is_flow, "_items": items, "_size": F.when(atomic, F.greatest(F.size(items), F.lit(1))).otherwise(size), "_rows": rows, "_head": F.when(is_table, F.slice("table_rows", 1, 1))})
-    pages = F.greatest(F.lit(1), F.ceil(F.size("_items") / F.col("_size")), F.ceil(F.size("_rows") / F.lit(profile["max_rows"]))).cast("int")
+    pages = F.greatest(F.lit(1), F.ceil(F.size("_items") / F.col("_size")), F.ceil(F.size("_rows") / profile["max_rows"])).cast("int")
     paged = whole.withColumn("_pages", pages)
     out = exploded(paged, F.sequence(F.lit(0), F.col("_pages") - 1), *paged.columns, pos="page", value="_at")
-    own_rows = page_of(F.col("_rows"), F.lit(profile["max_rows"]), F.col("page"))
+    own_rows = page_of(F.col("_rows"), profile["max_rows"], F.col("page"))
     return out.select(
         "doc_id",
         "slide_ix",
@@ -150,9 +168,10 @@ def interleave_quizzes(slides: DataFrame, quizzes: DataFrame, frequency: int = 4
 
 
 def score_slides(slides: DataFrame, strict_reference: bool = False) -> DataFrame:
-    """(doc_id, slide_ix, six parts, score): how engaging a slide's text is, out of 100.
+    """(doc_id, slide_ix, six parts, score): how engaging a slide is, out of 100.
 
-    strict_reference keeps the formula's value beyond its bound for slides without bullets.
+    Where slides have a column has_image, or an image that is not null, 5 points are added for it, to a visual
+    bonus of 15 at most. strict_reference keeps the formula's value beyond its bound for slides without bullets.
     """
     text = F.array_join("bullets", " ")
     w, n = words(text), F.size("bullets")
@@ -167,6 +186,8 @@ def score_slides(slides: DataFrame, strict_reference: bool = False) -> DataFrame
     readable = F.when(count == 0, 0.0).when(mean < 6.5, 15.0).when(mean < 8.5, F.greatest(F.lit(0.0), 15.0 * (1 - (mean - 6.5) / 2))).otherwise(4.0)
     layout = F.upper(F.coalesce("layout_type", F.lit("MINIMAL_TEXT")))
     visual = F.when(layout.isin("FLOWCHART", "TABLE", "METRIC", "QUIZ"), 10.0).when(layout == "CARD_GRID", 7.0).otherwise(0.0)
+    image = F.coalesce(F.col("has_image"), F.lit(False)) if "has_image" in slides.columns else F.col("image").isNotNull() if "image" in slides.columns else F.lit(False)
+    visual = F.least(F.lit(15.0), visual + F.when(image, 5.0).otherwise(0.0))
     parts = {"text_density": density, "bullet_count": bullets, "title_quality": title, "has_takeaway": takeaway, "readability": readable, "visual_bonus": visual}
     out = slides.select("doc_id", "slide_ix", *[F.bround(c, 1).alias(k) for k, c in parts.items()])
     return out.withColumn("score", F.bround(F.least(F.lit(100.0), sum((F.col(k) for k in parts), F.lit(0.0)))).cast("int"))
@@ -217,10 +238,55 @@ def join_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
 
 
-def run_summary(decks: DataFrame, scores: DataFrame) -> DataFrame:
-    """(doc_id, n_slides, n_pages, overall_score) of paginated decks."""
-    pages = decks.groupBy("doc_id").agg(F.count_distinct("slide_ix").alias("n_slides"), F.count(F.lit(1)).alias("n_pages"))
-    return pages.join(score_decks(scores).select("doc_id", "overall_score"), "doc_id", "left")
+#: Outcomes of a stage; others, as running, are no outcome (fixed values).
+OUTCOMES = ["ok", "failed", "skipped"]
+
+
+def run_stages(events: DataFrame) -> DataFrame:
+    """(run, stage, place, status, seconds, detail) of events (run, stage, ts, event_id, status, seconds, detail): a run's stages in the order of their first outcome.
+
+    A stage that ran more than once has its last outcome and all its seconds. place is the time and id of the first one.
+    """
+    ended = events.where(F.col("status").isin(*OUTCOMES) & F.col("stage").isNotNull())
+    last = F.max(F.struct("ts", "event_id", "status", "detail"))
+    per = ended.groupBy("run", "stage").agg(F.min(F.struct("ts", "event_id")).alias("place"), last.alias("x"), F.sum(F.coalesce("seconds", F.lit(0.0))).alias("seconds"))
+    return per.select("run", "stage", "place", "x.status", "seconds", F.coalesce("x.detail", F.lit("")).alias("detail"))
+
+
+def run_summary(slides: DataFrame, quizzes: DataFrame, scores: DataFrame, events: DataFrame, decks: DataFrame | None = None) -> DataFrame:
+    """(run, slide_count, quiz_count, overall_score, density_profile, total_seconds, stages): every run that any of the tables knows.
+
+    slides, quizzes and scores (with score) have a doc_id, which is the run; decks (doc_id, density) names its
+    profile. stages is an array of (name, status, seconds, detail) in order, see run_stages. Counts without rows
+    are 0, the score without scores too, and the profile without a known density is the default.
+
+    Each table is brought to the same narrow columns, and one aggregate over their union takes the place of
+    full joins: a run's rows are combined before the only exchange, whatever table they come from.
+    """
+    none = {"slides": F.lit(0), "quizzes": F.lit(0), "score": F.lit(None).cast("double"), "density": F.lit(None).cast("string"), "stage": F.lit(None).cast("struct<place:struct<ts:timestamp,event_id:bigint>,name:string,status:string,seconds:double,detail:string>")}
+
+    def rows(table: DataFrame, key: str, **own: Column) -> DataFrame:
+        return table.select(F.col(key).cast("string").alias("run"), *[(own | {k: c for k, c in none.items() if k not in own})[k].alias(k) for k in none])
+
+    place = F.struct(F.col("place.ts").cast("timestamp").alias("ts"), F.col("place.event_id").cast("bigint").alias("event_id"))
+    stage = F.struct(place.alias("place"), F.col("stage").alias("name"), "status", F.col("seconds").cast("double").alias("seconds"), "detail")
+    parts = [rows(slides, "doc_id", slides=F.lit(1)), rows(quizzes, "doc_id", quizzes=F.lit(1)), rows(scores, "doc_id", score=F.col("score").cast("double")), rows(run_stages(events), "run", stage=stage)]
+    if decks is not None:
+        parts.append(rows(decks, "doc_id", density=F.lower("density")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    known = F.min(F.when(F.col("density").isin(*dims.PROFILES), F.col("density")))
+    per = whole.groupBy("run").agg(F.sum("slides").alias("slide_count"), F.sum("quizzes").alias("quiz_count"), F.avg("score").alias("mean"), known.alias("density"), F.sort_array(F.collect_list("stage")).alias("all"))
+    total = F.aggregate("all", F.lit(0.0), lambda t, x: t + x["seconds"])
+    named = F.transform("all", lambda x: F.struct(x["name"].alias("name"), x["status"].alias("status"), F.bround(x["seconds"], 2).alias("seconds"), x["detail"].alias("detail")))
+    score = F.coalesce(F.bround("mean").cast("int"), F.lit(0))
+    return per.select("run", "slide_count", "quiz_count", score.alias("overall_score"), F.coalesce("density", F.lit(dims.DEFAULT_PROFILE)).alias("density_profile"), F.bround(total, 2).alias("total_seconds"), named.alias("stages"))
+
+
+def stage_outcomes(events: DataFrame) -> DataFrame:
+    """(stage, status, n, mean_seconds, max_seconds) of stage events (stage, status, seconds); a null status is unknown."""
+    return events.groupBy("stage", F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean_seconds"), F.max("seconds").alias("max_seconds"))
 
 
 def stage_metrics(events: DataFrame) -> DataFrame:

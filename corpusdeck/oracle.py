@@ -118,6 +118,31 @@ c AS (SELECT doc_id, chapter, {_words("string_agg(line, ' ' ORDER BY page)")} AS
 p AS (SELECT doc_id, chapter, ws, unnest(range(CAST(greatest(1, ceil(len(ws) / 150.0)) AS BIGINT))) AS i FROM c)
 SELECT doc_id, chapter, CAST(i + 1 AS INTEGER) AS part, chapter || ' — Part ' || (i + 1) AS title, md5(CASE WHEN len(ws) = 0 THEN '(Visual Content)' ELSE array_to_string(ws[150 * i + 1:150 * i + 150], ' ') END) AS digest FROM p
 """
+_SPANS = (
+    "tagged AS (SELECT page_id // 3 AS doc_id, CAST(page_id % 3 AS INTEGER) AS page, regexp_extract_all(coalesce(html, ''), '<(h1|p|li|b|footer|a)( [^>]*)?>([^<]*)', 1) AS tags, "
+    "regexp_extract_all(coalesce(html, ''), '<(h1|p|li|b|footer|a)( [^>]*)?>([^<]*)', 3) AS texts FROM pages), "
+    "els AS (SELECT doc_id, page, CAST(generate_subscripts(tags, 1) - 1 AS INTEGER) AS block, unnest(tags) AS tag, unnest(texts) AS t FROM tagged), "
+    "spans AS (SELECT doc_id, page, block, tag, CASE WHEN tag = 'li' THEN '• ' || t ELSE t END AS text, CASE tag WHEN 'h1' THEN 24.0::DOUBLE WHEN 'b' THEN 13.0::DOUBLE WHEN 'p' THEN 12.0::DOUBLE WHEN 'footer' THEN 8.0::DOUBLE ELSE 10.0::DOUBLE END AS size, "
+    "tag = 'b' AS is_bold, CASE WHEN block % 2 = 0 THEN 20.0::DOUBLE ELSE 320.0::DOUBLE END AS x0, CASE WHEN block % 2 = 0 THEN 20.0::DOUBLE ELSE 320.0::DOUBLE END + least(560.0::DOUBLE, length(t) * 2.0::DOUBLE) AS x1, (block // 2) * 14.3::DOUBLE AS y0 FROM els)"
+)
+_HEADED = f"{_SPANS}, meds AS (SELECT doc_id, page, list_sort(list(size))[len(list(size)) // 2 + 1] AS median FROM spans GROUP BY ALL), headed AS (SELECT s.*, median, size >= median * 1.25::DOUBLE OR (is_bold AND size >= median * 1.05::DOUBLE) AS is_heading FROM spans s JOIN meds USING (doc_id, page))"
+ORACLE["b13_infer_headings"] = f"WITH {_HEADED} SELECT doc_id, page, block, median, is_heading FROM headed"
+ORACLE["b13_page_titles"] = f"WITH {_HEADED} SELECT doc_id, page, md5(arg_min(text, block)) AS title FROM headed WHERE is_heading AND length(text) < 120 GROUP BY doc_id, page"
+_COLUMNS = (
+    f"{_SPANS}, sided AS (SELECT *, x1 - x0 > 372.0::DOUBLE AS wide, (x0 + x1) / 2 < 300.0::DOUBLE AS lefts FROM spans), "
+    "per AS (SELECT doc_id, page, count(*) FILTER (NOT wide AND lefts) AS l, count(*) FILTER (NOT wide AND NOT lefts) AS r, count(*) FILTER (wide) AS w FROM sided GROUP BY ALL), "
+    "cols AS (SELECT doc_id, page, CASE WHEN l + r >= 4 AND l >= 2 AND r >= 2 AND w <= (l + r) / 2.0 THEN 2 ELSE 1 END AS n FROM per)"
+)
+ORACLE["b14_detect_columns"] = f"WITH {_COLUMNS} SELECT doc_id, page, n AS columns FROM cols"
+ORACLE["b15_reading_order"] = f"""
+WITH {_COLUMNS}, placed AS (SELECT s.*, CASE WHEN n = 2 AND NOT wide AND NOT lefts THEN 1 ELSE 0 END AS side FROM sided s JOIN cols USING (doc_id, page))
+SELECT doc_id, page, block, side AS "column", CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY side, round(y0, 1), x0) - 1 AS INTEGER) AS reading_order FROM placed
+"""
+ORACLE["b16_multi_column_docs"] = f"WITH {_COLUMNS} SELECT doc_id, count(*) FILTER (n = 2) >= greatest(1, count(*) // 2) AS multi_column FROM cols WHERE page < 4 GROUP BY doc_id"
+ORACLE["b20_flag_blocks"] = f"""
+WITH {_SPANS}, f AS (SELECT doc_id, page AS unit_id, block AS ord, size, text, (tag = 'h1' AND page % 2 = 0) OR (row_number() OVER (PARTITION BY doc_id, page ORDER BY block) = 1 AND size >= 20) AS is_heading FROM spans)
+SELECT doc_id, unit_id, ord, is_heading, CASE WHEN NOT is_heading THEN 0 WHEN size >= 16 THEN 2 ELSE 3 END AS heading_level, CAST(regexp_matches(text, '^\\s*[•◦▪‣·*-]\\s') AS INTEGER) AS bullet_level FROM f
+"""
 ORACLE["c1_dedupe_assets"] = "SELECT source AS doc_id, min(doc_id) AS ord, sha256(coalesce(text, '')) AS sha256 FROM documents GROUP BY source, sha256(coalesce(text, ''))"
 ORACLE["c7_primary_image"] = """
 WITH a AS (SELECT source AS doc_id, doc_id % 60 AS unit_id, doc_id AS ord, lang AS format, CASE WHEN doc_id % 3 <> 0 THEN coalesce(text, '') END AS content FROM documents),
@@ -263,7 +288,7 @@ WITH ls AS (SELECT doc_id, {_lines("coalesce(text, '')")} AS ls FROM documents),
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST({_JUNK} AS INTEGER)) AS BIGINT) AS n_junk FROM l GROUP BY doc_id
 """
 # Slides of turns, with their scores.
-_QUANTITY = "([$₹€£])?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*(%|percent|million|billion|thousand|years?|months?|days?|hours?|x\\b)?"
+_QUANTITY = dims.QUANTITY
 _SLIDES = (
     f"{TURNS}, t AS (SELECT *, lower(text) AS low, list_filter(list_transform({_lines('text')}, lambda l: {_strip('l')}), lambda l: l <> '') AS own, {_sentences('text')} AS ss FROM units), "
     "u AS (SELECT *, len(list_filter(own, lambda l: length(l) - length(replace(l, '|', '')) >= 2 AND NOT regexp_full_match(l, '[|\\s:-]+'))) AS rows, "
@@ -275,6 +300,21 @@ _SLIDES = (
 )
 ORACLE["f10_structure_slides"] = f"WITH {_SLIDES} SELECT doc_id, slide_ix, layout_type, CAST(len(bullets) AS INTEGER) AS n_bullets, metric_value FROM slides"
 ORACLE["a10_deck_payload"] = f"WITH {_SLIDES} SELECT doc_id, slide_ix, layout_type, title FROM slides"
+ORACLE["a10_payload_fields"] = f"""
+WITH {_SLIDES} SELECT s.doc_id, s.slide_ix, 18 AS n_fields, s.slide_ix AS index, s.layout_type, s.title, 'Review key details carefully.' AS takeaway, s.metric_value, 'router' AS visual_source, 'false' AS continued,
+  CASE WHEN s.slide_ix % 3 = 0 THEN 'true' ELSE 'false' END AS has_image, NULL AS question, CAST(len(s.bullets) AS INTEGER) AS n_bullets, md5(u.text) AS source_text FROM slides s JOIN units u ON u.doc_id = s.doc_id AND u.unit_id = s.slide_ix
+"""
+_DENSITY = "CASE WHEN conv_id % 4 = 0 THEN 'low' WHEN conv_id % 4 = 1 THEN 'heavy' ELSE 'medium' END"
+_NUMBERS_OF = ", ".join("CASE density " + " ".join(f"WHEN '{name}' THEN {numbers[i]}" for name, numbers in dims.PROFILES.items()) + f" END AS {field}" for i, field in enumerate(dims.PROFILE_FIELDS))
+ORACLE["p1_density_profiles"] = f"SELECT doc_id, {_NUMBERS_OF} FROM (SELECT DISTINCT conv_id AS doc_id, {_DENSITY} AS density FROM conversations)"
+ORACLE["s5_stage_outcomes"] = """
+WITH e AS (SELECT event_type AS stage, value, CASE WHEN event_id % 11 = 0 THEN 'failed' WHEN event_id % 13 = 0 THEN 'skipped' WHEN event_id % 5 = 0 THEN 'running' WHEN event_id % 17 <> 0 THEN 'ok' ELSE 'unknown' END AS status FROM events)
+SELECT stage, status, count(*) AS n, round(avg(value), 4) AS mean_seconds, max(value) AS max_seconds FROM e GROUP BY ALL
+"""
+ORACLE["s5_run_progress"] = """
+WITH k AS (SELECT stage, row_number() OVER (ORDER BY stage) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT event_type AS stage FROM events))
+SELECT user_id AS run, round(max(place) / max(n)::DOUBLE, 6) AS progress FROM events JOIN k ON event_type = stage GROUP BY user_id
+"""
 ORACLE["p14_quiz_batches"] = f"""
 WITH {_SLIDES}, p AS (SELECT doc_id, slide_ix // 3 AS batch, slide_ix, CASE WHEN len(bullets) = 0 THEN title || chr(10) ELSE title || chr(10) || array_to_string(bullets, chr(10)) END AS part FROM slides)
 SELECT doc_id, CAST(batch AS BIGINT) AS batch, count(*) AS n_slides, CAST(length(string_agg(part, chr(10) || chr(10) ORDER BY slide_ix)) AS INTEGER) AS n_chars FROM p GROUP BY doc_id, batch
@@ -292,6 +332,21 @@ _SCORES = (
     "CASE WHEN layout_type = 'MINIMAL_TEXT' THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END AS visual_bonus FROM x), "
     "scores AS (SELECT *, CAST(round_even(least(100.0::DOUBLE, 0.0::DOUBLE + text_density + bullet_count + title_quality + has_takeaway + readability + visual_bonus), 0) AS INTEGER) AS score FROM parts)"
 )
+_PLAIN_BONUS = "CASE WHEN layout_type = 'MINIMAL_TEXT' THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END AS visual_bonus"
+_IMAGE_BONUS = "least(15.0::DOUBLE, CASE WHEN layout_type = 'MINIMAL_TEXT' THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END + CASE WHEN slide_ix % 3 = 0 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END) AS visual_bonus"
+ORACLE["s4_run_summary"] = f"""
+WITH {_SCORES}, sl AS (SELECT CAST(doc_id AS VARCHAR) AS run, count(*) AS n, CAST(round_even(avg(score), 0) AS INTEGER) AS score FROM scores GROUP BY doc_id),
+qu AS (SELECT CAST(doc_id % 90 AS VARCHAR) AS run, count(*) AS n FROM documents WHERE contains(text, '?') GROUP BY 1),
+de AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS run, {_DENSITY} AS density FROM conversations),
+ev AS (SELECT CAST(user_id AS VARCHAR) AS run, event_type AS stage, ts, event_id, value, CASE WHEN event_id % 11 = 0 THEN 'failed' WHEN event_id % 13 = 0 THEN 'skipped' WHEN event_id % 5 = 0 THEN 'running' WHEN event_id % 17 <> 0 THEN 'ok' END AS status FROM events),
+en AS (SELECT *, row_number() OVER (PARTITION BY run, stage ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY run, stage ORDER BY ts DESC, event_id DESC) AS z, sum(value) OVER (PARTITION BY run, stage) AS seconds FROM ev WHERE status IN ('ok', 'failed', 'skipped')),
+st AS (SELECT f.run, f.stage, f.ts, f.event_id, l.status, l.event_id AS last, f.seconds FROM en f JOIN en l ON f.run = l.run AND f.stage = l.stage AND f.a = 1 AND l.z = 1),
+sg AS (SELECT run, string_agg(stage || ':' || status || ':event ' || last, '|' ORDER BY ts, event_id) AS stages, sum(seconds) AS seconds FROM st GROUP BY run),
+ru AS (SELECT run FROM sl UNION SELECT run FROM qu UNION SELECT run FROM de UNION SELECT run FROM sg)
+SELECT run, coalesce(sl.n, 0) AS slide_count, coalesce(qu.n, 0) AS quiz_count, coalesce(sl.score, 0) AS overall_score, coalesce(density, 'medium') AS density_profile, round_even(coalesce(seconds, 0), 2) AS total_seconds, coalesce(stages, '') AS stages
+FROM ru LEFT JOIN sl USING (run) LEFT JOIN qu USING (run) LEFT JOIN de USING (run) LEFT JOIN sg USING (run)
+"""
+ORACLE["s1_score_with_images"] = f"WITH {_SCORES.replace(_PLAIN_BONUS, _IMAGE_BONUS)} SELECT * FROM scores"
 ORACLE["s1_score_slides"] = f"WITH {_SCORES} SELECT * FROM scores"
 ORACLE["s2_score_decks"] = f"WITH {_SCORES} SELECT doc_id, CAST(round_even(avg(score), 0) AS INTEGER) AS overall_score, count(*) AS n_slides FROM scores GROUP BY doc_id"
 ORACLE["s3_score_breakdown"] = f"""

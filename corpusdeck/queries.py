@@ -160,6 +160,17 @@ def a7_a9_deck_store(spark, d):
     return W.list_decks(W.live_decks(spark, path)).select("user_id", "rank", "deck_id", "title")
 
 
+@query
+def a10_payload_fields(spark, d):
+    """What each slide's JSON holds, field by field."""
+    slides = _with_images(_slides(spark, d)).join(_turns(spark, d).select("doc_id", F.col("unit_id").alias("slide_ix"), "text"), ["doc_id", "slide_ix"])
+    field = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
+    out = W.deck_payload(slides)
+    texts = ["layout_type", "title", "takeaway", "metric_value", "visual_source", "continued", "has_image", "question"]
+    bullets = F.size(F.from_json(F.get_json_object("payload", "$.bullets"), "array<string>")).alias("n_bullets")
+    return out.select("doc_id", "slide_ix", F.size(F.json_object_keys("payload")).alias("n_fields"), field("index").cast("int").alias("index"), *map(field, texts), bullets, F.md5(field("source_text")).alias("source_text"))
+
+
 def _decks(spark, d):
     """Documents as stored decks: a user per source, newer ids later."""
     return _documents(spark, d).select(F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("deck_id"), F.col("lang").alias("title"), F.timestamp_seconds(F.col("doc_id")).alias("created_at"))
@@ -232,6 +243,55 @@ def b12_chapter_regroup(spark, d):
     return out.select("doc_id", "chapter", "part", "title", F.md5("text").alias("digest"))
 
 
+def _spans(spark, d) -> DataFrame:
+    """Elements of web pages as spans: three pages a document, sizes by tag, a place by their number, a width by their length."""
+    pattern = r"<(h1|p|li|b|footer|a)( [^>]*)?>([^<]*)"
+    tags, texts = (F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(pattern), F.lit(i)) for i in (1, 3))
+    page = _table(spark, d, "pages").select(F.floor(F.col("page_id") / 3).alias("doc_id"), (F.col("page_id") % 3).cast("int").alias("page"), tags.alias("tags"), texts.alias("texts"))
+    rows = exploded(page, F.arrays_zip("tags", "texts"), "doc_id", "page", pos="block")
+    tag, n, length = F.col("x.tags"), F.col("block"), F.length("x.texts")
+    size = F.when(tag == "h1", 24.0).when(tag == "b", 13.0).when(tag == "p", 12.0).when(tag == "footer", 8.0).otherwise(10.0)
+    x0 = F.when(n % 2 == 0, 20.0).otherwise(320.0)
+    text = F.when(tag == "li", F.concat(F.lit("• "), F.col("x.texts"))).otherwise(F.col("x.texts"))
+    return rows.select(
+        "doc_id", "page", "block", tag.alias("tag"), text.alias("text"), size.alias("size"), (tag == "b").alias("is_bold"), F.lit(600.0).alias("page_width"), x0.alias("x0"),
+        (x0 + F.least(F.lit(560.0), length * 2.0)).alias("x1"), (F.floor(n / 2) * 14.3).alias("y0"),
+    )
+
+
+@query
+def b13_infer_headings(spark, d):
+    return L.infer_headings(_spans(spark, d)).select("doc_id", "page", "block", "median", "is_heading")
+
+
+@query
+def b13_page_titles(spark, d):
+    return L.page_titles(_spans(spark, d)).select("doc_id", "page", F.md5("title").alias("title"))
+
+
+@query
+def b14_detect_columns(spark, d):
+    return L.detect_columns(_spans(spark, d))
+
+
+@query
+def b15_reading_order(spark, d):
+    return L.reading_order(_spans(spark, d)).select("doc_id", "page", "block", "column", "reading_order")
+
+
+@query
+def b16_multi_column_docs(spark, d):
+    return L.multi_column_docs(_spans(spark, d))
+
+
+@query
+def b20_flag_blocks(spark, d):
+    """Elements as blocks of a unit per page, the h1 of every second page in a title shape."""
+    shape = (F.col("tag") == "h1") & (F.col("page") % 2 == 0)
+    blocks = _spans(spark, d).select("doc_id", F.col("page").alias("unit_id"), F.col("block").alias("ord"), shape.alias("is_title_shape"), F.col("size").alias("font_size"), "text")
+    return L.flag_blocks(blocks).select("doc_id", "unit_id", "ord", "is_heading", "heading_level", "bullet_level")
+
+
 @query
 def b17_pipe_tables(spark, d):
     return C.parse_pipe_tables(_documents(spark, d)).groupBy("doc_id").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.sum((F.col("value") != "").cast("int")).alias("n_filled"))
@@ -683,6 +743,31 @@ def h17_image_prompts(spark, d):
 # -- decks, scores, retrieval --
 
 
+def _conversation_decks(spark, d) -> DataFrame:
+    """A density per conversation; every fourth has none that is known."""
+    n = F.col("conv_id")
+    density = F.when(n % 4 == 0, "low").when(n % 4 == 1, "Heavy").when(n % 4 == 2, "medium").when(n % 8 == 3, "dense")
+    return _table(spark, d, "conversations").select(n.alias("doc_id"), density.alias("density")).distinct()
+
+
+@query
+def p1_density_profiles(spark, d):
+    """The numbers of each deck's profile."""
+    out = D.density_profiles(_conversation_decks(spark, d))
+    return out.select("doc_id", "max_bullets", "max_words", "max_chars", "max_rows", "max_steps", "max_cards", "extras", "enhanced")
+
+
+@query
+def p10_density_per_deck(spark, d):
+    """Pages of each deck within its own profile, in one call."""
+    return D.apply_density(_slides(spark, d), _conversation_decks(spark, d)).select("doc_id", "slide_ix", "page", "layout_type", F.size("bullets").alias("n_bullets"), "continued")
+
+
+@query
+def p9_extras_per_deck(spark, d):
+    return D.fold_extras(_extras(spark, d), _conversation_decks(spark, d))
+
+
 @query
 def p3_balanced_pages(spark, d):
     lines = C.unit_blocks(_turns(spark, d)).where("not is_heading")
@@ -791,6 +876,16 @@ def s1_score_slides(spark, d):
     return D.score_slides(_slides(spark, d))
 
 
+def _with_images(slides: DataFrame) -> DataFrame:
+    """Every third slide of a deck with an image."""
+    return slides.withColumn("image", F.when(F.col("slide_ix") % 3 == 0, F.concat(F.lit("image"), F.col("slide_ix").cast("string"))))
+
+
+@query
+def s1_score_with_images(spark, d):
+    return D.score_slides(_with_images(_slides(spark, d)))
+
+
 @query
 def s2_score_decks(spark, d):
     return D.score_decks(D.score_slides(_slides(spark, d)))
@@ -810,6 +905,34 @@ def s5_stage_metrics(spark, d):
     return D.stage_metrics(_events(spark, d)).withColumn("mean_seconds", F.round("mean_seconds", 4))
 
 
+def _outcomes(spark, d) -> DataFrame:
+    """Events as outcomes of stages: some failed, skipped or still running."""
+    n = F.col("event_id")
+    status = F.when(n % 11 == 0, "failed").when(n % 13 == 0, "skipped").when(n % 5 == 0, "running").when(n % 17 != 0, "ok")
+    return _events(spark, d).withColumns({"status": status, "detail": F.concat(F.lit("event "), n.cast("string"))})
+
+
+@query
+def s4_run_summary(spark, d):
+    """Conversations as decks, documents with questions as quizzes, users' events as stages: runs that some of them know."""
+    quizzes = _documents(spark, d).where(F.col("text").contains("?")).select((F.col("doc_id") % 90).alias("doc_id"))
+    slides = _slides(spark, d)
+    out = D.run_summary(slides, quizzes, D.score_slides(slides), _outcomes(spark, d), _conversation_decks(spark, d))
+    listed = F.array_join(F.transform("stages", lambda x: F.concat_ws(":", x["name"], x["status"], x["detail"])), "|")
+    return out.select("run", "slide_count", "quiz_count", "overall_score", "density_profile", "total_seconds", listed.alias("stages"))
+
+
+@query
+def s5_stage_outcomes(spark, d):
+    return D.stage_outcomes(_outcomes(spark, d)).withColumn("mean_seconds", F.round("mean_seconds", 4))
+
+
+@query
+def s5_run_progress(spark, d):
+    """How far along the stages, in order of name, each user's events reach."""
+    return D.run_progress(_events(spark, d), _stages(spark, d)).select("run", F.round("progress", 6).alias("progress"))
+
+
 @query
 def s6_latest_status(spark, d):
     return D.latest_status(_events(spark, d)).select("run", "stage", "event_id")

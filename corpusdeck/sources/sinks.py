@@ -115,17 +115,36 @@ def get_deck(decks: DataFrame, user_id: str, deck_id: str) -> DataFrame:
     return decks.where((F.col("user_id") == user_id) & (F.col("deck_id") == deck_id))
 
 
+#: Text fields of a slide that are null unless it has them (fixed values).
+OPTIONAL = ["mermaid_code", "table_headers", "table_rows", "metric_value", "metric_label", "metric_desc", "question", "options", "correct"]
+
+
 def deck_payload(slides: DataFrame) -> DataFrame:
-    """(doc_id, slide_ix, payload): each slide as JSON with defaults for missing fields."""
-    fields = F.struct(
-        F.coalesce("layout_type", F.lit("MINIMAL_TEXT")).alias("layout_type"),
-        F.coalesce("title", F.lit("Slide")).alias("title"),
-        F.coalesce("bullets", F.array().cast("array<string>")).alias("bullets"),
-        F.coalesce("takeaway", F.lit("")).alias("takeaway"),
-        F.coalesce("metric_value", F.lit("")).alias("metric_value"),
-        F.coalesce("table_rows", F.array().cast("array<array<string>>")).alias("table_rows"),
-    )
-    return slides.select("doc_id", "slide_ix", F.to_json(fields).alias("payload"))
+    """(doc_id, slide_ix, payload): each slide as a JSON object of 18 fields, with defaults for those that are missing or null.
+
+    index is slide_ix, the title without one its number from 1, and has_image tells whether there is an
+    image; source_text is the text that the slide was made of. Fields without a default are null in the object. A column
+    that slides lack counts as null.
+    """
+
+    def own(column: str, kind: str = "string") -> Column:
+        return F.col(column) if column in slides.columns else F.lit(None).cast(kind)
+
+    number = F.concat(F.lit("Slide "), (F.col("slide_ix") + 1).cast("string"))
+    fields = {
+        "index": F.col("slide_ix"),
+        "layout_type": F.upper(F.coalesce(own("layout_type"), F.lit("MINIMAL_TEXT"))),
+        "title": F.coalesce(own("title"), number),
+        "bullets": F.coalesce(own("bullets", "array<string>"), F.array().cast("array<string>")),
+        "takeaway": F.coalesce(own("takeaway"), F.lit("")),
+        **{c: own(c) for c in OPTIONAL},
+        "visual_source": F.coalesce(own("visual_source"), F.lit("router")),
+        "continued": F.coalesce(own("continued", "boolean"), F.lit(False)),
+        "has_image": own("image").isNotNull(),
+        "source_text": F.coalesce(own("text"), F.lit("")),
+    }
+    whole = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+    return slides.select("doc_id", "slide_ix", whole.alias("payload"))
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
