@@ -154,3 +154,29 @@ ORACLE["p13_enhancement_confidence"] = f"""
   FROM records JOIN planned USING (doc_id) JOIN trust USING (doc_id) LEFT JOIN answered USING (doc_id))
 SELECT {_KEYS}, round_even(richness, 2) AS richness, CAST(n AS INTEGER) AS n_answers, round_even(bonus, 4) AS plan_bonus, round_even(least(1.0::DOUBLE, richness + n / 11::DOUBLE * 0.6::DOUBLE + bonus), 3) AS confidence FROM rich
 """
+
+# The same statements over turns as they are, and over documents, whose key is their own.
+TURNS = "units AS (SELECT conv_id * 1000000 + turn AS doc_id, 0 AS unit_id, coalesce(role, '') AS title, coalesce(text, '') AS text FROM conversations)"
+
+
+def _turns(sql: str) -> str:
+    return sql.replace(LESSONS, TURNS)
+
+
+def _documents(sql: str) -> str:
+    return sql.replace(LESSONS, UNITS).replace(_KEYS, "doc_id")
+
+
+ORACLE["f6_opportunities"] = _documents(ORACLE["f6_lesson_opportunities"])
+for _name, _from in (("g1_text_actions", "g1_lesson_actions"), ("g2_summaries", "g2_lesson_summaries"), ("g3_speaker_notes", "g3_lesson_notes")):
+    ORACLE[_name] = _turns(ORACLE[_from])
+_WORDS_OF = f"{BLOCKS}, planned AS (SELECT doc_id, CAST(sum(len({_words('text')}) + 1) AS BIGINT) AS n_words FROM unit_blocks GROUP BY doc_id)"
+ORACLE["g5_plan_confidence"] = _documents(f"WITH {RECORDS}, {_WORDS_OF}, {TRUST} SELECT {_KEYS}, confidence FROM trust")
+_SIZES = ", ".join(f"CAST(len({k}) AS INTEGER) AS n_{k}" for k in (*dims.SIGNAL_PHRASES, "number", "chronology", "step", "formula", "concept", "supporting", "comparison", "definition"))
+_EXTRAS = (
+    f"said AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS slide_ix, {_sentences("coalesce(text, '')")} AS ss FROM conversations), "
+    "folded AS (SELECT doc_id, slide_ix, list_filter(['Example: ' || ss[1], 'In practice: ' || ss[2], 'Recall: ' || list_filter(ss, lambda x: x LIKE '%?')[1]], lambda x: x IS NOT NULL) AS xs FROM said), "
+    "at_ AS (SELECT doc_id, slide_ix, CAST(generate_subscripts(xs, 1) - 1 AS INTEGER) AS ord, unnest(xs) AS extra FROM folded)"
+)
+ORACLE["p9_fold_extras"] = f"WITH {_EXTRAS} SELECT doc_id, slide_ix, ord, extra FROM at_ WHERE ord < 3"
+ORACLE["p9_extras_per_deck"] = f"WITH {_EXTRAS} SELECT doc_id, slide_ix, ord, extra FROM at_ WHERE ord < CASE WHEN doc_id % 4 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN 3 ELSE 1 END"

@@ -70,3 +70,38 @@ def test_running_values(spark):
         want[k, i] = (v if v is not None else last, total)
         state[k] = (v if v is not None else last, total + (v or 0))
     assert got == want
+
+
+SPAN = "doc_id long, page int, block int, size double, is_bold boolean, text string"
+
+
+def test_headings_by_the_upper_median(spark):
+    sizes = [10.0, 10.0, 12.0, 12.0, 12.5, 13.0, 15.0, None]
+    rows = [(1, 0, i, s, i == 5, f"t{i}") for i, s in enumerate(sizes)] + [(1, 1, 0, None, None, "x"), (2, 0, 0, 15.0, False, "y" * 200), (2, 0, 1, 1.0, True, "z"), (None, 0, 0, 9.0, None, "n")]
+    got = {(x.doc_id, x.page, x.block): (x.median, x.is_heading) for x in L.infer_headings(spark.createDataFrame(rows, SPAN)).collect()}
+    known = sorted(s for s in sizes if s is not None)
+    median = known[len(known) // 2]
+    for i, s in enumerate(sizes):
+        assert got[1, 0, i] == (median, s is not None and (s >= 1.25 * median or (i == 5 and s >= 1.05 * median)))
+    assert got[1, 1, 0] == (12.0, False) and got[2, 0, 0] == (15.0, False)
+    assert {(x.doc_id, x.page): x.title for x in L.page_titles(spark.createDataFrame(rows, SPAN)).collect()} == {(1, 0): "t5"}
+
+
+BLOCK = "doc_id long, page int, block int, page_width double, x0 double, x1 double, y0 double"
+
+
+def test_columns_and_reading_order(spark):
+    two = [(1, 0, i, 600.0, 20.0 if i % 2 else 320.0, 280.0 if i % 2 else 580.0, 100.0 + i) for i in range(6)] + [(1, 0, 9, 600.0, 20.0, 580.0, 10.0)]
+    one = [(1, 1, i, 600.0, 20.0, 580.0, 300.0 - 10 * i) for i in range(4)]
+    df = spark.createDataFrame(two + one, BLOCK)
+    assert {(x.doc_id, x.page): x.columns for x in L.detect_columns(df).collect()} == {(1, 0): 2, (1, 1): 1}
+    order = {(x.page, x.block): (x.column, x.reading_order) for x in L.reading_order(df).collect()}
+    assert [b for (p, b), _ in sorted(order.items(), key=lambda x: x[1][1]) if p == 0] == [9, 1, 3, 5, 0, 2, 4]
+    assert [b for (p, b), _ in sorted(order.items(), key=lambda x: x[1][1]) if p == 1] == [3, 2, 1, 0]
+    assert L.multi_column_docs(df).first().multi_column and L.reading_order(df.where("false")).count() == 0
+
+
+def test_flagged_blocks(spark):
+    rows = [(1, 0, 0, None, 22.0, "First"), (1, 0, 1, None, 30.0, "• point"), (1, 0, 2, True, 12.0, " - shape"), (1, 1, 0, False, 19.0, "small"), (1, 2, 0, True, None, "no size")]
+    got = {(x.unit_id, x.ord): (x.is_heading, x.heading_level, x.bullet_level) for x in L.flag_blocks(spark.createDataFrame(rows, "doc_id long, unit_id int, ord int, is_title_shape boolean, font_size double, text string")).collect()}
+    assert got == {(0, 0): (True, 2, 0), (0, 1): (False, 0, 1), (0, 2): (True, 3, 1), (1, 0): (False, 0, 0), (2, 0): (True, 3, 0)}
