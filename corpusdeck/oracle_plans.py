@@ -133,8 +133,9 @@ _FIELDS = [
     "CASE WHEN notes <> '' THEN 'Speaker notes excerpt: ' || substr(notes, 1, 300) END",
 ]
 _TOPIC = f"coalesce(CASE WHEN {_strip('title')} <> '' AND NOT regexp_full_match({_strip('title')}, '(?i)slide\\s+[0-9]+') THEN {_strip('title')} END, substr(body[1], 1, 80), 'Untitled Slide')"
+_CONTEXT_LEVELS = f"levels AS ({_DOCUMENTS['f7_complexity'].replace(UNITS, LESSONS)})"
 _CONTEXT = (
-    f"levels AS ({_DOCUMENTS['f7_complexity'].replace(UNITS, LESSONS)}), all_of AS (SELECT *, {_TOPIC} AS topic FROM records JOIN levels USING (doc_id) JOIN planned USING (doc_id)), "
+    f"{_CONTEXT_LEVELS}, all_of AS (SELECT *, {_TOPIC} AS topic FROM records JOIN levels USING (doc_id) JOIN planned USING (doc_id)), "
     f"told AS (SELECT doc_id, list_filter([{', '.join(_FIELDS)}], lambda x: x IS NOT NULL) AS fields FROM all_of)"
 )
 ORACLE["p12_enhancement_context"] = f"{WHOLE}, {_CONTEXT} SELECT {_KEYS}, md5(array_to_string(fields, chr(10))) AS digest, CAST(len(fields) AS INTEGER) AS n_fields FROM told"
@@ -180,3 +181,46 @@ _EXTRAS = (
 )
 ORACLE["p9_fold_extras"] = f"WITH {_EXTRAS} SELECT doc_id, slide_ix, ord, extra FROM at_ WHERE ord < 3"
 ORACLE["p9_extras_per_deck"] = f"WITH {_EXTRAS} SELECT doc_id, slide_ix, ord, extra FROM at_ WHERE ord < CASE WHEN doc_id % 4 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN 3 ELSE 1 END"
+_CAUSES = _DOCUMENTS["e10_causes"].split("WITH ", 1)[1]
+_COUNTED = {k: f"len({k})" for k in (*dims.SIGNAL_PHRASES, "number", "chronology", "step", "formula", "concept", "supporting", "comparison", "definition")}
+# Documents are titled by their source alone, so they have one concept and no relationships; their bullets are one list.
+ORACLE["e_signal_counts"] = _documents(
+    f"WITH {RECORDS}, causes AS (SELECT doc_id, count(*) AS n FROM ({_DOCUMENTS['e10_causes']}) GROUP BY doc_id), faqs AS (SELECT doc_id, count(*) AS n FROM ({_DOCUMENTS['e18_faqs']}) GROUP BY doc_id) "
+    f"SELECT {_KEYS}, {', '.join(f'CAST({v} AS INTEGER) AS n_{k}' for k, v in _COUNTED.items())}, CAST(coalesce(causes.n, 0) AS INTEGER) AS n_cause, CAST(coalesce(faqs.n, 0) AS INTEGER) AS n_faq, "
+    "CAST(len(body) >= 2 AS INTEGER) AS n_list, 0 AS n_relationship FROM records LEFT JOIN causes USING (doc_id) LEFT JOIN faqs USING (doc_id)"
+)
+_RECORD_NUMBERS = (
+    f"WITH RECURSIVE {RECORDS}, {PRIORITIES}, {_CONTEXT_LEVELS}, counted AS (SELECT doc_id, count(*) AS n_rows, CAST(sum(n + 1) AS BIGINT) AS n_words FROM priorities GROUP BY doc_id) "
+    f"SELECT {_KEYS}, {_TOPIC} AS topic, level, names[1] AS primary_intent, CAST(n_rows AS INTEGER) AS n_rows, CAST(len(visuals) AS INTEGER) AS n_visuals, CAST(n_words AS INTEGER) AS n_words, CAST(n_rows AS INTEGER) AS n_blocks, "
+    "CAST(least(8, len(fact) + len(example) + len(number)) AS INTEGER) AS n_details FROM records JOIN levels USING (doc_id) JOIN seen USING (doc_id) JOIN counted USING (doc_id)"
+)
+ORACLE["f8_unit_intelligence"] = _turns(_RECORD_NUMBERS)
+_BEHIND = "CASE b.kind " + " ".join(f"WHEN {_quote(k)} THEN {'list_concat(' + ', '.join(v) + ')' if len(v) > 1 else v[0] if v else '[]'}" for k, (_, v) in dims.BUILT.items()) + " ELSE [] END"
+_BUILT = f"list_filter(list_transform(visuals, lambda v: v.kind), lambda k: k NOT IN ({', '.join(map(_quote, dims.UNBUILT))}))[1:5]"
+_VISUAL_ACTIONS = (
+    f"WITH RECURSIVE {RECORDS}, {PRIORITIES}, built AS (SELECT doc_id, {_BUILT} AS ks FROM seen), b AS (SELECT doc_id, generate_subscripts(ks, 1) AS rank, unnest(ks) AS kind FROM built), "
+    f"texts_behind AS (SELECT b.doc_id, b.rank, b.kind, list_transform({_BEHIND}, lambda x: lower(x)) AS xs FROM b JOIN records USING (doc_id)), "
+    "hits AS (SELECT t.doc_id, t.rank, t.kind, p.ord FROM texts_behind t JOIN priorities p ON p.doc_id = t.doc_id AND len(list_filter(t.xs, lambda x: contains(p.low, x))) > 0)"
+)
+_SHOWN = "CASE kind WHEN 'Pyramid' THEN 'SmartArt' ELSE kind END"
+ORACLE["g7_visual_actions"] = _turns(
+    f"{_VISUAL_ACTIONS}, counted AS (SELECT b.doc_id, b.rank, b.kind, count(h.ord) AS n FROM b LEFT JOIN hits h ON h.doc_id = b.doc_id AND h.rank = b.rank GROUP BY ALL) "
+    f"SELECT {_KEYS}, CAST(rank AS INTEGER) AS rank, {_SHOWN} AS kind, 'REPLACE_TEXT_WITH_VISUAL' AS action, CAST(n AS INTEGER) AS n_blocks FROM counted "
+    f"UNION ALL SELECT {_KEYS}, CAST(len(ks) + 1 AS INTEGER), 'AI Image', 'ADD_AI_IMAGE', CAST(least(2, n) AS INTEGER) FROM built JOIN (SELECT doc_id, count(*) AS n FROM priorities GROUP BY doc_id) USING (doc_id)"
+)
+ORACLE["g6_source_blocks"] = _turns(f"{_VISUAL_ACTIONS} SELECT {_KEYS}, {_SHOWN} AS kind, 's' || CAST(doc_id % 1000000 AS VARCHAR) || '_tb_' || ord AS block_id FROM hits")
+
+
+def _ordered(items: str) -> str:
+    """Distinct items in the order of their first places."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+_MAPPED = "list_append(list_transform(visuals, lambda v: CASE v.kind " + " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, (v, _) in dims.BUILT.items()) + " END), 'AI Image')"
+_CHOSEN = f"chosen AS (SELECT doc_id, visuals, list_concat(first_ones[1:5], CASE WHEN len(number) > 0 THEN ['Graph'] ELSE [] END, ['AI Image', 'Mind Map']) AS every FROM (SELECT doc_id, visuals, {_ordered('mapped')} AS first_ones FROM (SELECT doc_id, visuals, {_MAPPED} AS mapped FROM seen)) JOIN records USING (doc_id)), picked AS (SELECT doc_id, visuals, {_ordered('every')} AS ks FROM chosen)"
+ORACLE["h1_select_visuals"] = _documents(f"WITH {RECORDS}, {_CHOSEN} SELECT {_KEYS}, CAST(generate_subscripts(ks, 1) AS INTEGER) AS rank, unnest(ks) AS kind FROM picked")
+ORACLE["h2_visual_density"] = _documents(
+    f"WITH {RECORDS}, {_CHOSEN}, {_WORDS_OF}, {TRUST} SELECT {_KEYS}, round_even(least(1.0::DOUBLE, least(len(ks) * 0.15::DOUBLE, 0.75::DOUBLE) + least(len(visuals) * 0.05::DOUBLE, 0.2::DOUBLE) + 0.0::DOUBLE), 3) AS density, "
+    "round_even(least(0.98::DOUBLE, confidence * 0.5::DOUBLE + least(len(ks) / (len(visuals) + 2)::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE + CASE WHEN n_words > 50 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END), 3) AS confidence "
+    "FROM picked JOIN trust USING (doc_id) JOIN planned USING (doc_id)"
+)
