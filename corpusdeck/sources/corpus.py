@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import LEAST_CHARS
 from ..functions.text import squeeze
+from .shared import new_path
 
 
 def read_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str = "source") -> DataFrame:
@@ -50,11 +55,54 @@ def conversations_to_markdown(turns: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.concat(F.lit("conversation "), F.col("doc_id").cast("string")).alias("source_name"), F.array_join(F.transform("parts", lambda x: x["part"]), "\n").alias("markdown"))
 
 
+_LISTED = "path string, length long, is_folder boolean"
+#: Stores whose folders tasks can list by themselves.
+_OPEN = ("file", "hdfs", "viewfs", "s3", "gs", "abfs")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is in the folders of a column path, with names spelled as the folders are."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, at = FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+            found = [x for x in store.get_file_info(FileSelector(at, allow_not_found=True)) if not x.base_name.startswith(("_", "."))]
+            names = [f"{folder.rstrip('/')}/{x.base_name}" for x in found]
+            kinds = [x.type == FileType.Directory for x in found]
+            sizes = [None if k else x.size for x, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(kinds, pa.bool_())], ["path", "length", "is_folder"])
+
+
+def list_files(spark: SparkSession, path: str, folders_per_task: int = 64) -> DataFrame:
+    """(path, length) of all files below path, empty ones too, which Spark's file sources leave out.
+
+    Folders are listed by tasks, level by level: each level's findings are a table in the shared folder, whose
+    folders are the next level's work, so the driver holds neither files nor folders. Names that begin with
+    an underscore or a dot are left out, as by Spark. A missing or empty folder has no files.
+    """
+    folders, found = spark.createDataFrame([(path,)], "path string"), None
+    while not folders.isEmpty():
+        tasks = max(1, -(-folders.count() // folders_per_task))
+        at = new_path(spark, "listing")
+        folders.repartition(tasks).mapInArrow(_listed, _LISTED).write.parquet(at)
+        level = spark.read.schema(_LISTED).parquet(at)
+        files = level.where("not is_folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("is_folder").select("path")
+    return found
+
+
 def admit_files(spark: SparkSession, path: str, extensions=("txt", "md", "html", "parquet"), most_bytes: int = 50 << 20) -> DataFrame:
-    """(path, length, reason): files under path; reason is null for admitted ones. Contents are not read, and Spark lists no empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """(path, length, reason): files under path, nested ones too; reason is null for admitted ones, else extension, empty or too large. Contents are not read.
+
+    Stores that tasks cannot list by themselves are listed by Spark's binary file source, which reports no empty files.
+    """
+    scheme = path.split(":", 1)[0] if "://" in path or path.startswith("file:") else "file"
+    if scheme in _OPEN:
+        files = list_files(spark, path)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    reason = F.when(~extension.isin(*extensions), "extension").when(F.col("length") > most_bytes, "too large")
+    reason = F.when(~extension.isin(*extensions), "extension").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large")
     return files.withColumn("reason", reason)
 
 

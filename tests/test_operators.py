@@ -152,15 +152,29 @@ def test_replies(spark):
 
 
 def test_admission_and_files(spark, tmp_path):
-    for name, text in (("a.txt", "hello"), ("b.exe", "x"), ("c.md", "")):
+    """Empty, large, wrong and nested files; hidden ones are no files."""
+    for name, text in (("a.txt", "hello"), ("b.exe", "x"), ("c.md", ""), ("deep/er/d.TXT", "nested"), ("deep/e.md", ""), ("deep/noext", "x"), ("_log/f.txt", "x"), (".g.txt", "x"), ("deep/two words.txt", "ok")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    got = {os.path.basename(r.path): r.reason for r in R.admit_files(spark, str(tmp_path)).collect()}
-    # Spark's file sources list no empty files.
-    assert got == {"a.txt": None, "b.exe": "extension"}
-    assert R.admit_files(spark, str(tmp_path), most_bytes=3).where("reason = 'too large'").count() == 1
+    (tmp_path / "hollow" / "inside").mkdir(parents=True)
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        got = {x.path.removeprefix(path.rstrip("/")): (x.length, x.reason) for x in R.admit_files(spark, path, most_bytes=5).collect()}
+        assert got == {
+            "/a.txt": (5, None), "/b.exe": (1, "extension"), "/c.md": (0, "empty"), "/deep/er/d.TXT": (6, "too large"), "/deep/e.md": (0, "empty"), "/deep/noext": (1, "extension"),
+            "/deep/two words.txt": (2, None),
+        }
+    assert R.admit_files(spark, str(tmp_path / "hollow")).count() == 0
     assert ("a.txt", "hello") in [tuple(r) for r in R.read_text_files(spark, str(tmp_path)).collect()]
 
 
+def test_a_thousand_folders_are_listed_by_many_tasks(spark, tmp_path):
+    for i in range(1000):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "x.txt").write_text("x" * (i % 3))
+    files = R.list_files(spark, str(tmp_path))
+    assert files.count() == 1000 and files.where("length = 0").count() == 334
+
+
 def test_placeholder_lines_and_gate(spark):
     docs = spark.createDataFrame([(1, "a\nimage.png\n![x](y.jpg)\n\n\n\nb"), (2, "Page 1 " * 200), (3, "w" * 130)], "doc_id long, markdown string")
     assert R.drop_placeholder_lines(docs).where("doc_id = 1").first().markdown == "a\n\nb"
