@@ -26,6 +26,8 @@ from .tokens import U64, Words, chunks, grams, inside, mix, sliding, text_bytes,
 ANCHOR = 8
 #: Occurrences of repeated anchors that a shard has on average, and that one task of a shard takes.
 SHARD_ANCHORS, TASK_ANCHORS = 8_000, 16_000
+#: Bytes of text among which equal pieces are looked for.
+PIECE_BATCH = 5 << 20
 
 
 class SuffixAutomaton:
@@ -160,7 +162,8 @@ def _pieces(window: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        # Copies meet in a batch only, so a batch is as large as memory allows.
+        for batch in chunks(batches, "text", PIECE_BATCH):
             found = _Windows(words_of(batch.column(2)), window)
             value, words = found.hashes(), found.words
             segment = np.flatnonzero(found.of(_filled(batch.column(3)), found.anchor))
