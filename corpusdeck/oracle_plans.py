@@ -49,7 +49,7 @@ _KINDS = "list_filter([" + ", ".join(f"CASE WHEN {_OPPORTUNITIES[k]} THEN {{'kin
 RECORDS = (
     f"{_INTENTS.replace(UNITS, LESSONS)}, {_SIG}, "
     f"small AS (SELECT doc_id, plain, {', '.join(f'{v} AS {k}' for k, v in _SMALL.items() if k != 'process')} FROM sents), "
-    f"compared AS (SELECT doc_id, list({{'l': l, 'r': r}} ORDER BY ord) AS cs FROM ({_sides(dims.COMPARISON_PHRASES, 100)}) GROUP BY doc_id), "
+    f"compared AS (SELECT doc_id, list({{'l': l, 'r': r, 'p': p}} ORDER BY ord) AS cs FROM ({_sides(dims.COMPARISON_PHRASES, 100)}) GROUP BY doc_id), "
     "named AS (SELECT doc_id, list(intent ORDER BY rank) AS names FROM intents GROUP BY doc_id), "
     "placed AS (SELECT term, doc_id, definition, coalesce((SELECT min(q.i) FROM dq q WHERE q.doc_id = t.doc_id AND q.term = t.term), 1000000 + (SELECT min(c.i) FROM dc c WHERE c.doc_id = t.doc_id AND c.term = t.term)) AS place FROM terms t), "
     "defined AS (SELECT doc_id, list({'term': term, 'definition': definition} ORDER BY place) AS ds FROM placed GROUP BY doc_id), "

@@ -740,6 +740,28 @@ def h17_image_prompts(spark, d):
     return V.image_prompts(_alone(spark, d)).drop("unit_id")
 
 
+def _lesson(name: str, specification: Callable[[DataFrame], DataFrame], *change) -> None:
+    """Registers a specification of lessons, whose turns have steps, figures, comparisons and definitions."""
+
+    def over_lessons(spark, d):
+        out = specification(_lesson_records(spark, d))
+        return out.withColumns({c: F.array_join(c, "|") for c in change}) if change else out
+
+    over_lessons.__name__ = name
+    query(over_lessons)
+
+
+_lesson("h3_lesson_edges", V.flow_edges)
+_lesson("h4_lesson_flow_text", V.flow_text)
+_lesson("h5_lesson_timeline", V.timeline_events)
+_lesson("h6_lesson_tables", V.comparison_rows, "headers", "cells")
+_lesson("h10_lesson_graphs", V.graph_series)
+_lesson("h11_lesson_metrics", V.kpi_metrics)
+_lesson("h12_lesson_smartart", V.smartart_elements)
+_lesson("h15_lesson_icons", V.icon_items)
+_lesson("h17_lesson_prompts", V.image_prompts)
+
+
 # -- decks, scores, retrieval --
 
 

@@ -15,9 +15,10 @@ import pytest
 import __spark_entry__ as entry
 from corpusdeck.oracle import ORACLE as CORPUS_SQL
 from corpusdeck.oracle_plans import ORACLE as PLAN_SQL
+from corpusdeck.oracle_specs import ORACLE as SPEC_SQL
 from corpusdeck.queries import QUERIES
 
-ORACLE = CORPUS_SQL | PLAN_SQL
+ORACLE = CORPUS_SQL | PLAN_SQL | SPEC_SQL
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
