@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,13 +57,19 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Has the driver collect what nobody refers to any more, so that Spark deletes those shuffles' files now. It would do so
-    at the next collection, which on an idle driver is up to spark.cleaner.periodicGC.interval away. What Python lets go
-    of is released in the JVM by a thread that looks once a second, so the JVM's collection waits for that."""
-    gc.collect()
-    time.sleep(3)
-    spark.sparkContext._jvm.System.gc()
+#: Spark's setting by which the shuffle files of a statement go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_alone(df: DataFrame) -> DataFrame:
+    """stored(df), whose shuffle files are deleted as soon as the table is written. Nothing else may reuse its exchanges."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return stored(df)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def free_names(columns: list[str], *names: str) -> list[str]:

@@ -19,15 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, cut, stored
+from .common import stored, stored_alone
 from .tokens import U64, Words, chunks, grams, inside, mix, sliding, text_bytes, words_of
 
 #: Words of an anchor.
 ANCHOR = 8
 #: Occurrences of repeated anchors that a shard has on average, and that one task of a shard takes.
 SHARD_ANCHORS, TASK_ANCHORS = 8_000, 16_000
-#: Bytes of text among which equal pieces are looked for.
-PIECE_BATCH = 5 << 20
 
 
 class SuffixAutomaton:
@@ -162,8 +160,7 @@ def _pieces(window: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Copies meet in a batch only, so a batch is as large as memory allows.
-        for batch in chunks(batches, "text", PIECE_BATCH):
+        for batch in chunks(batches, "text"):
             found = _Windows(words_of(batch.column(2)), window)
             value, words = found.hashes(), found.words
             segment = np.flatnonzero(found.of(_filled(batch.column(3)), found.anchor))
@@ -236,17 +233,16 @@ def _match(window: int):
 def removed_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, spans): word spans to remove of docs (doc_id, h, text), as (h, a, b), where h names one of the texts of an id.
 
-    The texts are shuffled once, by id, and all later passes over them reuse that exchange; only anchors
-    that repeat, windows behind them and their pieces are shuffled otherwise.
+    The texts are shuffled twice, by id: for the windows, and for pieces and result, which share that
+    exchange. Otherwise only anchors, windows behind repeated ones and their pieces are shuffled.
     """
     anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long")
     # A further grouping column keeps the aggregate's partitioning from being the join's, so the join gets
     # exchanges of its own and adaptive execution can split an anchor that many texts have.
     repeated = anchors.groupBy("anchor", F.pmod("anchor", F.lit(1024)).alias("_spread")).count().where("count > 1").select("anchor")
-    # A checkpoint of the repeated anchors: what found them need not be kept or run again.
-    per_doc = cut(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    del anchors, repeated
-    collect_garbage(docs.sparkSession)
+    # Repeated anchors and first windows are tables: what found them need not be kept or run again, and its
+    # shuffle files are gone before the pieces are shuffled.
+    per_doc = stored_alone(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
     total = per_doc.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_ANCHORS)))).alias("shard")
     # Only shards of more than one task are listed. The table's size is known, so it's broadcast if it is small.
@@ -255,7 +251,7 @@ def removed_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     some = docs.join(per_doc, "doc_id").select("doc_id", "h", "text", "anchors")
     windows = some.mapInArrow(_repeating(window), "window long, doc_id long")
     reference = windows.groupBy("window").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = reference.groupBy("doc_id").agg(F.collect_list("window").alias("firsts"))
+    firsts = stored_alone(reference.groupBy("doc_id").agg(F.collect_list("window").alias("firsts")))
     pieces = some.join(firsts, "doc_id", "left").select("doc_id", "h", "text", "anchors", "firsts").mapInArrow(
         _pieces(window), "anchor long, is_reference boolean, piece binary, places array<struct<doc_id:bigint,h:bigint,start:bigint>>"
     )
