@@ -6,7 +6,7 @@ A lesson's key is conversation x 1,000,000 + turn, so the statements about docum
 from __future__ import annotations
 
 from . import dims
-from .oracle import _INTENTS, _PARTS, _SIG, _TERMS, _WORDSET, _alike, _alone, _any, _BAD_PART, _dedupe, _holding, _quote, _sentences, _sides, _strip, _words, BLOCKS, ORACLE as _DOCUMENTS, UNITS
+from .oracle import _CONVERSATIONS, _INTENTS, _QUANTITY, _SECTIONS, _SLIDES,  _PARTS, _SIG, _TERMS, _WORDSET, _alike, _alone, _any, _BAD_PART, _dedupe, _holding, _quote, _sentences, _sides, _strip, _words, BLOCKS, ORACLE as _DOCUMENTS, UNITS
 
 ORACLE: dict[str, str] = {}
 
@@ -224,3 +224,32 @@ ORACLE["h2_visual_density"] = _documents(
     "round_even(least(0.98::DOUBLE, confidence * 0.5::DOUBLE + least(len(ks) / (len(visuals) + 2)::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE + CASE WHEN n_words > 50 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END), 3) AS confidence "
     "FROM picked JOIN trust USING (doc_id) JOIN planned USING (doc_id)"
 )
+for _name, _from in (("e9_lesson_comparisons", "e9_comparisons"), ("e10_lesson_causes", "e10_causes")):
+    ORACLE[_name] = _DOCUMENTS[_from].replace(UNITS, LESSONS).replace("SELECT doc_id, CAST(o AS INTEGER)", f"SELECT {_KEYS}, CAST(o AS INTEGER)")
+# Sections merge one after the other, so their fold is a recursion along a document.
+_JOINS = f"i.named <> '' AND lower({_strip('i.named')}) = lower({_strip('m.title')}) AND length(m.text) + length({_strip('i.text')}) <= {dims.MERGED_CHARS}"
+_MERGED = (
+    f"WITH RECURSIVE {_CONVERSATIONS}, {_SECTIONS}, own_titles AS (SELECT *, CASE WHEN title <> '' AND NOT regexp_full_match(title, '(?i)(page|section|slide)\\s*[0-9]+') THEN title END AS own FROM sections), "
+    "i AS (SELECT *, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), title) AS named FROM own_titles), "
+    "folded AS (SELECT doc_id, section_id, 0 AS out_id, named AS title, level, text FROM i WHERE section_id = 0 UNION ALL "
+    f"SELECT i.doc_id, i.section_id, m.out_id + CASE WHEN {_JOINS} THEN 0 ELSE 1 END, CASE WHEN {_JOINS} THEN m.title ELSE i.named END, CASE WHEN {_JOINS} THEN m.level ELSE i.level END, "
+    f"CASE WHEN {_JOINS} THEN CASE WHEN {_strip('i.text')} = '' THEN m.text ELSE {_strip(f"m.text || chr(10) || {_strip('i.text')}")} END ELSE i.text END FROM folded m JOIN i ON i.doc_id = m.doc_id AND i.section_id = m.section_id + 1), "
+    "merged AS (SELECT doc_id, CAST(out_id AS INTEGER) AS section_id, arg_max(title, section_id) AS title, CAST(arg_max(level, section_id) AS INTEGER) AS level, arg_max(text, section_id) AS text FROM folded GROUP BY doc_id, out_id)"
+)
+ORACLE["b5_merge_repeated_titles"] = f"{_MERGED} SELECT doc_id, section_id, title, CAST(length(text) AS INTEGER) AS n_chars FROM merged"
+ORACLE["b6_section_outline"] = f"{_MERGED} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_sections, string_agg(level || ':' || title, '|' ORDER BY section_id) AS outline FROM merged GROUP BY doc_id"
+_BARE = "trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_SAME = "(k = s.b OR (length(k) <= length(s.b) AND length(k) >= 4 AND contains(' ' || s.b || ' ', ' ' || k || ' ')) OR (length(s.b) < length(k) AND length(s.b) >= 4 AND contains(' ' || k || ' ', ' ' || s.b || ' ')))"
+_NEW = f"s.b <> '' AND len(list_filter(f.kept, lambda k: {_SAME})) = 0"
+ORACLE["d3_drop_restatements"] = f"""
+WITH RECURSIVE said AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS unit_id, {_sentences("coalesce(text, '')")} AS ss FROM conversations), l AS (SELECT doc_id, unit_id, generate_subscripts(ss, 1) AS n, unnest(ss) AS x FROM said),
+s AS (SELECT *, {_BARE} AS b FROM l), f AS (SELECT doc_id, unit_id, 0 AS n, CAST([] AS VARCHAR[]) AS kept, NULL::VARCHAR AS bullet FROM said UNION ALL
+  SELECT s.doc_id, s.unit_id, s.n, CASE WHEN {_NEW} THEN list_append(f.kept, s.b) ELSE f.kept END, CASE WHEN {_NEW} THEN s.x END FROM f JOIN s ON s.doc_id = f.doc_id AND s.unit_id = f.unit_id AND s.n = f.n + 1)
+SELECT doc_id, unit_id, CAST(row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY n) - 1 AS INTEGER) AS ord, bullet FROM f WHERE bullet IS NOT NULL
+"""
+ORACLE["d7_quantities"] = f"WITH {_SLIDES} SELECT doc_id, unit_id, CASE WHEN number = '' THEN '' ELSE {_strip('currency')} || number || CASE WHEN unit IN ('', '%') THEN unit ELSE ' ' || unit END END AS quantity FROM u"
+ORACLE["p4_title_restatements"] = f"""
+WITH {_SLIDES}, bared AS (SELECT *, {_strip("regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g')")} AS t FROM slides)
+SELECT doc_id, slide_ix, CAST(len(bullets) AS INTEGER) AS n_bullets, CAST(len(list_filter(list_transform(bullets, lambda b: {_strip("regexp_replace(lower(b), '[^a-z0-9 ]', '', 'g')")}),
+  lambda a: NOT (a <> '' AND t <> '' AND (a = t OR (length(a) >= 8 AND contains(t, a)))))) AS INTEGER) AS n_kept FROM bared
+"""

@@ -389,6 +389,18 @@ def e10_causes(spark, d):
     return rows.select("doc_id", "ord", "c.cause", "c.effect")
 
 
+@query
+def e9_lesson_comparisons(spark, d):
+    rows = exploded(G.unit_signals(_lessons(spark, d)), "comparison", "doc_id", "unit_id", value="c")
+    return rows.select("doc_id", "unit_id", "ord", F.col("c.left").alias("left_side"), F.col("c.right").alias("right_side"), "c.aspect")
+
+
+@query
+def e10_lesson_causes(spark, d):
+    rows = exploded(G.unit_signals(_lessons(spark, d)), "cause", "doc_id", "unit_id", value="c")
+    return rows.select("doc_id", "unit_id", "ord", "c.cause", "c.effect")
+
+
 @query
 def e14_steps(spark, d):
     return exploded(G.unit_signals(_units(spark, d)), "step", "doc_id", value="step")
