@@ -553,3 +553,23 @@ WITH units AS (SELECT doc_id, 0 AS unit_id, concat_ws(': ', source, lang) AS tit
 h AS (SELECT *, list_filter(cs, lambda w: contains(lower(x), lower(w))) AS here FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS o, {_PREDICATE} AS predicate FROM h WHERE len(here) >= 2)
 SELECT doc_id, CAST(o AS INTEGER) AS ord, here[1] AS subject, predicate, here[2] AS object, CASE WHEN predicate = 'UNKNOWN' THEN 0.3 ELSE 0.7 END::DOUBLE AS confidence FROM n WHERE o < 10
 """
+_LENGTHS = "SELECT doc_id, CAST(length(coalesce(text, '')) % 260 AS INTEGER) AS width, CAST(length(coalesce(text, '')) % 170 + 40 AS INTEGER) AS height FROM documents"
+ORACLE["c2_small_assets"] = f"SELECT *, CASE WHEN width < 120 AND height < 120 THEN 'icon' ELSE 'figure' END AS kind FROM ({_LENGTHS}) WHERE width >= 100 AND height >= 100"
+ORACLE["c4_attach_assets"] = f"""
+WITH anchored AS ({ORACLE["c3_anchor_assets"]}), per AS (SELECT doc_id, section_id AS unit_id, string_agg(CAST(asset_ix AS VARCHAR), ',' ORDER BY asset_ix) AS images, min(asset_ix) AS image FROM anchored GROUP BY ALL)
+SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS unit_id, images, image FROM conversations LEFT JOIN per ON per.doc_id = conv_id AND per.unit_id = turn
+"""
+ORACLE["c5_attach_descriptions"] = """
+SELECT doc_id, md5(coalesce(text, '') || CASE WHEN regexp_matches(coalesce(source, ''), '[05]$') THEN chr(10) || chr(10) || '[Extracted OCR & Image Diagram Content:' || chr(10) || 'an image of ' || source || ']' ELSE '' END) AS digest FROM documents
+"""
+ORACLE["c6_needs_ocr"] = f"""
+WITH p AS (SELECT source AS doc_id, doc_id AS page, CAST(len({_words("coalesce(text, '')")}) AS INTEGER) AS n_words FROM documents)
+SELECT doc_id, page, n_words FROM p WHERE (page % 3 = 0 AND page % 2 > 0) OR n_words < 30
+"""
+ORACLE["p16_parse_replies"] = """
+WITH r AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS unit_id, turn % 4 = 3 AS broken, ['b) yes', 'none', 'Answer: D', ''][conv_id % 4 + 1] AS said,
+  CASE turn % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'Metric' ELSE role END AS layout FROM conversations WHERE role IS NOT NULL)
+SELECT doc_id, unit_id, CASE WHEN NOT broken THEN '{"layout_type": "' || layout || '", "correct": "' || said || '"}' END AS json,
+  CASE WHEN broken THEN NULL WHEN upper(layout) IN ('TABLE', 'METRIC') THEN upper(layout) ELSE 'MINIMAL_TEXT' END AS layout_type,
+  CASE WHEN broken OR regexp_extract(upper(said), '[A-D]') = '' THEN 'A' ELSE regexp_extract(upper(said), '[A-D]') END AS answer FROM r
+"""

@@ -327,6 +327,44 @@ def c3_anchor_assets(spark, d):
     return A.anchor_assets(sections, assets).select("doc_id", "asset_ix", "section_id", "tier")
 
 
+@query
+def c2_small_assets(spark, d):
+    """Texts as assets whose sides follow from their length."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    assets = _documents(spark, d).select("doc_id", (n % 260).alias("width"), (n % 170 + 40).alias("height"))
+    return A.filter_small_assets(assets).select("doc_id", "width", "height", "kind")
+
+
+def _anchored(spark, d) -> DataFrame:
+    turns = _turns(spark, d)
+    first = F.element_at(F.split("text", "\n"), 1)
+    sections = turns.select("doc_id", F.col("unit_id").alias("section_id"), first.alias("title"), "text")
+    assets = turns.select("doc_id", F.col("unit_id").alias("asset_ix"), (F.col("unit_id") - 1).alias("unit_index"), F.col("title").alias("unit_title"), F.col("text").alias("unit_text"))
+    return A.anchor_assets(sections, assets)
+
+
+@query
+def c4_attach_assets(spark, d):
+    """Turns with the assets that were anchored to them."""
+    return A.attach_assets(_turns(spark, d), _anchored(spark, d)).select("doc_id", "unit_id", F.array_join(F.col("images").cast("array<string>"), ",").alias("images"), "image")
+
+
+@query
+def c5_attach_descriptions(spark, d):
+    """Documents as chunks with their source's image; images of sources that end in 0 or 5 are described."""
+    chunks = _documents(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2("source", 256).alias("image_sha256"))
+    described = _documents(spark, d).where(F.col("source").rlike("[05]$")).select(F.sha2("source", 256).alias("sha256"), F.concat(F.lit("an image of "), F.col("source")).alias("description")).distinct()
+    return A.attach_descriptions(chunks, described).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def c6_needs_ocr(spark, d):
+    """Documents as pages of their source, with counts that follow from their ids."""
+    n = F.col("doc_id")
+    pages = _documents(spark, d).select(F.col("source").alias("doc_id"), n.alias("page"), F.size(X.words(F.coalesce("text", F.lit("")))).alias("n_words"), (n % 3).alias("n_assets"), (n % 2).alias("n_image_blocks"))
+    return A.needs_ocr_pages(pages).select("doc_id", "page", "n_words")
+
+
 @query
 def c7_primary_image(spark, d):
     """Texts as assets of units by source and id, every third without bytes; pages as rendered units, most of them of units without assets."""
@@ -889,6 +927,17 @@ def p15_interleave(spark, d):
     return D.interleave_quizzes(slides, quizzes, frequency=2).select("doc_id", "slide_ix", F.col("quiz.question").alias("question"))
 
 
+@query
+def p16_parse_replies(spark, d):
+    """Replies as a model might give them for turns: plain, fenced, with words around, and broken."""
+    layout = F.when(F.col("turn") % 3 == 0, "table").when(F.col("turn") % 3 == 1, "Metric").otherwise(F.col("role"))
+    json = F.concat(F.lit('{"layout_type": "'), layout, F.lit('", "correct": "'), F.element_at(F.array(*[F.lit(x) for x in ("b) yes", "none", "Answer: D", "")]), (F.col("conv_id") % 4 + 1).cast("int")), F.lit('"}'))
+    kind = F.col("turn") % 4
+    raw = F.when(kind == 0, json).when(kind == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here: "), json, F.lit(" as asked"))).otherwise(F.lit("{broken"))
+    replies = _table(spark, d, "conversations").where("role is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("unit_id"), raw.alias("raw"))
+    return W.parse_replies(replies).select("doc_id", "unit_id", "json", "layout_type", "answer")
+
+
 @query
 def r1_keyword_top_k(spark, d):
     chunks = _turns(spark, d).select("doc_id", F.col("unit_id").alias("chunk_id"), "text")
