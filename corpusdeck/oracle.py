@@ -491,26 +491,12 @@ ORACLE["h7_matrix_cells"] = f"""
 WITH {UNITS}, {TEXTS}, {_SIG}, c AS (SELECT doc_id, unnest([{{'r': 0, 'c': 0, 'v': concept[1]}}, {{'r': 0, 'c': 1, 'v': concept[2]}}, {{'r': 1, 'c': 0, 'v': supporting[1]}}, {{'r': 1, 'c': 1, 'v': supporting[2]}}]) AS x FROM signals WHERE len(concept) > 0)
 SELECT doc_id, CAST(x.r AS INTEGER) AS row, CAST(x.c AS INTEGER) AS col, coalesce(x.v, '—') AS value FROM c
 """
-# The last rule for an earlier High block also counts redundant ones here: a copy of a copy is a copy.
 def _alone(x: str) -> str:
     return f"(regexp_full_match({x}, '[0-9]+') OR regexp_matches({x}, {_quote(dims.DECORATIVE)}))"
 
 
 _PARTS = f"list_filter(list_transform(regexp_split_to_array(t, '[|–—]'), lambda p: {_strip('p')}), lambda p: p <> '')"
 _BAD_PART = f"NOT ({_alone('p')} OR lower(p) IN ({', '.join(map(_quote, dims.DECORATIVE_PARTS))}))"
-ORACLE["f5_priorities"] = f"""
-WITH {UNITS}, {TEXTS}, {BLOCKS}, {_TERMS}, {_SIG},
-t AS (SELECT b.doc_id, b.ord, is_heading, {_strip('b.text')} AS t, lower({_strip('b.text')}) AS low, len({_words('b.text')}) AS n, {_WORDSET.format('b.text')} AS ws, g.concept, coalesce(d.ts, []) AS ts
-  FROM unit_blocks b JOIN signals g ON g.doc_id = b.doc_id LEFT JOIN (SELECT doc_id, list(term) AS ts FROM terms GROUP BY doc_id) d ON d.doc_id = b.doc_id),
-again AS (SELECT doc_id, low FROM t WHERE n <= 8 AND low <> '' GROUP BY ALL HAVING count(*) >= 3),
-r AS (SELECT t.*, a.doc_id IS NOT NULL AND NOT is_heading AS rep, {_alone('t')} OR (len({_PARTS}) >= 2 AND len(list_filter({_PARTS}, lambda p: {_BAD_PART})) = 0) AS deco,
-  is_heading OR len(list_filter(concept, lambda c: contains(t.low, lower(c)))) > 0 OR len(list_filter(ts, lambda c: contains(t.low, lower(c)))) > 0 AS high FROM t LEFT JOIN again a ON a.doc_id = t.doc_id AND a.low = t.low),
-red AS (SELECT DISTINCT x.doc_id, x.ord FROM r x JOIN r h ON h.doc_id = x.doc_id AND h.ord < x.ord AND h.high AND NOT h.rep AND NOT h.deco WHERE x.n >= 4 AND NOT x.rep AND NOT x.deco AND {_alike('x.ws', 'h.ws')} > 0.8),
-p AS (SELECT r.doc_id, CASE WHEN rep THEN 'Repeated' WHEN deco THEN 'Decorative' WHEN red.doc_id IS NOT NULL THEN 'Redundant' WHEN high THEN 'High' WHEN {_any('low', dims.FILLER_PHRASES)} OR n > 45 THEN 'Low' ELSE 'Medium' END AS priority
-  FROM r LEFT JOIN red ON red.doc_id = r.doc_id AND red.ord = r.ord)
-SELECT doc_id, priority, count(*) AS n FROM p GROUP BY ALL
-"""
-
 # Chunks of turns. The turns hold no table marks at a line's start, so paragraphs are runs of lines between
 # blank ones and list runs; the list state goes on until a blank line.
 _ITEM = "^[ \\t]*([-*+•]|[0-9]+[.)])[ \\t]+"

@@ -168,6 +168,9 @@ def _documents(sql: str) -> str:
     return sql.replace(LESSONS, UNITS).replace(_KEYS, "doc_id")
 
 
+# Texts repeat within a document, where units of a conversation repeat within the conversation.
+_OF_DOCUMENTS = PRIORITIES.replace("doc_id // 1000000 AS conv", "doc_id AS conv").replace("t.doc_id // 1000000", "t.doc_id")
+ORACLE["f5_priorities"] = _documents(f"WITH RECURSIVE {RECORDS}, {_OF_DOCUMENTS} SELECT doc_id, priority, count(*) AS n FROM priorities GROUP BY ALL")
 ORACLE["f6_opportunities"] = _documents(ORACLE["f6_lesson_opportunities"])
 for _name, _from in (("g1_text_actions", "g1_lesson_actions"), ("g2_summaries", "g2_lesson_summaries"), ("g3_speaker_notes", "g3_lesson_notes")):
     ORACLE[_name] = _turns(ORACLE[_from])
