@@ -189,7 +189,9 @@ def prioritise_blocks(units: DataFrame) -> DataFrame:
 
 def add_opportunities(intents: DataFrame) -> DataFrame:
     """The columns of add_intents plus _visuals: an array of (minus, order, kind), the most confident first."""
-    low, names = F.col("_lowered"), F.transform("_intents", lambda x: x["intent"])
+    # Notes count for signals and intents, but not for the words that call for a visual.
+    low = F.when(F.col("notes") == "", F.col("_lowered")).otherwise(F.lower(F.array_join(F.transform("_items", lambda b: b["text"]), " ")))
+    names = F.transform("_intents", lambda x: x["intent"])
 
     def has(intent: str) -> Column:
         return F.array_contains(names, intent)

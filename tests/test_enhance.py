@@ -95,3 +95,9 @@ def test_plan_confidence_rounds_like_binary_numbers(spark):
     values = [0.885, 0.855, 0.8775, 0.4, 0.98, 0.65, 0.75 + 0.9 * 0.15, 0.75 + 0.7 * 0.15, 0.3333, 1.0]
     got = [x.r for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(round_binary(F.col("v")).alias("r")).collect()]
     assert got == [round(v, 2) for v in values]
+
+
+def test_notes_call_for_no_visual(spark):
+    rows = [(1, 0, "Title", "plain words here", ""), (2, 0, "Title", "plain words here", "or else in the notes"), (3, 0, "Title", "or else on the slide", "some notes")]
+    out = K.visual_opportunities(spark.createDataFrame(rows, UNITS + ", notes string"))
+    assert {x.doc_id for x in out.where("kind = 'Decision Tree'").collect()} == {3}
