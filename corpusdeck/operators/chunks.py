@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..dims import CHUNK_WORDS
 from ..functions.rows import exploded
 from ..functions.text import lines, strip, without_marker, words
+from .signals import with_items
 
+#: The line ahead of a table (fixed value).
+TABLE_MARK = "[TABLE DATA]"
 _MARKED = r"^[ \t]*([-*+•]|[0-9]+[.)])[ \t]+"
 _STATE = "struct<done:array<string>,open:array<string>,mode:int>"
 #: Modes of the paragraph fold.
@@ -98,10 +101,24 @@ def unit_blocks(units: DataFrame) -> DataFrame:
 
 
 def unit_text(units: DataFrame) -> DataFrame:
-    """(doc_id, unit_id, full_text): '## title' and '- line' in reading order."""
-    body = F.filter(F.transform(lines(F.col("text")), without_marker), lambda x: x != "")
-    head = F.when(F.col("title") == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("## "), F.col("title"))))
-    return units.select("doc_id", "unit_id", F.array_join(F.concat(head, F.transform(body, lambda x: F.concat(F.lit("- "), x))), "\n").alias("full_text"))
+    """(doc_id, unit_id, full_text): '## heading', '- bullet' indented by level and plain blocks in reading order, then tables and notes.
+
+    A table with headers is a mark, its headers and its rows, cells parted by bars. Units may have the optional
+    columns of signals.with_items; where they have blocks, these take the place of title and text.
+    """
+    whole = with_items(units)
+
+    def line(b: Column) -> Column:
+        level = F.coalesce(b["bullet_level"], F.lit(0))
+        bullet = F.concat(F.repeat(F.lit("  "), F.greatest(level - 1, F.lit(0))), F.lit("- "), b["text"])
+        return F.when(F.coalesce(b["is_heading"], F.lit(False)), F.concat(F.lit("## "), b["text"])).when(level > 0, bullet).otherwise(b["text"])
+
+    def table(t: Column) -> Column:
+        return F.concat(F.array(F.lit(TABLE_MARK), F.array_join(t["headers"], " | ", "")), F.transform(t["rows"], lambda r: F.array_join(r, " | ", "")))
+
+    tables = F.flatten(F.transform(F.filter("tables", lambda t: F.size(t["headers"]) > 0), table))
+    notes = F.when(F.col("notes") != "", F.array(F.concat(F.lit("[Speaker Notes: "), F.col("notes"), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    return whole.select("doc_id", "unit_id", F.array_join(F.concat(F.transform("_items", line), tables, notes), "\n").alias("full_text"))
 
 
 def pipe_table(text: Column) -> Column:

@@ -103,6 +103,12 @@ ORACLE["b19_unit_text"] = f"""
 WITH {TURNS}, {TEXTS}
 SELECT doc_id, unit_id, md5(array_to_string(list_concat(CASE WHEN title = '' THEN [] ELSE ['## ' || title] END, list_transform(body, lambda l: '- ' || l)), chr(10))) AS digest FROM texts
 """
+ORACLE["b19_full_unit_text"] = f"""
+WITH {TURNS}, {TEXTS} SELECT doc_id, unit_id, md5(array_to_string(list_concat(CASE WHEN title = '' THEN [] ELSE ['## ' || title] END,
+  list_transform(body, lambda l, i: CASE (i - 1) % 3 WHEN 0 THEN l WHEN 1 THEN '- ' || l ELSE '  - ' || l END),
+  CASE WHEN unit_id % 3 = 0 THEN ['[TABLE DATA]', 'what | ' || title, 'lines | ' || len(body), 'turn | ' || unit_id] ELSE [] END,
+  CASE WHEN unit_id % 2 = 0 THEN ['[Speaker Notes: said by ' || title || ']'] ELSE [] END), chr(10))) AS digest FROM texts
+"""
 ORACLE["b17_pipe_tables"] = f"""
 WITH r AS (SELECT doc_id, list_filter(list_transform({_lines("coalesce(text, '')")}, lambda l: {_strip('l')}),
     lambda l: length(l) - length(replace(l, '|', '')) >= 2 AND NOT regexp_full_match(l, '[|\\s:-]+')) AS rs FROM documents),

@@ -307,6 +307,20 @@ def b19_unit_text(spark, d):
     return C.unit_text(_turns(spark, d)).select("doc_id", "unit_id", F.md5("full_text").alias("digest"))
 
 
+@query
+def b19_full_unit_text(spark, d):
+    """Turns with blocks of three levels, a table in every third and notes in every second."""
+    turns = _turns(spark, d)
+    body = F.filter(F.transform(X.lines(F.col("text")), X.without_marker), lambda x: x != "")
+    block = lambda text, heading, level: F.struct(text.alias("text"), F.lit(heading).alias("is_heading"), F.lit(0).alias("heading_level"), level.alias("bullet_level"), F.lit(False).alias("is_bold"), F.lit(None).cast("double").alias("font_size"))
+    blocks = F.concat(F.array(block(F.col("title"), True, F.lit(0))), F.transform(body, lambda x, i: block(x, False, i % 3)))
+    cells = F.array(F.array(F.lit("lines"), F.size(body).cast("string")), F.array(F.lit("turn"), F.col("unit_id").cast("string")))
+    table = F.struct(F.array(F.lit("what"), F.col("title")).alias("headers"), cells.alias("rows"))
+    tables = F.when(F.col("unit_id") % 3 == 0, F.array(table))
+    notes = F.when(F.col("unit_id") % 2 == 0, F.concat(F.lit("said by "), F.col("title")))
+    return C.unit_text(turns.select("doc_id", "unit_id", "title", "text", blocks.alias("blocks"), tables.alias("tables"), notes.alias("notes"))).select("doc_id", "unit_id", F.md5("full_text").alias("digest"))
+
+
 # -- assets --
 
 

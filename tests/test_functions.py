@@ -162,3 +162,17 @@ def test_extras(spark):
     assert D.fold_extras(extras, "low").count() == 0 and D.fold_extras(extras).count() == 1
     slides = spark.createDataFrame([(1, 0, "MINIMAL_TEXT", "T", ["one point"], "", None)], "doc_id long, slide_ix int, layout_type string, title string, bullets array<string>, takeaway string, table_rows array<array<string>>")
     assert D.apply_density(slides, "medium", extras).first().bullets == ["one point", "Example: an example"]
+
+
+def test_unit_text_with_indents_tables_and_notes(spark):
+    from corpusdeck.operators import chunks as C
+
+    block = lambda t, h, n: (t, h, 1 if h else 0, n, None, None)
+    tables = [(["a", None], [["1", "2"], ["3", None]]), ([], [["no headers"]]), (None, [["none"]])]
+    rows = [(1, 0, "T", "ignored", [block("Head", True, 0), block("one", False, 1), block("three", False, 3), block("plain", False, None), block("", False, 1)], tables, "note"), (1, 1, "", "x\n\n- y", None, None, None)]
+    kind = "doc_id long, unit_id int, title string, text string, blocks array<struct<text:string,is_heading:boolean,heading_level:int,bullet_level:int,is_bold:boolean,font_size:double>>, tables array<struct<headers:array<string>,rows:array<array<string>>>>, notes string"
+    units = spark.createDataFrame(rows, kind)
+    got = {x.unit_id: x.full_text for x in C.unit_text(units).where("unit_id = 0").collect()}
+    assert got[0].split("\n") == ["## Head", "- one", "    - three", "plain", "[TABLE DATA]", "a | ", "1 | 2", "3 | ", "[Speaker Notes: note]"]
+    bare = {x.unit_id: x.full_text for x in C.unit_text(units.drop("blocks", "tables", "notes")).collect()}
+    assert bare == {0: "## T\n- ignored", 1: "- x\n- y"}
