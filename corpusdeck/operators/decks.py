@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.rows import exploded
-from ..functions.text import drop_restatements, strip, trim_bullet, words
+from ..functions.text import drop_restatements, round_even, strip, trim_bullet, words
 from ..plans.specs import chain_text
 
 
@@ -189,13 +189,13 @@ def score_slides(slides: DataFrame, strict_reference: bool = False) -> DataFrame
     image = F.coalesce(F.col("has_image"), F.lit(False)) if "has_image" in slides.columns else F.col("image").isNotNull() if "image" in slides.columns else F.lit(False)
     visual = F.least(F.lit(15.0), visual + F.when(image, 5.0).otherwise(0.0))
     parts = {"text_density": density, "bullet_count": bullets, "title_quality": title, "has_takeaway": takeaway, "readability": readable, "visual_bonus": visual}
-    out = slides.select("doc_id", "slide_ix", *[F.bround(c, 1).alias(k) for k, c in parts.items()])
-    return out.withColumn("score", F.bround(F.least(F.lit(100.0), sum((F.col(k) for k in parts), F.lit(0.0)))).cast("int"))
+    out = slides.select("doc_id", "slide_ix", *[round_even(c, 1).alias(k) for k, c in parts.items()])
+    return out.withColumn("score", round_even(F.least(F.lit(100.0), sum((F.col(k) for k in parts), F.lit(0.0)))).cast("int"))
 
 
 def score_decks(scores: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, overall_score, n_slides): the rounded mean of a deck's slide scores; 0 for documents without slides."""
-    per = scores.groupBy("doc_id").agg(F.bround(F.avg("score")).cast("int").alias("overall_score"), F.count(F.lit(1)).alias("n_slides"))
+    per = scores.groupBy("doc_id").agg(round_even(F.avg("score")).cast("int").alias("overall_score"), F.count(F.lit(1)).alias("n_slides"))
     if docs is None:
         return per
     joined = docs.select("doc_id").join(per, "doc_id", "left")
@@ -279,9 +279,9 @@ def run_summary(slides: DataFrame, quizzes: DataFrame, scores: DataFrame, events
     known = F.min(F.when(F.col("density").isin(*dims.PROFILES), F.col("density")))
     per = whole.groupBy("run").agg(F.sum("slides").alias("slide_count"), F.sum("quizzes").alias("quiz_count"), F.avg("score").alias("mean"), known.alias("density"), F.sort_array(F.collect_list("stage")).alias("all"))
     total = F.aggregate("all", F.lit(0.0), lambda t, x: t + x["seconds"])
-    named = F.transform("all", lambda x: F.struct(x["name"].alias("name"), x["status"].alias("status"), F.bround(x["seconds"], 2).alias("seconds"), x["detail"].alias("detail")))
-    score = F.coalesce(F.bround("mean").cast("int"), F.lit(0))
-    return per.select("run", "slide_count", "quiz_count", score.alias("overall_score"), F.coalesce("density", F.lit(dims.DEFAULT_PROFILE)).alias("density_profile"), F.bround(total, 2).alias("total_seconds"), named.alias("stages"))
+    named = F.transform("all", lambda x: F.struct(x["name"].alias("name"), x["status"].alias("status"), round_even(x["seconds"], 2).alias("seconds"), x["detail"].alias("detail")))
+    score = F.coalesce(round_even("mean").cast("int"), F.lit(0))
+    return per.select("run", "slide_count", "quiz_count", score.alias("overall_score"), F.coalesce("density", F.lit(dims.DEFAULT_PROFILE)).alias("density_profile"), round_even(total, 2).alias("total_seconds"), named.alias("stages"))
 
 
 def stage_outcomes(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import strip
+from ..functions.text import round_even, strip
 from ..plans.transform import confidence_of, notes_of, remaining_of, with_actions
 from .decks import density_profiles
 
@@ -109,4 +109,4 @@ def enhancement_confidence(intel: DataFrame, answers: DataFrame) -> DataFrame:
     joined = slim.join(best, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("unit_id").eqNullSafe(F.col("_unit")), "left")
     n = F.coalesce("n_answers", F.lit(0))
     total = F.least(F.lit(1.0), F.col("richness") + n / len(ANSWERS) * 0.6 + F.col("plan_bonus"))
-    return joined.select("doc_id", "unit_id", F.bround("richness", 2).alias("richness"), n.alias("n_answers"), F.bround("plan_bonus", 4).alias("plan_bonus"), F.bround(total, 3).alias("confidence"))
+    return joined.select("doc_id", "unit_id", round_even("richness", 2).alias("richness"), n.alias("n_answers"), round_even("plan_bonus", 4).alias("plan_bonus"), round_even(total, 3).alias("confidence"))
