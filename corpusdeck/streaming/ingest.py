@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 #: Keeps state on local disk with checkpoints in the shared folder, so that it may outgrow memory.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Contents of a batch meet in 4,096 buckets, by the first digits of their keys; a task holds one bucket's different contents.
+BUCKET_DIGITS = 3
 
 
 def content_key(text_col: str = "text", mode: str = "") -> F.Column:
@@ -36,27 +39,25 @@ def new_contents(docs: DataFrame, manifest: DataFrame, id_col: str = "doc_id", t
 def unseen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs of a stream plus content_key: the row with the smallest id of each content that no earlier batch had.
 
-    Seen contents are keyed state, one small row each: a batch looks up its own keys and nothing else, so its
-    work does not grow with the corpus. Equal contents of one batch meet at their key, of which the smallest
-    id goes on (null ids last); a restart finds the state of the last batch that was finished, so a batch that
-    is run again gives what it gave before. A null text is an empty one.
+    Equal contents of one batch meet in their bucket of keys, of which each content's smallest id goes on (null
+    ids last). Seen contents are keyed state, one small row each: a batch looks up its own keys and nothing
+    else, so its work does not grow with the corpus. A restart finds the state of the last batch that was
+    finished, so a batch that is run again gives what it gave before. A null text is an empty one.
     """
     keyed = docs.withColumn("content_key", content_key(text_col))
-    names = keyed.columns
+    order = [("content_key", "ascending"), (id_col, "ascending")]
 
-    def first(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for part in rows:
-            if state.exists or part.empty:
-                continue
-            part = part.sort_values(id_col, kind="stable", na_position="last").head(1)
-            best = part if best is None else pd.concat((best, part)).sort_values(id_col, kind="stable", na_position="last").head(1)
-        if best is not None:
-            state.update((True,))
-            yield best[names]
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if best is None else [*best, batch])
+            at = pc.sort_indices(rows.select(["content_key", id_col]), sort_keys=order, null_placement="at_end")
+            keys = rows["content_key"].take(at).to_numpy()
+            best = rows.take(at.filter(pa.array(np.append(True, keys[1:] != keys[:-1])))).to_batches()
+        yield from best or []
 
     out: StructType = keyed.schema
-    return keyed.groupBy("content_key").applyInPandasWithState(first, out, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy(F.substring("content_key", 1, BUCKET_DIGITS)).applyInArrow(least, out).dropDuplicates(["content_key"])
 
 
 def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, files_per_batch: int | None = None, provider: str = ROCKS) -> StreamingQuery:
